@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, sharding, warc
+from . import bpe, decontaminate, html_text, sharding, warc
 from .shared import table
 
 SHARD_BYTES = 1 << 20
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
@@ -32,8 +36,24 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_bpe, op8_warc, op9_html_text)}
-
+    return {f.__name__: f for f in (op1_decontaminate, op2_sharding, op3_bpe, op8_warc, op9_html_text)}
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+DECONTAMINATE_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, size, array_to_string(w[o:o + size - 1], ' ') AS phrase
+       FROM (SELECT item_id, w, least(10, len(w)) AS size, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS o FROM i WHERE len(w) > 0)),
+dw AS (SELECT doc_id, o, size, array_to_string(w[o:o + size - 1], ' ') AS phrase
+       FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS o FROM d, (SELECT DISTINCT size FROM iw) s WHERE len(w) >= size)),
+m AS (SELECT doc_id, item_id, o, size FROM dw JOIN iw USING (size, phrase)),
+h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(o, o + size)) AS pos FROM m) GROUP BY doc_id),
+f AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(f.n_items, 0) AS n_items,
+       sha256(coalesce(f.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN f USING (doc_id)
+"""
 
 #: The bucket of a row is its shortest hash prefix whose rows fit the limit (unless a row is alone).
 SHARDING_SQL = f"""
@@ -51,4 +71,4 @@ FROM f JOIN p USING (doc_id, depth) JOIN t USING (shard, depth)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": SHARDING_SQL}
+    return {"op1_decontaminate": DECONTAMINATE_SQL, "op2_sharding": SHARDING_SQL}
