@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprints, html_text, jaccard, quality, sharding, warc
+from . import bpe, decontaminate, fingerprints, html_text, jaccard, quality, sharding, toxicity, warc
 from .shared import table
 
 SHARD_BYTES = 1 << 20
@@ -47,8 +47,12 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_sharding, op3_bpe, op4_jaccard_join, op5_quality, op6_fingerprints, op8_warc, op9_html_text)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_sharding, op3_bpe, op4_jaccard_join, op5_quality, op6_fingerprints, op8_warc, op9_html_text, op10_toxicity)}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
