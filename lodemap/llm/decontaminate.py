@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, sized, stored
+from .shared import ascii_lower, numbered, sized, stored
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: The term whose posting holds the number of words of a text; no word contains it.
@@ -216,3 +216,11 @@ def decontaminate(
             (n_hit > 0).alias("contaminated"),
         )
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without any benchmark passage, with all their columns; decided row by row, also where ids repeat or are null."""
+    rows = numbered(docs)
+    judged = decontaminate(rows.select("_lm_row", text_col), benchmark, window, "_lm_row", text_col, item_col, item_text_col)
+    gone = stored(judged.where("contaminated").select("_lm_row"), "contaminated")
+    return rows.join(sized(gone, gone.count()), "_lm_row", "left_anti").select(*docs.columns)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import sized, stored
+from .shared import numbered, sized, stored
 
 #: Sizes in one class differ at most by this factor (or by 1 / threshold if that is more).
 RATIO = 1.5
@@ -346,7 +346,13 @@ def keyed_texts(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_co
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that are not the first (smallest id) of their component; all columns stay."""
-    found = similarity_components(docs, n, num, den, id_col, text_col)
-    gone = stored(found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct(), "repeats")
-    return docs.join(sized(gone, gone.count()), F.col(id_col) == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each component, that of the smallest non-null id (of equal rows one); all columns stay."""
+    rows = numbered(docs)
+    found = similarity_components(rows.select("_lm_row", text_col), n, num, den, "_lm_row", text_col).select("_lm_row", "component_id")
+    shared = stored(
+        found.groupBy("component_id").agg(F.count("*").alias("_n")).where("_n > 1").join(found, "component_id").select("component_id", "_lm_row"), "repeats"
+    )
+    ids = rows.select("_lm_row", F.col(id_col).alias("_id")).join(sized(shared, shared.count()), "_lm_row")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_lm_row"))["_lm_row"].alias("_lm_row"))
+    gone = stored(shared.select("_lm_row").join(first, "_lm_row", "left_anti"), "gone")
+    return rows.join(sized(gone, gone.count()), "_lm_row", "left_anti").select(*docs.columns)

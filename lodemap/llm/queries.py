@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprints, html_text, jaccard, quality, sharding, toxicity, warc
+from . import bpe, decontaminate, fingerprints, html_text, jaccard, licenses, quality, sharding, toxicity, warc
 from .shared import table
 
 SHARD_BYTES = 1 << 20
@@ -38,6 +38,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_likeness(table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -52,7 +56,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_sharding, op3_bpe, op4_jaccard_join, op5_quality, op6_fingerprints, op8_warc, op9_html_text, op10_toxicity)}
+    found = (
+        op1_decontaminate, op2_sharding, op3_bpe, op4_jaccard_join, op5_quality, op6_fingerprints, op7_licenses, op8_warc, op9_html_text, op10_toxicity,
+    )
+    return {f.__name__: f for f in found}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -86,5 +93,38 @@ FROM f JOIN p USING (doc_id, depth) JOIN t USING (shard, depth)
 """
 
 
+def licenses_sql() -> str:
+    """The scan in SQL: candidates join the known sentences, and each rule is one step over the sequences."""
+    known = ", ".join(f"('{text}', '{name}')" for text, name in licenses.KNOWN.items())
+    steps, last = [], "s"
+    for n, (_, sequence) in enumerate(licenses.RULES):
+        pattern = "".join(f"<{i}>" for i in sequence)
+        steps.append(f"r{n} AS (SELECT *, contains(q{n}, '{pattern}') AS m{n}, replace(q{n}, '{pattern}', '-') AS q{n + 1} FROM {last})")
+        last = f"r{n}"
+    found = ", ".join(f"CASE WHEN m{n} THEN '{licence}' END" for n, (licence, _) in enumerate(licenses.RULES))
+    clean = f"trim(regexp_replace(lower(x), '{licenses.NOT_WORD}', ' ', 'g'))"
+    return f"""
+WITH known(sentence, name) AS (VALUES {known}),
+d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents),
+p AS (SELECT rn, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM (
+  SELECT rn, string_split(regexp_replace(text, '{licenses.SENTENCE_END}', '\\1' || chr(1), 'g'), chr(1)) AS pieces FROM d)),
+l AS (SELECT rn, k, list_filter(list_transform(string_split(piece, chr(10)), lambda x: {clean}), lambda x: x <> '') AS lines FROM p),
+c AS (SELECT rn, k, lines, unnest(range(1, len(lines) + 1)) AS i FROM l),
+m AS (SELECT rn, k, i, coalesce(w.name, o.name) AS name
+      FROM (SELECT *, CASE WHEN len(lines) - i < {licenses.MAX_WORDS} THEN array_to_string(lines[i:], ' ') END AS rest, lines[i] AS line FROM c)
+      LEFT JOIN known w ON rest = w.sentence LEFT JOIN known o ON line = o.sentence),
+s AS (SELECT rn, count(*) AS n_known, string_agg(name, ',' ORDER BY k, i) AS ids, string_agg('<' || name || '>', '' ORDER BY k, i) AS q0
+      FROM m WHERE name IS NOT NULL GROUP BY rn),
+{", ".join(steps)}
+SELECT d.doc_id, coalesce(n_known, 0) AS n_known, coalesce(ids, '') AS sentence_ids,
+       coalesce(array_to_string(list_sort(list_distinct(list_filter([{found}], lambda x: x IS NOT NULL))), ','), '') AS licenses,
+       coalesce(array_to_string(regexp_extract_all(q{len(licenses.RULES)}, '<([^<>]+)>', 1), ','), '') AS unmatched
+FROM d LEFT JOIN {last} USING (rn)
+"""
+
+
+LICENSES_SQL = licenses_sql()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": DECONTAMINATE_SQL, "op2_sharding": SHARDING_SQL}
+    return {"op1_decontaminate": DECONTAMINATE_SQL, "op2_sharding": SHARDING_SQL, "op7_licenses": LICENSES_SQL}

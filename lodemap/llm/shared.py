@@ -43,6 +43,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs``, written, with a number ``_lm_row`` for each row: ids may repeat or be null, these don't."""
+    return stored(docs.withColumn("_lm_row", F.monotonically_increasing_id()), "numbered")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
