@@ -13,10 +13,10 @@ the component that links join it to.
    bounds its overlap with any member: a document below what the threshold asks for
    is out, and where fewer than two remain the group isn't opened at all.
 4. Opened groups.  The document with the fewest tokens of its own is the hub of a
-   block; the others are compared with their best hub first, which joins most of a
-   group by as many comparisons as it has members.  Only pairs that share a block,
-   lie in different components and whose own tokens leave room for the threshold are
-   compared besides.
+   block, and of the group; the others are compared with the group's and their best
+   block's hub first, which joins most of a group by two comparisons a member.  Only
+   pairs that share a block and lie in different components are compared besides, and
+   of these only such whose differences from the group's hub can overlap by enough.
 
 No all-pairs list of a group is made, no group is gathered in a task, and nothing
 but counts reaches the driver.  Token hashes have 64 bits; hashes of blocks and
@@ -199,25 +199,44 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def linked(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those of the (a, b) pairs whose sets reach the threshold, by the whole texts (node, text)."""
+def grouped_by_blocks(shared: DataFrame) -> DataFrame:
+    """(node, label): components of nodes that share tokens, from (token, node, first), ``first`` being a token's smallest node.
+
+    A node first takes the smallest ``first`` of its tokens as its label, which
+    joins nearly all of a large group; only where the labels under a token still
+    differ is there an edge between labels, so edges don't grow with a group's size.
+    """
+    early = stored(shared.groupBy("node").agg(F.min("first").alias("early")), "early-labels")
+    under = shared.select("token", "node").join(early, "node").select("token", "early").distinct()
+    lowest = Window.partitionBy("token")
+    edges = under.withColumn("low", F.min("early").over(lowest)).where("early <> low").select(F.col("early").alias("a"), F.col("low").alias("b")).distinct()
+    labels = components(edges, "groups").withColumnsRenamed({"node": "early"})
+    return early.join(labels, "early", "left").select("node", F.coalesce("label", "early").alias("label"))
+
+
+def overlaps(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(a, b, one, two, shared long): sizes and intersections of the sets of (a, b) pairs, by the whole texts (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, seen = [], None, None
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+            sizes, last, seen = [], None, None
+            for x, y in zip(batch.column(2), batch.column(3)):
                 y = y.as_py()
                 if y != last:
                     last, seen = y, shingles(y, n)
                 one = shingles(x.as_py(), n)
-                shared = len(np.intersect1d(one, seen, assume_unique=True))
-                if den * shared >= num * (len(one) + len(seen) - shared):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([c.take(pa.array(keep, pa.int64())) for c in batch.columns[:2]], ["a", "b"])
+                sizes.append((len(one), len(seen), len(np.intersect1d(one, seen, assume_unique=True))))
+            found = np.array(sizes, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(found[:, k]) for k in range(3))], ["a", "b", "one", "two", "shared"])
 
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, one long, two long, shared long")
+
+
+def reaching(found: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of those ``overlaps`` that reach the threshold."""
+    return found.where(den * F.col("shared") >= num * (F.col("one") + F.col("two") - F.col("shared"))).select("a", "b")
 
 
 def bounded(members: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -279,7 +298,7 @@ def similarity_components(
         .select("token", "node", "first"),
         "shared-blocks",
     )
-    groups = components(shared.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "groups")
+    groups = grouped_by_blocks(shared)
 
     # Texts of the grouped classes: found by id, told apart by set key.
     grouped = stored(groups.join(nodes, "node").select("node", F.col("label").alias("grp"), "k1", "k2", "low", "n_shingles"), "grouped")
@@ -296,19 +315,31 @@ def similarity_components(
         .agg(F.min("hub").alias("hub"))
         .select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
     )
-    hubs = stored(hubs, "hub-pairs")
-    links = stored(linked(hubs, texts, n, num, den), "hub-links")
+    center = live.groupBy("grp").agg(F.min(rank)["node"].alias("b"))
+    centers = stored(live.join(center, "grp").select(F.col("node").alias("a"), "b"), "group-hubs")
+    hubs = stored(hubs.unionByName(centers.where("a <> b")).distinct(), "hub-pairs")
+    compared = stored(overlaps(hubs, texts, n), "hub-overlaps")
+    links = stored(reaching(compared, num, den), "hub-links")
+    # How many tokens a document lacks of its group's hub, and how many it has besides.
+    differ = centers.join(compared, ["a", "b"], "left").select(
+        F.col("a").alias("node"),
+        F.coalesce(F.col("two") - F.col("shared"), F.lit(0)).alias("lacks"),
+        F.coalesce(F.col("one") - F.col("shared"), F.lit(0)).alias("adds"),
+    )
     labels = stored(
         live.select("node").join(components(links, "hub-components"), "node", "left").select("node", F.coalesce("label", "node").alias("label")),
         "hub-labels",
     )
 
     # What is left: pairs in one block, in different components, with room for the threshold.
-    parts = found.join(labels, "node")
+    parts = found.join(labels, "node").join(differ, "node").withColumn("common", F.greatest(F.lit(0), F.col("adds") - F.col("own")))
     mixed_tokens = parts.groupBy("token").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("token")
-    parts = stored(parts.join(mixed_tokens, "token").select("token", "node", "label", "n_shingles", "own"), "open-parts")
+    parts = stored(parts.join(mixed_tokens, "token").select("token", "node", "label", "n_shingles", "own", "lacks", "adds", "common"), "open-parts")
     one, two = parts.alias("p"), parts.alias("q")
-    room = (F.col("p.own") + F.col("q.own")) * (num + den) <= (F.col("p.n_shingles") + F.col("q.n_shingles")) * (den - num)
+    # Two sets differ by what each differs from the hub by, but for what both of these share: that is no document's own.
+    least = sum(F.col(f"{x}.{c}") for x in "pq" for c in ("lacks", "adds")) - 2 * (F.least("p.lacks", "q.lacks") + F.least("p.common", "q.common"))
+    least = F.greatest(least, F.col("p.own") + F.col("q.own"))
+    room = least * (num + den) <= (F.col("p.n_shingles") + F.col("q.n_shingles")) * (den - num)
     close = (F.col("p.n_shingles") * den >= F.col("q.n_shingles") * num) & (F.col("q.n_shingles") * den >= F.col("p.n_shingles") * num)
     rest = (
         one.join(two, (F.col("p.token") == F.col("q.token")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.label") != F.col("q.label")) & room & close)
@@ -317,8 +348,10 @@ def similarity_components(
     )
     tested = hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(rest.join(tested, ["a", "b"], "left_anti"), "rest-pairs")
-    more = stored(linked(rest, texts, n, num, den), "rest-links")
-    final = components(links.unionByName(more), "components")
+    more = stored(reaching(overlaps(rest, texts, n), num, den), "rest-links")
+    ends = more.join(labels.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(labels.withColumnsRenamed({"node": "b", "label": "lb"}), "b")
+    merged = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "components")
+    final = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("over")), "label", "left").select("node", F.coalesce("over", "label").alias("label"))
 
     # Back to all rows.
     classes = nodes.join(final, "node", "left").select("k1", "k2", "low", F.coalesce("label", "node").alias("label"))
