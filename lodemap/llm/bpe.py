@@ -23,12 +23,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import slices
+
 #: Word splitting of byte-level BPE vocabularies of the GPT-2 kind (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of more bytes than this take the heap.
 LONG = 200
 #: A worker forgets its words beyond this number, so that its memory is bounded.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Up to this code point all Unicode versions agree on what is a letter, a number or a space.
 STABLE = "[^\x00-՗]"
 NONE = 1 << 60
@@ -182,7 +184,7 @@ def encode_decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = vocabulary(vocabulary_path)
-        for batch in batches:
+        for batch in slices(batches):
             counts, id_hash, text_hash, all_ids, texts = [], [], [], [], []
             for value in batch.column(1):
                 ids = pairs.encode(value.as_py() or "")

@@ -38,13 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import numbered, sized, stored
+from .shared import numbered, sized, slices, stored
 
 #: Sizes in one class differ at most by this factor (or by 1 / threshold if that is more).
 RATIO = 1.5
 #: Documents with too many empty blocks are dealt again so many times.
 DEALS = 3
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 MASK = np.uint64((1 << 48) - 1)
 
 
@@ -161,7 +161,7 @@ def describe(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(num, den)
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingles(t.as_py(), n) for t in batch.column(2)]
             keys = [set_key(s) for s in found]
             yield pa.RecordBatch.from_arrays(
@@ -218,7 +218,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """(a, b, one, two, shared long): sizes and intersections of the sets of (a, b) pairs, by the whole texts (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, last, seen = [], None, None
             for x, y in zip(batch.column(2), batch.column(3)):
                 y = y.as_py()
@@ -249,7 +249,7 @@ def bounded(members: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for node, grp, text in zip(batch.column(0), batch.column(1), batch.column(2)):
                 s = shingles(text.as_py(), n)
                 cell = mixed(s + mixed(np.array([grp.as_py()], np.uint64))) & MASK
@@ -366,7 +366,7 @@ def keyed_texts(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_co
     """(node, grp, n_shingles, text): one text for each of the ``wanted`` classes (node, grp, k1, k2, low)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keys = [set_key(shingles(t.as_py(), n)) for t in batch.column(0)]
             columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), batch.column(0)]
             yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "text"])
