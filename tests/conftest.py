@@ -9,6 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 TINY = "/root/testdata/sf0.001"
 SMALL = "/root/testdata/sf0.01"
+LARGER = "/root/testdata/sf0.1"
 
 
 @pytest.fixture(scope="session")
