@@ -19,17 +19,20 @@ def lower(text):
 
 
 def brute_hits(docs, items, window=10):
+    asked = {}
+    for item_id, text in items:
+        w = WORD.findall(lower(text or ""))
+        size = min(window, len(w))
+        for o in range(len(w) - size + 1 if size else 0):
+            asked.setdefault(size, {}).setdefault(tuple(w[o : o + size]), set()).add(str(item_id))
     out = []
-    lists = [(i, WORD.findall(lower(t or ""))) for i, t in items]
     for doc_id, text in docs:
         words, hit, found = WORD.findall(lower(text or "")), set(), set()
-        for item_id, w in lists:
-            size = min(window, len(w))
-            for o in range(len(w) - size + 1 if size else 0):
-                for s in range(len(words) - size + 1):
-                    if words[s : s + size] == w[o : o + size]:
-                        hit.update(range(s, s + size))
-                        found.add(str(item_id))
+        for size, windows in asked.items():
+            for s in range(len(words) - size + 1):
+                if there := windows.get(tuple(words[s : s + size])):
+                    hit.update(range(s, s + size))
+                    found |= there
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out.append((doc_id, len(words), len(hit), len(found), digest, bool(hit)))
     return sorted(out, key=repr)
