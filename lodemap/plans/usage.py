@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import documents, search, usage
 from ..operators.review import apply_header, preview
+from ..sources import workbooks
 from ..streaming.rollup import daily_rollup_once
 from .registry import query, table
 
@@ -161,3 +162,11 @@ def preview_header(spark, sf_dir):
     raw = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).cast("long").alias("_row_id"), F.col("n_nationkey").cast("string").alias("c0"), F.col("n_name").alias("c1"))
     head = spark.createDataFrame([(0, "key", "name")], "_row_id long, c0 string, c1 string")
     return preview(apply_header(head.unionByName(raw), 0, [("key", "int", None), ("name", "string", None)]), 10)
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS c0, o_orderpriority AS c1, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS c2 FROM orders")
+def workbook_rows(spark, sf_dir):
+    """All orders written to workbooks and read back; the header of each is left out."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("o_orderdate"))
+    rows = workbooks.sheet_rows(workbooks.as_workbooks(o, "orders", 5_000)).where("row_no > 0")
+    return rows.select(*[F.get("cells", F.lit(k)).alias(f"c{k}") for k in range(3)])

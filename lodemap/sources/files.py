@@ -8,6 +8,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 SUFFIXES = (".csv", ".tsv", ".txt", ".md")
 SNIFFED = 64 * 1024
+#: Signs of windows-1252 where ISO-8859-1, the nearest that the CSV reader takes, has control signs.
+C1 = "".join(map(chr, range(0x80, 0xA0)))
+C1_SIGNS = "".join(bytes([ord(c)]).decode("windows-1252", "ignore") or c for c in C1)
 
 
 class UnsupportedFile(ValueError):
@@ -27,24 +30,57 @@ def sniff(sample: str, path: str = "") -> tuple[str, str]:
     return mark, "'" if sample.count("'" + mark) > sample.count('"' + mark) else '"'
 
 
-def read_raw(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def encoding_of(spark: SparkSession, path: str) -> tuple[str, float]:
+    """(encoding, confidence) of text files: their mark, else UTF-8 if every line is valid, else windows-1252.
+
+    ``text`` keeps a file's bytes as they are, so one pass over all lines decides.
+    """
+    value = F.col("value").cast("binary")
+    mark = F.hex(F.substring(value, 1, 2))
+    row = (
+        spark.read.text(path)
+        .agg(F.max(mark == "FFFE").alias("little"), F.max(mark == "FEFF").alias("big"), F.min(F.is_valid_utf8("value")).alias("valid"))
+        .first()
+    )
+    if row["little"] or row["big"]:
+        return "UTF-16", 1.0
+    return ("UTF-8", 1.0) if row["valid"] is not False else ("windows-1252", 0.5)
+
+
+def read_raw(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """(_row_id, c0..cN string): all rows of delimited files, title and header rows too; ragged rows are filled with null.
 
-    The dialect and the number of columns come from one read of the files' start
-    and one pass over the rows; cells may hold line ends if they are quoted.
+    The encoding is found unless it is given. The dialect comes from the files' start,
+    the number of columns from one pass over the rows that sees what is quoted. Cells
+    may hold line ends if they are quoted; only a table with such cells, or in UTF-16,
+    is read a file a task, all others are split.
     """
     if not path.lower().rstrip("/").endswith((".csv", ".tsv", ".txt")):
         raise UnsupportedFile(path)
-    head = spark.read.option("encoding", encoding).text(path).limit(200).collect()  # for the dialect
-    lines = [r[0] for r in head if r[0].strip()]
+    encoding = encoding or encoding_of(spark, path)[0]
+    wide, ansi = encoding.upper().startswith("UTF-16"), encoding.lower() in ("windows-1252", "cp1252")
+    whole = spark.read.text(path, wholetext=True).select(F.decode(F.col("value").cast("binary"), encoding).alias("value")) if wide else None
+    lines_of = whole.select(F.explode(F.split("value", r"\r?\n|\r")).alias("value")) if wide else spark.read.text(path)
+    lines = [r[0] for r in lines_of.limit(200).collect() if r[0].strip("\ufeff \t\r\n")]  # for the dialect
     if not lines:
         raise EmptyFile(path)
     mark, quote = sniff("\n".join(lines)[:SNIFFED], path)
-    options = {"sep": mark, "quote": quote, "escape": quote, "header": False, "multiLine": True, "encoding": encoding}
-    width = spark.read.text(path).agg(F.max(F.length(F.regexp_replace("value", f"[^\\{mark}]", "")) + 1)).first()[0]
+    quoted = rf"(^|[\{mark}\n\r]) *{quote}(?:[^{quote}]++|{quote}{quote})*+{quote}"
+
+    def width_of(text):
+        return F.length(F.regexp_replace(F.regexp_replace(text, quoted, "$1"), rf"[^\{mark}]", "")) + 1
+
+    odd = F.length(F.regexp_replace("value", f"[^{quote}]", "")) % 2 == 1
+    width, split = lines_of.agg(F.max(width_of(F.col("value"))), F.max(odd)).first()
+    if split:  # a quoted cell may go on in the next line, and its row's columns with it
+        texts = whole if wide else spark.read.text(path, wholetext=True)
+        rest = texts.select(F.explode(F.split(F.regexp_replace("value", quoted, "$1"), r"\r?\n|\r")).alias("value"))
+        width = max(width, rest.agg(F.max(width_of(F.col("value")))).first()[0])
+    options = {"sep": mark, "quote": quote, "escape": quote, "header": False, "multiLine": bool(split or wide), "encoding": "ISO-8859-1" if ansi else encoding}
     schema = StructType([StructField(f"c{i}", StringType()) for i in range(width)])
     rows = spark.read.options(**options).schema(schema).csv(path)
-    return rows.select(F.monotonically_increasing_id().alias("_row_id"), *rows.columns)
+    cells = [F.translate(c, C1, C1_SIGNS).alias(c) if ansi else F.col(c) for c in rows.columns]
+    return rows.select(F.monotonically_increasing_id().alias("_row_id"), *cells)
 
 
 def hashed(spark: SparkSession, path: str) -> DataFrame:
@@ -59,8 +95,8 @@ def new_files(found: DataFrame, known: DataFrame) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, confidence, reason) of text and markdown files, one page each."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
-    empty = F.trim("text") == ""
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    empty = ~F.col("text").rlike(r"\S")
     return rows.select("path", "text", F.when(empty, 0.2).otherwise(0.98).alias("confidence"), F.when(empty, "empty_document").alias("reason"))
 
 
