@@ -6,14 +6,20 @@ what it said (content) on each page.  The importance of a node is the larger of
 the two normalised entropies; that of a branch is the largest in it.  Branches of
 low importance, the same on page after page, are removed from each page, together
 with the elements whose role is never article text (menus, forms, adverts, ...).
-What lies in an ``article`` or ``main`` element is authored text: there only roles
-are removed, never words for being common.
+On a page with an ``article`` or ``main`` element only its text is main text; no
+branch is removed there, but every line is judged by its own share of the entropy,
+ln(pages / pages with the line) / ln(pages), within the article texts of the host
+(elsewhere, within its other text).  So a notice repeated on page after page goes
+wherever it stands, and a line seen on few pages always stays.  An article in an
+element with a hinted class counts, unless the class names comments, adverts or
+related pages; one in an element of another role doesn't.
 
 Counting is by (host, path, feature) with partial aggregates, so a host that
 holds a third of all pages isn't gathered anywhere.  Null or empty html gives an
 empty text, a null url the host ''.  Repeated rows give a row each.  If removal
-would leave nothing of a page, that page keeps its branches.  Columns other than
-the three named ones are not read.
+would leave nothing of a page, that page keeps its branches and lines, and if it
+still has nothing, the articles in hinted elements.  Columns other than the three
+named ones are not read.
 """
 
 from __future__ import annotations
@@ -46,6 +52,12 @@ HINTS = frozenset(
     "footer masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo related reply respond "
     "share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Those that mark what isn't by the page's author or is about other pages: an article in them is none of the page's own.
+FOREIGN = frozenset(
+    "ad ads advert adverts advertisement advertising comment comments disqus promo related reply respond sponsor sponsored".split()
+)
+#: First pieces of a class that make an article itself a comment or a teaser.
+NOT_OWN = frozenset("comment reply teaser related promo sponsored ad advert".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -65,32 +77,48 @@ PIECES = re.compile(r"[^a-z0-9]+")
 UNFINISHED = re.compile(r"<(?:[a-zA-Z!?]|/[a-zA-Z])")
 
 
+#: Why an element's text is skipped: words that an article in it overrules, words that it doesn't, or its role.
+HINTED, NAMED, ROLE = 1, 2, 3
+#: Paths that stand for the text of all articles of a page, and for its other text.
+ARTICLES, OUTSIDE = "articles", ""
+
+
 class Node:
     __slots__ = ("tag", "path", "skip", "main", "depth")
 
-    def __init__(self, tag: str, path: str, skip: bool, main: bool, depth: int):
+    def __init__(self, tag: str, path: str, skip: int, main: bool, depth: int):
         self.tag, self.path, self.skip, self.main, self.depth = tag, path, skip, main, depth
 
 
-ROOT = Node("", "", False, False, 0)
+ROOT = Node("", "", 0, False, 0)
 
 
-def opened(tag: str, attributes: str, over: Node) -> Node:
-    """The node of an opening tag under an open element."""
-    label, hinted = tag, False
+def opened(tag: str, attributes: str, over: Node, lift: int = HINTED) -> Node:
+    """The node of an opening tag under an open element; an article is not skipped for reasons up to ``lift``."""
+    label, skip, article = tag, over.skip, tag in ("article", "main")
     if attributes:
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             value = (a or b or c).lower()
             if name.lower() == "class" or name.lower() == "id":
                 label += "." + value[:40]
-            hinted = hinted or (tag not in ("html", "body", "article", "main") and not HINTS.isdisjoint(PIECES.split(value)))
-    main = over.main or tag in ("article", "main")
-    skip = over.skip or tag in ROLES or hinted or (tag == "header" and not over.main)
+            if article:
+                if any(PIECES.split(c, maxsplit=1)[0] in NOT_OWN for c in value.split()):
+                    skip = max(skip, NAMED)
+            elif tag not in ("html", "body"):
+                pieces = PIECES.split(value)
+                if not HINTS.isdisjoint(pieces):
+                    skip = max(skip, HINTED if FOREIGN.isdisjoint(pieces) else NAMED)
+    if tag in ROLES or (tag == "header" and not over.main):
+        skip = ROLE
+    # Inside an article what is hinted stays out, whatever it holds.
+    if article and not over.main and skip <= lift:
+        skip = 0
+    main = over.main or (article and not skip)
     path = f"{over.path}/{label}" if over.depth < MAX_DEPTH else over.path
     return Node(tag, path, skip, main, over.depth + 1)
 
 
-def walk(page: str) -> Iterator[tuple[str, Node, str]]:
+def walk(page: str, lift: int = HINTED) -> Iterator[tuple[str, Node, str]]:
     """('text', open element, raw text), ('open', node, parent's path) and ('close', node, '') in page order."""
     stack = [ROOT]
     at, end = 0, len(page)
@@ -128,7 +156,7 @@ def walk(page: str) -> Iterator[tuple[str, Node, str]]:
                     break
                 if stack[k].tag in STOPS:
                     break
-        node = opened(tag, m[3], stack[-1])
+        node = opened(tag, m[3], stack[-1], lift)
         yield "open", node, stack[-1].path
         if tag in VOID or m[3].endswith("/"):
             yield "close", node, ""
@@ -140,41 +168,29 @@ def walk(page: str) -> Iterator[tuple[str, Node, str]]:
             stack.append(node)
 
 
-def features(page: str) -> list[tuple[str, int, int, bool]]:
-    """(path, hash of its children's tags, hash of its own text, inside an article) of each distinct path of a page."""
-    shape: dict[str, list[str]] = {}
-    said: dict[str, list[str]] = {}
-    inside: dict[str, bool] = {}
-    for what, node, more in walk(page):
-        if what == "open":
-            if not node.skip:
-                inside.setdefault(node.path, node.main)
-            tags = shape.setdefault(more, [])
-            if not tags or tags[-1] != node.tag:
-                tags.append(node.tag)
-        elif what == "text" and not node.skip:
-            said.setdefault(node.path, []).append(" ".join(more.split()))
-    hashed = lambda x: xxhash.xxh64_intdigest(x) - (1 << 63)
-    return [(p, hashed(">".join(shape.get(p, []))), hashed("\n".join(said.get(p, []))), m) for p, m in inside.items()]
+def hashed(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def blocks(page: str, low: frozenset[str]) -> list[str]:
-    """Text of the blocks that stay, in page order."""
-    out: list[str] = []
+def lines(events: list[tuple[str, Node, str]], low: frozenset[str] = frozenset()) -> list[tuple[str, bool]]:
+    """(text, inside an article) of the blocks outside low branches, in page order; of a page with articles, of these only."""
+    out: list[tuple[str, bool]] = []
     kept: list[str] = []
-    whole = any(m[2] and m[2].lower() in ("article", "main") for m in TOKEN.finditer(page) if m[2] and not m[1])
+    inside = False
+    whole = any(what == "text" and node.main and not node.skip and not more.isspace() for what, node, more in events)
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(kept)).split())
         if text:
-            out.append(text)
+            out.append((text, inside))
         kept.clear()
 
     cut: list[Node] = []
-    for what, node, more in walk(page):
+    for what, node, more in events:
         if what == "text":
             if not node.skip and not cut and (node.main or not whole):
                 kept.append(more)
+                inside = node.main
             continue
         if node.tag not in INLINE:
             flush()
@@ -188,8 +204,42 @@ def blocks(page: str, low: frozenset[str]) -> list[str]:
     return out
 
 
-def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The merged trees: (host, path, pages long, presentation, content, importance double, main boolean)."""
+#: What is counted of a path: its children's tags, its own text, or a line of its text.
+SHAPE, SAID, LINE = 0, 1, 2
+
+
+def features(page: str) -> list[tuple[str, int, int, bool]]:
+    """(path, kind, hash, inside an article): each distinct path's children and text, and each distinct line."""
+    events = list(walk(page))
+    shape: dict[str, list[str]] = {}
+    said: dict[str, list[str]] = {}
+    inside: dict[str, bool] = {}
+    for what, node, more in events:
+        if what == "open":
+            if not node.skip:
+                inside.setdefault(node.path, node.main)
+            tags = shape.setdefault(more, [])
+            if not tags or tags[-1] != node.tag:
+                tags.append(node.tag)
+        elif what == "text" and not node.skip:
+            said.setdefault(node.path, []).append(" ".join(more.split()))
+    out = []
+    for p, m in inside.items():
+        out.append((p, SHAPE, hashed(">".join(shape.get(p, []))), m))
+        out.append((p, SAID, hashed("\n".join(said.get(p, []))), m))
+    found = {(m, hashed(text)) for text, m in lines(events)}
+    for m in {m for m, _ in found}:
+        out.append((ARTICLES if m else OUTSIDE, SHAPE, 0, m))
+    return out + [(ARTICLES if m else OUTSIDE, LINE, h, m) for m, h in found]
+
+
+def blocks(page: str, low: frozenset[str], common: frozenset[int] = frozenset(), lift: int = HINTED) -> list[str]:
+    """Text of the blocks that stay, in page order; ``common`` are hashes of lines, with those of articles inverted."""
+    return [text for text, m in lines(list(walk(page, lift)), low) if not common or (~hashed(text) if m else hashed(text)) not in common]
+
+
+def counts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, path, kind int, value, n long, main boolean): on how many pages each feature of a path is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,17 +249,19 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
                 for f in features(page)
             ]
             columns = list(zip(*rows)) or [[]] * 5
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "path", "shape", "said", "main"])
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "path", "kind", "value", "main"])
 
     nodes = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).mapInArrow(
-        run, "host string, path string, shape long, said long, main boolean"
+        run, "host string, path string, kind int, value long, main boolean"
     )
-    seen = nodes.select(
-        "host", "path", "main", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("shape").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("said").alias("value")))).alias("f")
-    ).groupBy("host", "path", "f.kind", "f.value").agg(F.count("*").alias("n"), F.min("main").alias("main"))
+    return nodes.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"), F.min("main").alias("main"))
+
+
+def style_tree(seen: DataFrame) -> DataFrame:
+    """The merged trees from ``counts``: (host, path, pages long, presentation, content, importance double, main boolean)."""
     log = F.col("n") * F.ln("n")
-    spread = seen.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), F.sum(log).alias("weight"), F.min("main").alias("main"))
+    spread = seen.where(F.col("kind") != LINE).groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), F.sum(log).alias("weight"), F.min("main").alias("main"))
     entropy = F.when(F.col("pages") < 2, F.lit(1.0)).otherwise(
         F.greatest(F.lit(0.0), (F.ln("pages") - F.col("weight") / F.col("pages")) / F.ln("pages"))
     )
@@ -218,8 +270,8 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         .groupBy("host", "path")
         .agg(
             F.max("pages").alias("pages"),
-            F.max(F.when(F.col("kind") == 0, F.col("h"))).alias("presentation"),
-            F.max(F.when(F.col("kind") == 1, F.col("h"))).alias("content"),
+            F.max(F.when(F.col("kind") == SHAPE, F.col("h"))).alias("presentation"),
+            F.max(F.when(F.col("kind") == SAID, F.col("h"))).alias("content"),
             F.min("main").alias("main"),
         )
         .withColumn("importance", F.greatest("presentation", "content"))
@@ -246,24 +298,39 @@ def low_branches(tree: DataFrame, low: float = LOW_IMPORTANCE, pages: int = MIN_
     )
 
 
+def common_lines(seen: DataFrame, low: float = LOW_IMPORTANCE, pages: int = MIN_PAGES) -> DataFrame:
+    """(host, lines array): hashes of the lines that are the same on page after page, by host; those of articles inverted."""
+    of = seen.where((F.col("kind") == SHAPE) & F.col("path").isin(ARTICLES, OUTSIDE)).groupBy("host", "path").agg(F.sum("n").alias("pages"))
+    return (
+        seen.where((F.col("kind") == LINE) & (F.col("n") >= pages))
+        .join(of, ["host", "path"])
+        .where(F.ln("pages") - F.ln("n") < low * F.ln("pages"))
+        .groupBy("host")
+        .agg(F.collect_list(F.when(F.col("path") == ARTICLES, F.bitwise_not("value")).otherwise(F.col("value"))).alias("lines"))
+    )
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The main text of every page: (id_col, url_col, text string, n_chars long)."""
-    low = stored(low_branches(style_tree(pages, url_col, html_col)), "style-tree")
+    seen = stored(counts(pages, url_col, html_col), "page-features")
+    low = stored(low_branches(style_tree(seen)).join(common_lines(seen), "host", "full"), "style-tree")
     rows = pages.select(
         F.col(id_col), F.col(url_col), F.coalesce(F.col(html_col), F.lit("")).alias("_html"), host_of(F.col(url_col)).alias("_host")
     )
-    rows = rows.join(sized(low.withColumnsRenamed({"host": "_host", "paths": "_low"}), low.count(), 20_000), "_host", "left").select(
-        id_col, url_col, "_html", "_low"
+    rows = rows.join(sized(low.withColumnsRenamed({"host": "_host", "paths": "_low", "lines": "_common"}), low.count(), 20_000), "_host", "left").select(
+        id_col, url_col, "_html", "_low", "_common"
     )
     kinds = dict(pages.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                found = blocks(page, frozenset(paths or ()))
-                if not found and paths:
+            for page, paths, same in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                found = blocks(page, frozenset(paths or ()), frozenset(same or ()))
+                if not found and (paths or same):
                     found = blocks(page, frozenset())
+                if not found and page:
+                    found = blocks(page, frozenset(), lift=NAMED)
                 texts.append("\n".join(found))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

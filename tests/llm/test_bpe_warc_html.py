@@ -113,6 +113,31 @@ def test_style_tree_drops_what_repeats_on_a_host(spark):
     assert got == {i: f"Own words {i} of this page" for i in range(8)}
 
 
+def test_style_tree_judges_lines_inside_articles(spark):
+    pages = [f"<body><article><h1>Title {i}</h1><div class='x'><p>Read our paper</p></div><p>Own words {i} of this page</p><p>Buy <b>now</b></p></article></body>" for i in range(40)]
+    pages[7] = pages[7].replace("Read our paper", "Only this page says so")
+    pages[8] = "<body><article><p>Read our paper</p></article></body>"
+    got = text_of(spark, *pages)
+    assert got.pop(7) == "Title 7\nOnly this page says so\nOwn words 7 of this page" and got.pop(8) == "Read our paper"
+    assert got == {i: f"Title {i}\nOwn words {i} of this page" for i in got}
+
+
+def test_html_counts_only_articles_of_the_page_itself(spark):
+    body = "<div class='text'><p>The text</p></div>"
+    pages = [
+        f"<body>{body}<aside><article>Teaser</article></aside></body>",
+        f"<body>{body}<ol><li><article class='comment-body'>first!</article></ol></body>",
+        f"<body><script>s = '<article>';</script>{body}</body>",
+        "<body><div>Site</div><div class='with sidebar'><article><p>The text</p><div class='share'>Share</div></article></div></body>",
+        "<body><div class='has-comments'><article><p>The text</p></article></div></body>",
+        f"<body><article> </article>{body}</body>",
+        f"<body><main>{body}<div class='related'><article>Teaser</article></div></main></body>",
+    ]
+    for i, page in enumerate(pages):
+        assert html_text.blocks(page, frozenset()) == ["The text"] or i == 4
+    assert text_of(spark, *pages[:5])[4] == "The text"
+
+
 def test_html_query_gives_every_page(spark):
     pages = {r["page_id"]: r for r in table(spark, SMALL, "pages").collect()}
     rows = queries.op9_html_text(spark, SMALL).collect()
