@@ -1,20 +1,23 @@
 """Document fingerprints by I-Match with randomised lexicons.
 
 Document frequencies of all terms give the lexicon: the terms whose inverse
-document frequency lies in a chosen band.  A text keeps its distinct terms of the
-lexicon (as 64-bit ids, sorted) and hashes them for several lexicon subsets: slot 0 takes the
-whole lexicon; slot r takes the smallest lexicon of the r-th random family (each
-half as large as the one before) in which the text still has a term.  Equal texts
-have equal fingerprints, and a text that shares a share of its terms with another
-agrees in about that share of the slots.
+document frequency lies in a chosen band.  A text's distinct terms (as 64-bit ids)
+are hashed for several lexicons: slot 0 takes those in the band, or all if none is;
+slot r takes the smallest lexicon of the r-th random family in which the text still
+has a term.  A family holds all terms in a random order and each of its lexicons
+lacks the last term of the one before; a term of the band stands ``BAND_WEIGHT``
+times as far in front as another.  So terms of the band decide where a text has
+them, and the others where it has few or none, as in a group of copies that holds
+so many of the documents that its terms are above the band.  Equal texts have equal
+fingerprints, and a text that shares a share of its terms with another agrees in
+about that share of the slots.
 
 DataFrame functions only.  The lexicon is bounded: a text of d distinct terms adds
 d to the sum of all frequencies, so with a least share p of the documents there
 are at most (mean d)/p terms, whatever the size of the corpus.
 
-Null text counts as empty.  A short text without terms in the band keeps all its
-terms; without any terms it is fingerprinted by its own hash.  Repeated rows each
-give a row.  Other columns are not read.
+Null text counts as empty.  No text loses terms, whatever its length; without any
+terms it is fingerprinted by its own hash.  Repeated rows each give a row.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ LOW_SHARE, HIGH_SHARE = 0.001, 0.1
 #: Random lexicon families; a fingerprint has one slot more.
 FAMILIES = 16
 SLOT = 12
-#: Texts of at most so many distinct terms keep all of them if none is in the band.
-SHORT = 60
+#: How much more a term of the band counts than another; a power of two.
+BAND_WEIGHT = 4
 #: Documents are put in order in blocks of about so many rows, of which there are at most BLOCKS.
 BLOCK_ROWS, BLOCKS = 4_000, 2_000
 LEXICON_BROADCAST = 500_000
@@ -49,37 +52,16 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW_SHARE, hig
     return stored(counts.where((F.col("df") >= max(2, low * n)) & (F.col("df") <= max(2, high * n))).select("term"), "lexicon")
 
 
-def level(term: Column, family: int) -> Column:
-    """The size class of the smallest lexicon of a family that has the term: the lowest one-bit of a hash."""
-    h = F.xxhash64(term, F.lit(family)).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 61))
-    return h.bitwiseAND(-h)
-
-
-def subset_hash(terms: Column, family: int) -> Column:
-    """Hash of the terms, in order, that the smallest lexicon of the family with any of them has."""
-
-    def step(acc: Column, term: Column) -> Column:
-        new = level(term, family)
-        return (
-            F.when(new > acc["top"], F.struct(new.alias("top"), F.xxhash64(term).alias("hash")))
-            .when(new == acc["top"], F.struct(acc["top"].alias("top"), F.xxhash64(acc["hash"], term).alias("hash")))
-            .otherwise(acc)
-        )
-
-    start = F.struct(F.lit(0).cast("long").alias("top"), F.lit(0).cast("long").alias("hash"))
-    return F.aggregate(terms, start, step, lambda acc: acc["hash"])
+def rank(term: Column, known: Column, family: int) -> Column:
+    """The place of a term id in the random order of a family."""
+    h = F.xxhash64(term, F.lit(family)).bitwiseAND(F.lit((1 << 62) - 1))
+    return F.when(known, F.shiftright(h, BAND_WEIGHT.bit_length() - 1)).otherwise(h)
 
 
 def slot(hashed: Column) -> Column:
     return F.lpad(F.substring(F.lower(F.hex(hashed)), 1, SLOT), SLOT, "0")
 
 
-def slots(terms: Column) -> Column:
-    """The fingerprint, as text, of an array of sorted distinct term ids; null if it has none."""
-    parts = [slot(F.xxhash64(terms)), *(slot(subset_hash(terms, r)) for r in range(FAMILIES))]
-    return F.when(F.size(terms) > 0, F.concat(*parts))
-
-
 def likeness(a: Column, b: Column) -> Column:
     """1 if the whole fingerprints agree, else the share of equal slots among the random families."""
     starts = F.array(*[F.lit(1 + SLOT * (r + 1)) for r in range(FAMILIES)])
@@ -127,26 +109,29 @@ def fingerprint(texts: DataFrame, known: DataFrame, keys: list[str], text_cols:
         F.struct(F.lit(i).alias("which"), F.concat(distinct_terms(F.col(c)), F.array(F.lit(""))).alias("terms"), F.xxhash64(c).alias("whole"))
         for i, c in enumerate(text_cols)
     ]
-    rows = texts.select(*keys, F.explode(F.array(*each)).alias("_t")).select(
-        *keys, "_t.which", (F.size("_t.terms") <= SHORT).alias("short"), "_t.whole", F.explode("_t.terms").alias("term")
-    )
+    rows = texts.select(*keys, F.explode(F.array(*each)).alias("_t")).select(*keys, "_t.which", "_t.whole", F.explode("_t.terms").alias("term"))
     rows = rows.join(sized(known.withColumn("known", F.lit(True)), n, LEXICON_BROADCAST), "term", "left")
-    rows = rows.where(F.col("known") | F.col("short") | (F.col("term") == ""))
-    sets = []
-    for i, c in enumerate(text_cols):
-        mine, word = F.col("which") == i, F.col("term") != ""
-        sets += [
-            F.collect_set(F.when(mine & word & F.col("known"), F.xxhash64("term"))).alias(f"_band{i}"),
-            F.collect_set(F.when(mine & word & F.col("short"), F.xxhash64("term"))).alias(f"_all{i}"),
-            F.max(F.when(mine, F.col("whole"))).alias(f"_whole{i}"),
+    rows = rows.select(*keys, "which", "whole", (F.col("term") != "").alias("word"), F.xxhash64("term").alias("term"), F.coalesce("known", F.lit(False)).alias("known"))
+    facts = []
+    for i in range(len(text_cols)):
+        mine = (F.col("which") == i) & F.col("word")
+        band = mine & F.col("known")
+        facts += [
+            F.max(F.when(F.col("which") == i, F.col("whole"))).alias(f"_whole{i}"),
+            F.count_if(mine).alias(f"_all{i}"),
+            F.count_if(band).alias(f"_band{i}"),
+            F.bit_xor(F.when(mine, F.col("term"))).alias(f"_all_terms{i}"),
+            F.bit_xor(F.when(band, F.col("term"))).alias(f"_band_terms{i}"),
+            *[F.min(F.when(mine, rank(F.col("term"), F.col("known"), r))).alias(f"_first{i}_{r}") for r in range(FAMILIES)],
         ]
-    out = rows.groupBy(*keys).agg(*sets)
-    for i, c in enumerate(text_cols):
-        out = out.withColumn(f"_kept{i}", F.array_sort(F.when(F.size(f"_band{i}") > 0, F.col(f"_band{i}")).otherwise(F.col(f"_all{i}"))))
-    alone = lambda i: F.repeat(slot(F.col(f"_whole{i}")), FAMILIES + 1)
-    return out.select(
-        *keys, *[F.coalesce(slots(F.col(f"_kept{i}")), alone(i)).alias(f"{c}_print") for i, c in enumerate(text_cols)]
-    )
+    out = rows.groupBy(*keys).agg(*facts)
+
+    def printed(i: int) -> Column:
+        terms = F.when(F.col(f"_band{i}") > 0, F.xxhash64(f"_band{i}", f"_band_terms{i}")).otherwise(F.xxhash64(f"_all{i}", f"_all_terms{i}"))
+        parts = [slot(terms), *(slot(F.xxhash64(f"_first{i}_{r}")) for r in range(FAMILIES))]
+        return F.when(F.col(f"_all{i}") > 0, F.concat(*parts)).otherwise(F.repeat(slot(F.col(f"_whole{i}")), FAMILIES + 1))
+
+    return out.select(*keys, *[printed(i).alias(f"{c}_print") for i, c in enumerate(text_cols)])
 
 
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

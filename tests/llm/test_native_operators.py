@@ -142,3 +142,23 @@ def test_fingerprints_of_odd_rows(spark):
     assert fingerprints.edit_likeness(docs.limit(0)).count() == 0
     lone = fingerprints.edit_likeness(docs.where("doc_id = 6")).collect()
     assert len(lone) == 1 and lone[0]["near_next"] == 1.0
+
+
+def test_fingerprints_of_a_hot_group_of_long_near_copies(spark):
+    hot = [f"hot{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        words = [f"w{i * 37 % 300 + k}" for k in range(120)]
+        if i % 3 == 0 or i < 60:  # a run, so that next documents are of the group too
+            words = list(hot)
+            for k in range(3):
+                words[(i * 7 + k * 31) % 150] = f"edit{(i + k) % 40}"
+        rows.append((i, " ".join(words)))
+    rows += [(400 + i, "".join(f"これは{i // 2}の{k}行です\n" for k in range(90)) + f"終わり{i}") for i in range(4)]
+    got = {r["doc_id"]: r for r in fingerprints.edit_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = sorted(got[i]["near_next"] for i in range(1, 60))
+    assert near[len(near) // 2] > 0.5 and near[0] > 0.1
+    assert min(got[i]["near_edited"] for i in range(300)) > 0
+    assert got[403]["near_next"] > 0.7 > 0.1 > got[402]["near_next"] and got[401]["near_next"] > 0.7
+    other = sorted(got[i]["near_next"] for i in range(61, 300, 3))  # after these comes one of the group
+    assert other[len(other) // 2] < 0.2
