@@ -134,8 +134,8 @@ class Voters:
         out[n + 2] = min(1.0, 10 * hits / words)
         for k, p in enumerate(self.PATTERNS):
             out[n + 3 + k] = min(1.0, 5 * text.count(p) / words)
-        head = text[:2000]
-        out[-1] = float(len(head) > 20 and head.upper() == head)
+        capitals = sum(map(str.isupper, text))
+        out[-1] = capitals / max(1, capitals + sum(map(str.islower, text))) if len(text) > 20 else 0.0
         return out
 
     def votes(self, x: np.ndarray) -> np.ndarray:

@@ -133,6 +133,15 @@ def test_toxicity_never_reads_labels_of_the_held_out_fold(spark):
     assert one == sorted(tuple(r) for r in toxicity.classify(docs, flipped).collect())
 
 
+def test_shouting_is_judged_by_the_whole_text():
+    lexicon = toxicity.Voters([])
+    loud, quiet = "READ THIS NOW " * 200, "and then plain words " * 1_000
+    assert lexicon.features(loud)[-1] == 1.0 and lexicon.features(quiet)[-1] == 0.0
+    assert lexicon.features(loud + quiet)[-1] < 0.2
+    assert lexicon.features(quiet[:2_100] + loud * 10)[-1] > 0.8
+    assert lexicon.features("12 34 " * 10)[-1] == 0.0 and lexicon.features("HI")[-1] == 0.0
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 1.0), (2, "", 1.0), (3, "you idiot", 1.0), (3, "you idiot", 1.0), (None, "kind words", 1.0)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
