@@ -221,6 +221,7 @@ def decontaminate(
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without any benchmark passage, with all their columns; decided row by row, also where ids repeat or are null."""
     rows = numbered(docs)
-    judged = decontaminate(rows.select("_lm_row", text_col), benchmark, window, "_lm_row", text_col, item_col, item_text_col)
-    gone = stored(judged.where("contaminated").select("_lm_row"), "contaminated")
-    return rows.join(sized(gone, gone.count()), "_lm_row", "left_anti").select(*docs.columns)
+    texts = rows.select("row", F.col("doc")[text_col].alias("text"))
+    judged = decontaminate(texts, benchmark, window, "row", "text", item_col, item_text_col)
+    gone = stored(judged.where("contaminated").select("row"), "contaminated")
+    return rows.join(sized(gone, gone.count()), "row", "left_anti").select("doc.*")

@@ -5,22 +5,28 @@ sets reaches a threshold.  The result is exact: every row with its set's size an
 the component that links join it to.
 
 1. Sets.  Rows with equal sets form a class; only one row of each goes on.
-2. Groups of similar documents.  A set is dealt by hash into m blocks, where m is
-   more than two linked sets of that size can differ by, so linked sets have an
-   equal block.  Sets that share a block, directly or through others, form a group.
-3. Token-group matrix.  For every group the union of its tokens is stored with the
-   number of members that have each.  A query's overlap with the rest of its group
-   bounds its overlap with any member: a document below what the threshold asks for
-   is out, and where fewer than two remain the group isn't opened at all.
+2. Groups of similar documents.  A set is dealt by hash into m blocks, so many more
+   than two linked sets of that size can differ by that linked sets have at least
+   ``need`` equal blocks.  A document that shares fewer is out.  Sets that share a
+   block, directly or through others, form a group.  Of large sets, which differ in
+   hundreds of tokens, only so many blocks are kept that two linked ones share
+   fewer than ``need`` of them with a probability of at most ``LOSS``.
+3. Token-group matrix.  For every group the union of its tokens is counted: how many
+   members have each.  A query's overlap with the rest of its group bounds its
+   overlap with any member: a document below what the threshold asks for is out,
+   and where fewer than two remain the group isn't opened at all.
 4. Opened groups.  The document with the fewest tokens of its own is the hub of a
-   block, and of the group; the others are compared with the group's and their best
-   block's hub first, which joins most of a group by two comparisons a member.  Only
-   pairs that share a block and lie in different components are compared besides, and
-   of these only such whose differences from the group's hub can overlap by enough.
+   block; each is compared with the hub it shares most blocks with first, which joins
+   most of a group by one comparison a member.  Only pairs that share enough blocks
+   and lie in different components are compared besides, and of these only such
+   whose sketches don't differ by too much: a sketch has the parities of the tokens
+   in each of ``BITS`` cells, and each token of only one of two sets flips one bit.
 
 No all-pairs list of a group is made, no group is gathered in a task, and nothing
-but counts reaches the driver.  Token hashes have 64 bits; hashes of blocks and
-matrix rows have 48, whose rare collisions only add comparisons.
+but counts reaches the driver.  All that is found by block or token is aggregated in
+the tasks before it is dealt out, so that what a third of all rows share is no hot
+key.  Token hashes have 64 bits; hashes of blocks and matrix rows have 48, whose
+rare collisions only add comparisons.  Tables that are no longer needed are deleted.
 
 Null or empty text has the empty set, links with nothing and is a component of its
 own.  Repeated rows and ids each give a row.  A component's id is the smallest
@@ -35,16 +41,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import numbered, sized, slices, stored
+from .shared import discard, numbered, sized, slices, stored
 
 #: Sizes in one class differ at most by this factor (or by 1 / threshold if that is more).
 RATIO = 1.5
 #: Documents with too many empty blocks are dealt again so many times.
 DEALS = 3
+#: Of the blocks that two linked sets can differ in, so many more are equal besides.
+MORE = 0.1
+#: The blocks of large sets: equal ones that are asked for, and how likely two linked sets may have fewer.
+SAME, LOSS = 8, 1e-12
 CACHE_WORDS = 100_000
+#: Bits of a sketch, in longs.
+BITS = 1024
+WORDS = [f"s{i}" for i in range(BITS // 64)]
 MASK = np.uint64((1 << 48) - 1)
 
 
@@ -82,13 +95,16 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 
 
 class Sizes:
-    """Size classes of a threshold num / den, and in how many blocks each deals its sets."""
+    """Size classes of a threshold num / den, and how each deals its sets: in how many blocks, how many
+    of these are kept, how many are equal in two linked sets, and how many of these aren't empty in both."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.low = [1]
         self.blocks: list[int] = []
-        self.spare: list[int] = []
+        self.kept: list[int] = []
+        self.equal: list[int] = []
+        self.need: list[int] = []
 
     def extend(self, size: int) -> None:
         ratio = max(RATIO, self.den / self.num)
@@ -96,16 +112,42 @@ class Sizes:
             low = self.low[-1]
             high = max(low + 1, math.ceil(low * ratio))
             differ = 2 * (high - 1) * (self.den - self.num) // (self.den + self.num)
-            spare = 1
+            deal = (0, 0, 0, 0)
             if differ:
-                for _ in range(8):
-                    spare = 1 + math.ceil(1.5 * (differ + spare) * math.exp(-low / (differ + spare)))
-                    if spare > low:
-                        spare = low
-                        break
+                deal = self.all_blocks(low, differ)
+                if low > differ:
+                    deal = min(deal, self.some_blocks(low, differ), key=lambda x: x[1])
             self.low.append(high)
-            self.blocks.append(differ + spare if differ else 0)
-            self.spare.append(spare)
+            for values, x in zip((self.blocks, self.kept, self.equal, self.need), deal):
+                values.append(x)
+
+    @staticmethod
+    def all_blocks(low: int, differ: int) -> tuple[int, int, int, int]:
+        """More blocks than two linked sets can differ in: the rest of them are equal."""
+        need = equal = 1 + int(MORE * differ)
+        for _ in range(8):
+            equal = need + math.ceil(1.5 * (differ + equal) * math.exp(-low / (differ + equal)))
+            if equal > low:
+                need, equal = 1, low
+                break
+        return differ + equal, differ + equal, equal, need
+
+    @staticmethod
+    def some_blocks(low: int, differ: int) -> tuple[int, int, int, int]:
+        """As many of ``differ`` blocks as make fewer than ``equal`` equal ones no likelier than LOSS.
+
+        A block is equal if none of the differences is dealt to it.  These events are
+        negatively associated, so Chernoff's bound for independent ones holds.
+        """
+        q = (1 - 1 / differ) ** differ if differ > 1 else 0.0
+        kept = 32
+        while kept <= differ:
+            equal = SAME + math.ceil(1.5 * kept * math.exp(-low / differ))
+            z = (equal - 1) / kept
+            if z < q and kept * (z * math.log(z / q) + (1 - z) * math.log((1 - z) / (1 - q))) >= -math.log(LOSS):
+                return differ, kept, equal, SAME
+            kept += 4
+        return differ, 1 << 62, 0, 0
 
     def classes(self, size: int) -> list[int]:
         """The class of a size, and the next one if larger sets there can link with it."""
@@ -114,33 +156,38 @@ class Sizes:
         return [c, c + 1] if size * self.den >= self.low[c + 1] * self.num else [c]
 
 
-def block_tokens(sets: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """48-bit hashes of the blocks of a set, in each of its size classes.
+def block_tokens(sets: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, int]:
+    """Size class and 48-bit hash of the kept blocks of a set, in each of its size classes, and how many a linked set shares at least.
 
-    At least ``spare`` blocks of two linked sets are equal.  If as many of a set's
-    blocks are empty these could be all, so it is dealt anew by another hash; the
-    last deal also tells which blocks are empty.
+    ``equal`` blocks of two linked sets are equal.  If so many of a set's blocks are
+    empty that fewer than ``need`` of these might be left, it is dealt anew by
+    another hash; the last deal also tells which blocks are empty.
     """
-    out = []
+    out, least = [], 1 << 30
     for c in sizes.classes(len(sets)):
-        m = sizes.blocks[c]
+        m, kept = sizes.blocks[c], sizes.kept[c]
         if not m:  # only equal sets can link
             continue
         for deal in range(DEALS):
             h = mixed(sets + np.uint64(0x632BE59BD9B4E019 * (deal + 1) % (1 << 64)))
             at = (h >> np.uint64(33)) % np.uint64(m)
+            if kept < m:
+                h, at = h[at < kept], at[at < kept]
             order = np.argsort(at, kind="stable")
             there, start = np.unique(at[order], return_index=True)
-            sums = np.add.reduceat(h[order], start)
             salt = np.uint64((c * DEALS + deal + 1) * 0xD1342543DE82EF95 % (1 << 64))
-            out.append(mixed(sums + mixed(there + salt)) & MASK)
-            empty = m - len(there)
-            if empty < sizes.spare[c]:
+            if len(there):
+                sums = np.add.reduceat(h[order], start)
+                out.append(mixed(sums + mixed(there + salt)) & MASK | np.uint64(c << 48))
+            empty = kept - len(there)
+            if empty <= sizes.equal[c] - sizes.need[c]:
+                least = min(least, sizes.equal[c] - empty if not deal else 1)
                 break
+            least = 1
             if deal == DEALS - 1:
-                gone = np.setdiff1d(np.arange(m, dtype=np.uint64), there)
-                out.append(mixed(mixed(gone + salt)) & MASK)
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+                gone = np.setdiff1d(np.arange(kept, dtype=np.uint64), there)
+                out.append(mixed(mixed(gone + salt)) & MASK | np.uint64(c << 48))
+    return (np.unique(np.concatenate(out)), least) if out else (np.empty(0, np.uint64), 1)
 
 
 def set_key(sets: np.ndarray) -> tuple[int, int]:
@@ -149,6 +196,16 @@ def set_key(sets: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
+def sketch(sets: np.ndarray) -> np.ndarray:
+    """Parity of the number of tokens in each of BITS cells, as longs."""
+    at = (mixed(sets + np.uint64(0x9E6C63D0676A9A99)) >> np.uint64(20)) % np.uint64(BITS)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=BITS).astype(np.uint8) & 1).view(np.int64)
+
+
+def size_class(token) -> Column:
+    return F.shiftright(token, 48)
+
+
 def lists(values: list[np.ndarray]) -> pa.Array:
     offsets = np.cumsum([0, *map(len, values)], dtype=np.int32)
     flat = np.concatenate(values).view(np.int64) if values else np.empty(0, np.int64)
@@ -156,7 +213,7 @@ def lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def describe(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, n_shingles, k1, k2, tokens): sizes, set keys and block tokens of all rows."""
+    """(row, id, n_shingles, k1, k2, cls, need, tokens): sizes, set keys, size classes and block tokens of all rows."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,6 +221,7 @@ def describe(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
         for batch in slices(batches):
             found = [shingles(t.as_py(), n) for t in batch.column(2)]
             keys = [set_key(s) for s in found]
+            dealt = [block_tokens(s, sizes) if len(s) else (s, 1) for s in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -171,13 +229,15 @@ def describe(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
                     pa.array([len(s) for s in found], pa.int64()),
                     pa.array([k[0] for k in keys], pa.int64()),
                     pa.array([k[1] for k in keys], pa.int64()),
-                    lists([block_tokens(s, sizes) if len(s) else s for s in found]),
+                    pa.array([sizes.classes(len(s))[0] for s in found], pa.int64()),
+                    pa.array([d[1] for d in dealt], pa.int64()),
+                    lists([d[0] for d in dealt]),
                 ],
-                ["row", "id", "n_shingles", "k1", "k2", "tokens"],
+                ["row", "id", "n_shingles", "k1", "k2", "cls", "need", "tokens"],
             )
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"row long, id {kind}, n_shingles long, k1 long, k2 long, tokens array<long>")
+    return rows.mapInArrow(run, f"row long, id {kind}, n_shingles long, k1 long, k2 long, cls long, need long, tokens array<long>")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -194,11 +254,25 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         over = step.select(F.col("node").alias("label"), F.col("label").alias("over"))
         new = stored(step.join(over, "label").select("node", F.least("label", "over").alias("label"), "old"), name)
         changed = new.where("label <> old").count()
+        discard(labels)
         labels = new.drop("old")
         if not changed:
+            discard(both)
             return labels
 
 
+def in_several(tokens: DataFrame) -> DataFrame:
+    """(token, first): the tokens that several nodes of (token, node) have, with the smallest of these nodes."""
+    ends = tokens.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last"))
+    return ends.where("first <> last").select("token", "first")
+
+
+def blocks_in_several(tokens: DataFrame) -> DataFrame:
+    """The same for (token, node, cls), but for those of a size class that only nodes of a smaller one share: these share others."""
+    ends = tokens.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.max("cls").alias("cls"))
+    return ends.where((F.col("first") != F.col("last")) & (F.col("cls") == size_class("token"))).select("token", "first")
+
+
 def grouped_by_blocks(shared: DataFrame) -> DataFrame:
     """(node, label): components of nodes that share tokens, from (token, node, first), ``first`` being a token's smallest node.
 
@@ -207,10 +281,11 @@ def grouped_by_blocks(shared: DataFrame) -> DataFrame:
     differ is there an edge between labels, so edges don't grow with a group's size.
     """
     early = stored(shared.groupBy("node").agg(F.min("first").alias("early")), "early-labels")
-    under = shared.select("token", "node").join(early, "node").select("token", "early").distinct()
-    lowest = Window.partitionBy("token")
-    edges = under.withColumn("low", F.min("early").over(lowest)).where("early <> low").select(F.col("early").alias("a"), F.col("low").alias("b")).distinct()
+    under = stored(shared.select("token", "node").join(early, "node").select("token", "early").distinct(), "token-labels")
+    lowest = in_several(under.withColumnRenamed("early", "node"))
+    edges = under.join(lowest, "token").where("early <> first").select(F.col("early").alias("a"), F.col("first").alias("b")).distinct()
     labels = components(edges, "groups").withColumnsRenamed({"node": "early"})
+    discard(under)
     return early.join(labels, "early", "left").select("node", F.coalesce("label", "early").alias("label"))
 
 
@@ -258,14 +333,10 @@ def bounded(members: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 )
 
     cells = members.select("node", "grp", "text").mapInArrow(run, "cell long, node long")
-    once = Window.partitionBy("cell")
-    shared = (
-        cells.withColumn("alone", F.min("node").over(once) == F.max("node").over(once))
-        .groupBy("node")
-        .agg(F.count_if("alone").alias("own"))
-    )
+    alone = cells.groupBy("cell").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
+    own = alone.groupBy("node").agg(F.count("*").alias("own"))
     smallest = members.groupBy("grp").agg(F.min("n_shingles").alias("least"))
-    facts = members.select("node", "grp", "n_shingles").join(smallest, "grp").join(shared, "node")
+    facts = members.select("node", "grp", "n_shingles").join(smallest, "grp").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     size = F.col("n_shingles")
     partner = F.greatest(F.ceil(size * num / den), F.col("least"))
     need = F.ceil((size + partner) * num / (num + den) - 1e-9)
@@ -276,75 +347,73 @@ def similarity_components(
     docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id_col, n_shingles long, component_id): components of documents with den * |intersection| >= num * |union|."""
-    base = stored(describe(docs, n, num, den, id_col, text_col), "sets")
+    sets = stored(describe(docs, n, num, den, id_col, text_col), "sets")
+    base = stored(sets.drop("tokens"), "set-keys")
     nodes = stored(
         base.where("n_shingles > 0")
         .groupBy("k1", "k2")
-        .agg(F.min("row").alias("node"), F.min("id").alias("low"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles")),
+        .agg(F.min("row").alias("node"), F.min("id").alias("low"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("need").alias("need"), F.first("cls").alias("cls")),
         "classes",
     )
     again = nodes.where("copies > 1").select("k1", "k2", "node")
     copies = stored(
         base.where("n_shingles > 0").join(again, ["k1", "k2"]).where("row <> node").select("row"), "copies"
     )
-    singles = base.join(sized(copies, copies.count()), "row", "left_anti")
-
-    # Blocks that two classes or more share, with the smallest of them.
-    same = Window.partitionBy("token")
-    tokens = singles.select(F.explode("tokens").alias("token"), F.col("row").alias("node"))
-    shared = stored(
-        tokens.select("token", "node", F.min("node").over(same).alias("first"), F.max("node").over(same).alias("last"))
-        .where("first <> last")
-        .select("token", "node", "first"),
-        "shared-blocks",
-    )
+    singles = sets.join(sized(copies, copies.count()), "row", "left_anti")
+
+    # Blocks that two classes or more share, with the smallest of them; of classes that share enough.
+    tokens = singles.select(F.explode("tokens").alias("token"), F.col("row").alias("node"), "cls")
+    several = stored(blocks_in_several(tokens), "shared-tokens")
+    seen = stored(tokens.join(several, "token").select("token", "node"), "listed-blocks")
+    discard(sets, copies, several)
+    enough = seen.groupBy("node").agg(F.count("*").alias("n")).join(nodes.select("node", "need", "cls"), "node").where("n >= need").drop("n")
+    listed = stored(seen.join(enough, "node"), "dense-blocks")
+    discard(seen)
+    shared = stored(listed.join(blocks_in_several(listed), "token").select("token", "node", "need", "cls", "first"), "shared-blocks")
+    discard(listed)
     groups = grouped_by_blocks(shared)
 
     # Texts of the grouped classes: found by id, told apart by set key.
     grouped = stored(groups.join(nodes, "node").select("node", F.col("label").alias("grp"), "k1", "k2", "low", "n_shingles"), "grouped")
-    texts = stored(keyed_texts(docs, grouped, n, id_col, text_col), "texts")
-    live = stored(bounded(texts, n, num, den), "open")
-    texts = texts.select("node", "text")
+    members = stored(keyed_texts(docs, grouped, n, id_col, text_col), "texts")
+    live = stored(bounded(members, n, num, den).join(members.select("node", *WORDS), "node"), "open")
+    texts = members.select("node", "text")
 
-    found = stored(shared.select("token", "node").join(live, "node"), "open-blocks")
+    found = stored(shared.drop("first").join(live.select("node", "own"), "node"), "open-blocks")
     rank = F.struct("own", "node")
+    hubs = found.groupBy("token").agg(F.min(rank)["node"].alias("hub"), F.count("*").alias("n")).where("n > 1").select("token", "hub")
     hubs = (
-        found.withColumn("hub", F.min(rank).over(same))
-        .where("node <> hub.node")
+        found.join(hubs, "token")
+        .where("node <> hub")
+        .groupBy("node", "hub")
+        .agg(F.count("*").alias("n"))
         .groupBy("node")
-        .agg(F.min("hub").alias("hub"))
-        .select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
-    )
-    center = live.groupBy("grp").agg(F.min(rank)["node"].alias("b"))
-    centers = stored(live.join(center, "grp").select(F.col("node").alias("a"), "b"), "group-hubs")
-    hubs = stored(hubs.unionByName(centers.where("a <> b")).distinct(), "hub-pairs")
-    compared = stored(overlaps(hubs, texts, n), "hub-overlaps")
-    links = stored(reaching(compared, num, den), "hub-links")
-    # How many tokens a document lacks of its group's hub, and how many it has besides.
-    differ = centers.join(compared, ["a", "b"], "left").select(
-        F.col("a").alias("node"),
-        F.coalesce(F.col("two") - F.col("shared"), F.lit(0)).alias("lacks"),
-        F.coalesce(F.col("one") - F.col("shared"), F.lit(0)).alias("adds"),
+        .agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
+        .select(F.col("node").alias("a"), F.col("hub").alias("b"))
     )
+    hubs = stored(hubs, "hub-pairs")
+    links = stored(reaching(overlaps(hubs, texts, n), num, den), "hub-links")
     labels = stored(
         live.select("node").join(components(links, "hub-components"), "node", "left").select("node", F.coalesce("label", "node").alias("label")),
         "hub-labels",
     )
 
-    # What is left: pairs in one block, in different components, with room for the threshold.
-    parts = found.join(labels, "node").join(differ, "node").withColumn("common", F.greatest(F.lit(0), F.col("adds") - F.col("own")))
+    # What is left: pairs that share enough blocks, in different components, whose sets may differ by little enough.
+    parts = stored(found.join(labels, "node"), "parts")
     mixed_tokens = parts.groupBy("token").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("token")
-    parts = stored(parts.join(mixed_tokens, "token").select("token", "node", "label", "n_shingles", "own", "lacks", "adds", "common"), "open-parts")
+    parts = parts.join(mixed_tokens, "token").select("token", "node", "need", "cls", "label").join(live, "node")
     one, two = parts.alias("p"), parts.alias("q")
-    # Two sets differ by what each differs from the hub by, but for what both of these share: that is no document's own.
-    least = sum(F.col(f"{x}.{c}") for x in "pq" for c in ("lacks", "adds")) - 2 * (F.least("p.lacks", "q.lacks") + F.least("p.common", "q.common"))
-    least = F.greatest(least, F.col("p.own") + F.col("q.own"))
-    room = least * (num + den) <= (F.col("p.n_shingles") + F.col("q.n_shingles")) * (den - num)
+    both = (F.col("p.n_shingles") + F.col("q.n_shingles")) * (den - num)
+    room = (F.col("p.own") + F.col("q.own")) * (num + den) <= both
     close = (F.col("p.n_shingles") * den >= F.col("q.n_shingles") * num) & (F.col("q.n_shingles") * den >= F.col("p.n_shingles") * num)
+    alike = sum(F.bit_count(F.col(f"p.{w}").bitwiseXOR(F.col(f"q.{w}"))) for w in WORDS) * (num + den) <= both
+    place = (F.col("p.token") == F.col("q.token")) & (size_class("p.token") == F.greatest("p.cls", "q.cls"))
     rest = (
-        one.join(two, (F.col("p.token") == F.col("q.token")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.label") != F.col("q.label")) & room & close)
-        .select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
-        .distinct()
+        one.join(two, place & (F.col("p.node") < F.col("q.node")) & (F.col("p.label") != F.col("q.label")) & room & close & alike)
+        .groupBy(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
+        .agg(F.count("*").alias("n"), F.first(F.greatest("p.need", "q.need")).alias("need"))
+        .where("n >= need")
+        .select("a", "b")
     )
     tested = hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(rest.join(tested, ["a", "b"], "left_anti"), "rest-pairs")
@@ -356,36 +425,40 @@ def similarity_components(
     # Back to all rows.
     classes = nodes.join(final, "node", "left").select("k1", "k2", "low", F.coalesce("label", "node").alias("label"))
     lowest = classes.groupBy("label").agg(F.min("low").alias("component_id"))
-    classes = classes.join(lowest, "label").select("k1", "k2", "component_id")
+    classes = stored(classes.join(lowest, "label").select("k1", "k2", "component_id"), "class-components")
+    discard(shared, grouped, members, live, found, hubs, parts)
     full = base.where("n_shingles > 0").join(classes, ["k1", "k2"]).select("id", "n_shingles", "component_id")
     empty = base.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
     return full.unionByName(empty).withColumnRenamed("id", id_col)
 
 
 def keyed_texts(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, grp, n_shingles, text): one text for each of the ``wanted`` classes (node, grp, k1, k2, low)."""
+    """(node, grp, n_shingles, text, WORDS...): one text, and its sketch, for each of the ``wanted`` classes (node, grp, k1, k2, low)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keys = [set_key(shingles(t.as_py(), n)) for t in batch.column(0)]
-            columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), batch.column(0)]
-            yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "text"])
+            sets = [shingles(t.as_py(), n) for t in batch.column(0)]
+            keys = np.array([set_key(s) for s in sets], np.int64).reshape(-1, 2)
+            words = np.array([sketch(s) for s in sets], np.int64).reshape(-1, len(WORDS))
+            columns = [pa.array(keys[:, 0]), pa.array(keys[:, 1]), batch.column(0), *(pa.array(w) for w in words.T)]
+            yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "text", *WORDS])
 
     ids = wanted.select(F.col("low").alias("_low")).distinct()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     rows = rows.join(sized(ids, ids.count()), F.col("_id").eqNullSafe(F.col("_low")), "left_semi").select("_text")
-    found = rows.mapInArrow(run, "k1 long, k2 long, text string")
-    return found.join(wanted.select("k1", "k2", "node", "grp", "n_shingles"), ["k1", "k2"]).dropDuplicates(["node"]).select("node", "grp", "n_shingles", "text")
+    found = rows.mapInArrow(run, "k1 long, k2 long, text string, " + ", ".join(f"{w} long" for w in WORDS))
+    return found.join(wanted.select("k1", "k2", "node", "grp", "n_shingles"), ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("node", "grp", "n_shingles", "text", *WORDS)
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component, that of the smallest non-null id (of equal rows one); all columns stay."""
     rows = numbered(docs)
-    found = similarity_components(rows.select("_lm_row", text_col), n, num, den, "_lm_row", text_col).select("_lm_row", "component_id")
-    shared = stored(
-        found.groupBy("component_id").agg(F.count("*").alias("_n")).where("_n > 1").join(found, "component_id").select("component_id", "_lm_row"), "repeats"
-    )
-    ids = rows.select("_lm_row", F.col(id_col).alias("_id")).join(sized(shared, shared.count()), "_lm_row")
-    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_lm_row"))["_lm_row"].alias("_lm_row"))
-    gone = stored(shared.select("_lm_row").join(first, "_lm_row", "left_anti"), "gone")
-    return rows.join(sized(gone, gone.count()), "_lm_row", "left_anti").select(*docs.columns)
+    texts = rows.select("row", F.col("doc")[text_col].alias("text"))
+    found = similarity_components(texts, n, num, den, "row", "text").select("row", "component_id")
+    several = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(several.join(found, "component_id").select("component_id", "row"), "repeats")
+    ids = rows.select("row", F.col("doc")[id_col].alias("id")).join(sized(shared, shared.count()), "row")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("row"))
+    gone = stored(shared.select("row").join(first, "row", "left_anti"), "gone")
+    discard(shared)
+    return rows.join(sized(gone, gone.count()), "row", "left_anti").select("doc.*")

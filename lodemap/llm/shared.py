@@ -7,11 +7,13 @@ a lost executor costs only the tasks that had not been written yet.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,9 +47,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a folder in any store that Arrow knows."""
+    if uri.startswith("file:") or uri.startswith("/"):
+        return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(uri)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes ``stored`` tables that no later step reads; what was made of them must have been written.
+
+    Only whole tables of this library's own folder go.  A store that Arrow doesn't know keeps them.
+    """
+    for t in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            if "/lodemap/" in folder:
+                with contextlib.suppress(OSError, pa.ArrowInvalid, pa.ArrowNotImplementedError):
+                    fs, path = file_system(folder)
+                    fs.delete_dir(path)
+
+
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs``, written, with a number ``_lm_row`` for each row: ids may repeat or be null, these don't."""
-    return stored(docs.withColumn("_lm_row", F.monotonically_increasing_id()), "numbered")
+    """(doc struct, row long), written: whole rows, whatever their columns are called, and a number for each."""
+    return stored(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,8 +14,8 @@ documented bound, taken by hash of the id); scoring is one pass without a shuffl
 
 Null and empty texts are scored by the intercept alone.  Without labels the listed
 insults decide.  Labels that are null are ignored; a document with several labels
-is toxic if any says so.  Repeated rows get equal scores.  Columns whose names
-start with ``_lm_`` must not occur; all other columns are passed on as they are.
+is toxic if any says so.  Repeated rows get equal scores.  All other columns are
+passed on as they are, whatever they are called.
 """
 
 from __future__ import annotations
@@ -260,31 +260,30 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def scored(docs: DataFrame, classifier: Classifier, text_col: str = "text") -> DataFrame:
-    """``docs`` with the double column ``_lm_score``."""
-    at = docs.columns.index(text_col)
-    schema = docs.select("*", F.lit(0.0).alias("_lm_score")).schema
+    """(doc struct, score double): whole rows, whatever their columns are called, and their scores."""
+    schema = docs.select(F.struct("*").alias("doc"), F.lit(0.0).alias("score")).schema
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
         for batch in batches:
-            found = pa.array([c.score(t.as_py()) for t in batch.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "_lm_score"])
+            found = pa.array([c.score(t.as_py()) for t in batch.column(0).field(text_col)], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["doc", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(F.struct("*").alias("doc")).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, held_out boolean, score double, predicted int) for every row."""
     classifier = train(docs, labels, id_col, text_col)
     return scored(docs.select(id_col, text_col), classifier, text_col).select(
-        id_col,
-        (fold(F.col(id_col)) == 0).alias("held_out"),
-        F.col("_lm_score").alias("score"),
-        (F.col("_lm_score") >= 0.5).cast("int").alias("predicted"),
+        F.col("doc")[id_col].alias(id_col),
+        (fold(F.col("doc")[id_col]) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, with all their columns."""
-    return scored(docs, train(docs, labels, id_col, text_col), text_col).where("_lm_score < 0.5").select(*docs.columns)
+    return scored(docs, train(docs, labels, id_col, text_col), text_col).where("score < 0.5").select("doc.*")

@@ -21,11 +21,10 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, sized, stored
+from .shared import file_system, new_path, sized, stored
 
 #: The dictionary is built from so many records at most, of each so many characters.
 SAMPLE_RECORDS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 16_384, 65_536
@@ -36,13 +35,6 @@ CHUNK = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 
-def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a folder in any store that Arrow knows."""
-    if uri.startswith("file:") or uri.startswith("/"):
-        return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
-
-
 def build_dictionary(pages: DataFrame, html_col: str) -> bytes:
     """A Zstandard dictionary from a bounded sample of records; b'' if there are too few to build one."""
     import zstandard

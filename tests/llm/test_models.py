@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodemap.llm import jaccard, licenses, quality, queries, toxicity
+from lodemap.llm import decontaminate, jaccard, licenses, quality, queries, toxicity
 from lodemap.llm.shared import table
 from tests.compare import assert_same
 from tests.conftest import LARGER, SMALL, TINY
@@ -59,6 +59,41 @@ def test_jaccard_equals_brute_force_on_edited_texts(spark, n, num):
     assert got == brute_components(docs, n, num)
 
 
+@pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80)])
+def test_jaccard_equals_brute_force_on_the_small_table(spark, n, num):
+    docs = table(spark, SMALL, "documents").select("doc_id", "text")
+    got = sorted(tuple(r) for r in jaccard.similarity_components(docs, n, num).collect())
+    assert got == brute_components([tuple(r) for r in docs.collect()], n, num)
+
+
+@pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80)])
+def test_jaccard_equals_brute_force_on_long_texts_around_the_threshold(spark, n, num):
+    rnd = random.Random(n)
+    docs = []
+    for size in (700, 1500, 4000):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(size)]
+        for k in range(14):
+            words = list(base)
+            for at in rnd.sample(range(size), int(size * (100 - num) / 100 / n * (0.1 + 0.08 * k))):
+                words[at] = f"x{rnd.randrange(10**6)}"
+            docs.append((len(docs), " ".join(words)))
+    wanted = brute_components(docs, n, num)
+    got = jaccard.similarity_components(spark.createDataFrame(docs, "doc_id long, text string"), n, num)
+    assert sorted(tuple(r) for r in got.collect()) == wanted
+    assert 3 < len({r[2] for r in wanted}) < len(docs)
+
+
+def test_kept_blocks_lose_hardly_any_link():
+    """Differences dealt at random, as many as a link may have: the bound on the blocks that stay equal holds with room."""
+    rng = np.random.default_rng(1)
+    sizes = jaccard.Sizes(80, 100)
+    sizes.extend(30_000)
+    for low, m, kept, equal, need in zip(sizes.low, sizes.blocks, sizes.kept, sizes.equal, sizes.need):
+        if m and kept < m:
+            left = [kept - len(np.unique((d := rng.integers(0, m, m))[d < kept])) for _ in range(200)]
+            assert min(left) > equal >= need and kept < 300 < low * 4
+
+
 def test_near_duplicates_keep_one_of_each_group(spark):
     base = " ".join(f"w{i}" for i in range(200))
     docs = [(3, base, "a"), (1, base + " end", "b"), (2, "other words entirely here now", "c"), (2, "other words entirely here now", "c"), (None, base, "d"), (5, None, "e"), (6, "", "f")]
@@ -89,6 +124,21 @@ def test_quality_keeps_trusted_and_rejects_junk(spark):
     assert len(rows) == table(spark, SMALL, "documents").count()
 
 
+ODD_NAMES = "doc_id long, text string, lang string, `a.b` int, row int, doc int, score int, keep int, _lm_row int"
+
+
+def test_filters_pass_on_columns_of_any_name(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, base if i < 3 else f"text {i} of its own kind", "en", *range(6)) for i in range(8)]
+    docs = spark.createDataFrame(rows, ODD_NAMES)
+    labels = spark.createDataFrame([(i, 1, int(i == 7)) for i in range(8)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "text 5 of its own kind")], "item_id long, text string")
+    for out in (quality.keep_good(docs, labels), toxicity.keep_clean(docs, labels), decontaminate.keep_clean(docs, items), jaccard.near_duplicates(docs)):
+        assert out.columns == docs.columns
+        assert {tuple(r) for r in out.collect()} <= set(rows)
+    assert jaccard.near_duplicates(docs).count() == 6 and decontaminate.keep_clean(docs, items).count() == 7
+
+
 def test_quality_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, None, 1), (2, "", "en", 1), (3, "some text", None, 1), (3, "some text", None, 1), (None, "zz", "x", 1)], "doc_id long, text string, lang string, lo int")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
