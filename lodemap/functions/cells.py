@@ -7,6 +7,7 @@ driver decides on those few counts; ``cast_columns`` is then one projection.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,15 +17,21 @@ from .text import CURRENCY, NULL_TOKENS, squeezed, without_mojibake
 
 # Readings of dates that are tried, in the order in which ties are kept.
 DATE_FORMATS = (
-    "yyyy-M-d", "yyyy-M-d H:mm:ss", "yyyy-M-d H:mm", "yyyy-M-d'T'H:mm:ss", "yyyy/M/d", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "M-d-yyyy", "d.M.yyyy",
-    "d/M/yyyy H:mm:ss", "M/d/yyyy H:mm:ss", "d/M/yyyy H:mm", "M/d/yyyy H:mm", "d-MMM-yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d-MMM-yy", "yyyyMMdd",
+    "yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "M-d-yyyy", "d.M.yyyy", "M.d.yyyy", "d/M/yy", "M/d/yy", "d-M-yy", "M-d-yy", "d.M.yy", "M.d.yy",
+    "yyyy-M-d H:m:s", "yyyy/M/d H:m:s", "d/M/yyyy H:m:s", "M/d/yyyy H:m:s", "d-M-yyyy H:m:s", "M-d-yyyy H:m:s",
 )
+#: Readings that are tried if none of these reads any value.
+OTHER_FORMATS = (
+    "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m", "d/M/yyyy H:m", "d-MMM-yyyy", "d-MMM-yy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyyMMdd",
+)
+FORMATS = DATE_FORMATS + OTHER_FORMATS
 TRUE_WORDS, FALSE_WORDS = ("true", "yes", "y", "1", "t"), ("false", "no", "n", "0", "f")
 #: Share of values that have to parse, and how sure a column is whose dates can be read both ways.
 LEAST_SHARE, UNSURE = 0.85, 0.5
+# Words of scale and their factors.
 SCALES = {
-    "thousand": 1e3, "k": 1e3, "lakh": 1e5, "lakhs": 1e5, "lac": 1e5, "million": 1e6, "mn": 1e6, "m": 1e6, "crore": 1e7, "crores": 1e7, "cr": 1e7,
-    "billion": 1e9, "bn": 1e9, "b": 1e9, "trillion": 1e12,
+    "thousand": 1e3, "thousands": 1e3, "k": 1e3, "lakh": 1e5, "lakhs": 1e5, "lac": 1e5, "lacs": 1e5, "crore": 1e7, "crores": 1e7,
+    "million": 1e6, "millions": 1e6, "billion": 1e9, "billions": 1e9,
 }
 ALIASES = {
     "integer": "int", "int64": "int", "long": "int", "number": "float", "numeric": "float", "float64": "float", "double": "float", "decimal": "float",
@@ -62,8 +69,18 @@ def to_bool(cell: Column) -> Column:
     return F.when(low.isin(*TRUE_WORDS), F.lit(True)).when(low.isin(*FALSE_WORDS), F.lit(False))
 
 
+def shape(layout: str) -> str:
+    """A pattern of what a reading can read, so that a cell is parsed only where it may succeed."""
+    parts = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": r"\p{L}+", "MMM": r"\p{L}+", "MM": r"\d{2}", "dd": r"\d{2}"}
+    return "^" + re.sub(r"y+|M+|d+|[Hms]|'T'|\.", lambda m: {"'T'": "T", ".": r"\."}.get(m[0], parts.get(m[0], r"\d{1,2}")), layout) + "$"
+
+
 def to_time(cell: Column, layout: str) -> Column:
-    return F.try_to_timestamp(cell, F.lit(layout)).cast("timestamp_ntz")
+    """A moment by one reading; years of two digits are from 1969 to 2068."""
+    moment = F.when(cell.rlike(shape(layout)), F.try_to_timestamp(cell, F.lit(layout))).cast("timestamp_ntz")
+    if re.search(r"(?<!y)yy(?!y)", layout):
+        moment = F.when(F.year(moment) >= 2069, moment - F.expr("interval 100 years")).otherwise(moment)
+    return moment
 
 
 def iso(moment: Column) -> Column:
@@ -94,12 +111,9 @@ class Vote:
 def vote_columns(column: str) -> list[Column]:
     """Counts of one column's readings, as aggregates: ``<n>|<what>``."""
     cell = clean_cell(F.col(f"`{column}`"))
-    there = cell.isNotNull()
     number, comma_number = to_number(cell), to_number(cell, True)
     comma_style = cell.rlike(r"^[+-]?\d+,\d{1,2}$")
     with_comma = F.contains(cell, F.lit(",")) & ~F.contains(cell, F.lit("."))
-    slash = F.regexp_extract(cell, r"^(\d{1,2})[/-](\d{1,2})[/-]\d{4}", 1).try_cast("int")
-    second = F.regexp_extract(cell, r"^(\d{1,2})[/-](\d{1,2})[/-]\d{4}", 2).try_cast("int")
     out = {
         "n": F.count(cell),
         "number": F.count(number),
@@ -108,15 +122,13 @@ def vote_columns(column: str) -> list[Column]:
         "with_comma": F.count_if(with_comma),
         "comma_style": F.count_if(with_comma & comma_style),
         "bool": F.count(to_bool(cell)),
-        "slashed": F.count(slash),
-        "both_ways": F.count_if((slash <= 12) & (second <= 12)),
     }
-    out |= {f"date{i}": F.count_if(there & to_time(cell, f).isNotNull()) for i, f in enumerate(DATE_FORMATS)}
+    out |= {f"date{i}": F.count(to_time(cell, f)) for i, f in enumerate(FORMATS)}
     return [c.alias(f"{column}|{k}") for k, c in out.items()]
 
 
 def decide(counts: dict[str, int], least: float = LEAST_SHARE) -> Vote:
-    """A column's type from its counts: numbers first, then dates that can be read one way only, else text."""
+    """A column's type from its counts: numbers first, then dates if one reading is ahead of all others, else text."""
     n = counts["n"]
     if not n:
         return Vote("string", confidence=0.65, reasons=("all_null",))
@@ -124,16 +136,15 @@ def decide(counts: dict[str, int], least: float = LEAST_SHARE) -> Vote:
         comma = counts["with_comma"] > 0 and counts["with_comma"] == counts["comma_style"]
         whole = counts["whole_comma" if comma else "whole"]
         return Vote("int" if whole == counts["number"] else "float", decimal_comma=comma, confidence=counts["number"] / n)
-    dates = [counts[f"date{i}"] for i in range(len(DATE_FORMATS))]
-    best = max(dates)
-    if best / n >= least:
-        layouts = [DATE_FORMATS[i] for i, c in enumerate(dates) if c == best]
-        swapped = {"d/M": "M/d", "d-M": "M-d"}
-        twin = next((f for f in layouts if f[:3] in swapped and f.replace(f[:3], swapped[f[:3]]) in layouts), None)
-        if twin and counts["both_ways"] == counts["slashed"]:
-            return Vote("string", confidence=UNSURE, reasons=("ambiguous_date_format",))
-        return Vote("datetime", layouts[0], confidence=best / n)
-    return Vote("string")
+    read = {f: counts[f"date{i}"] for i, f in enumerate(FORMATS)}
+    main = {f: read[f] for f in DATE_FORMATS}
+    if not any(main.values()):
+        best = max(OTHER_FORMATS, key=read.get)
+        return Vote("datetime", best, confidence=read[best] / n) if read[best] / n >= least else Vote("string")
+    best = max(main, key=main.get)
+    if main[best] == sorted(main.values())[-2]:
+        return Vote("string", confidence=UNSURE, reasons=("ambiguous_date_format",))
+    return Vote("datetime", best, confidence=main[best] / n) if main[best] / n >= least else Vote("string")
 
 
 def votes(df: DataFrame, columns: list[str] | None = None, least: float = LEAST_SHARE) -> dict[str, Vote]:
@@ -152,7 +163,7 @@ def cast_cell(cell: Column, dtype: str, vote: Vote | None = None) -> Column:
     if dtype == "bool":
         return to_bool(value)
     if dtype in ("date", "datetime"):
-        layouts = [vote.layout] if vote and vote.layout else [f for f in DATE_FORMATS if not f.startswith("M/") and not f.startswith("M-")]
+        layouts = [vote.layout] if vote and vote.layout else [f for f in FORMATS if f[:2] not in ("M/", "M-", "M.")]
         moment = F.coalesce(*[to_time(value, f) for f in layouts])
         return moment.cast("date") if dtype == "date" else moment
     return value

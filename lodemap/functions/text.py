@@ -16,8 +16,8 @@ from pyspark.sql.types import DoubleType
 
 # What counts as null in a cell, and marks of currency.
 NULL_TOKENS = (
-    "", "-", "--", "–", "—", "NA", "N/A", "n/a", "na", "NULL", "null", "None", "none", "NaN", "nan", "NIL", "nil", "#N/A", "#NA", "#REF!",
-    "#VALUE!", "#DIV/0!", "#NAME?", "#NULL!", "#NUM!", "?", ".",
+    "", "#N/A", "#N/A N/A", "#NA", "#REF!", "#VALUE!", "-", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
+    "na", "n/a", "nan", "nil", "NIL", "null", "—", "–",
 )
 CURRENCY = r"(?i)₹|rs\.?|inr|us\$|usd|\$|eur|€|gbp|£|aud|cad|sgd|aed|¥"
 
@@ -96,8 +96,8 @@ def grouped_number(value: Column, indian: bool = False, digits: int = 0) -> Colu
     return F.concat(grouped, F.regexp_extract(plain, r"(\.\d+)$", 1))
 
 
-# What names of key columns end with.
-KEY_SUFFIXES = ("id", "key", "code", "no", "num", "number", "ref")
+# Names that stand for a key by themselves.
+KEY_TERMS = ("id", "code", "number", "no", "key")
 
 
 def plain_name(name: str) -> str:
@@ -105,16 +105,15 @@ def plain_name(name: str) -> str:
 
 
 def similar_names(a: str, b: str) -> float:
-    """Likeness of two column names: 1 if equal, at least .85 for a shared stem with key endings, .75 for two ids."""
+    """Likeness of two column names: 0 without letters and digits, 1 if equal, at least .85 if one is a key term that the other ends with."""
     x, y = plain_name(a), plain_name(b)
+    if not x or not y:
+        return 0.0
     if x == y:
         return 1.0
     score = difflib.SequenceMatcher(None, x, y).ratio()
-    stems = [{n[: -len(s)] for s in KEY_SUFFIXES if n.endswith(s) and len(n) > len(s)} | {n} for n in (x, y)]
-    if stems[0] & stems[1]:
+    if any(t in (x, y) and x.endswith(t) and y.endswith(t) for t in KEY_TERMS):
         score = max(score, 0.85)
-    if x.endswith("id") and y.endswith("id"):
-        score = max(score, 0.75)
     return score
 
 

@@ -12,8 +12,8 @@ from ..functions.text import share_of, squeezed, words
 
 # Common words, weights and sizes.
 COMMON = (
-    "the", "and", "of", "to", "in", "a", "is", "that", "for", "it", "as", "was", "with", "be", "by", "on", "not", "he", "his", "but", "at", "are", "this",
-    "have", "from", "or", "had", "an", "they", "which", "one", "you", "were", "all", "her", "she", "there", "would", "their", "we",
+    "a", "about", "account", "all", "amount", "an", "and", "are", "as", "at", "be", "by", "date", "document", "for", "from", "has", "in", "invoice", "is", "it",
+    "name", "no", "not", "of", "on", "or", "page", "payment", "section", "shall", "tax", "term", "that", "the", "this", "to", "total", "value", "with",
 )
 CHUNK, TINY = 1800, 120
 HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
@@ -22,26 +22,64 @@ CLAUSE = re.compile(r"^((?:[A-Z]\.)?\d+(?:\.\d+)+|[A-Z](?:\.\d+)+)\b")
 
 
 def ratios(text: Column) -> dict[str, Column]:
-    """Shares of common words, of ASCII letters and digits, and of other characters beyond ASCII."""
-    w = words(F.coalesce(text, F.lit("")))
+    """Shares of common words among the words of two letters and more, of letters and digits, and of characters beyond ASCII."""
+    plain = tidy(text)
+    w = F.regexp_extract_all(F.lower(plain), F.lit("([a-z]{2,})"), 1)
     common = F.size(F.filter(w, lambda x: x.isin(*COMMON)))
-    plain = F.coalesce(text, F.lit(""))
     return {
         "dictionary": F.when(F.size(w) > 0, common / F.size(w)).otherwise(F.lit(0.0)),
-        "alphanumeric": share_of(plain, "[A-Za-z0-9]"),
+        "alphanumeric": share_of(plain, r"[\p{L}\p{N}]"),
         "non_ascii": share_of(plain, r"[^\x00-\x7F]"),
     }
 
 
-def quality(text: Column, confidence: Column) -> Column:
-    """A page's score from the reader's own confidence, common words, letters and marks of what couldn't be read."""
+def tidy(text: Column) -> Column:
+    """A page without white space at its ends and before line ends, each run of blanks one blank; null is empty."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t]+", " "), r"\s+\n", "\n"), r"^\s+|\s+$", "")
+
+
+def unread_share(text: Column) -> Column:
+    """Share of a page's characters that say that something couldn't be read; 1 for an empty page."""
+    plain = tidy(text)
+    marks = F.length(plain) - F.length(F.regexp_replace(plain, r"(?i)\[illegible\]", ""))
+    return F.when(F.length(plain) > 0, marks / F.length(plain)).otherwise(F.lit(1.0))
+
+
+def table_penalty(text: Column) -> Column:
+    """Up to .15 for tables whose rows differ in their number of cells: .12 times the coefficient of variation over three rows and more."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r"), lambda x: F.trim(x))
+    rows = F.filter(lines, lambda x: F.contains(x, F.lit("|")) & x.rlike(r"[^|:\-\s]|:.*\s.*:"))
+    cells = F.filter(F.transform(rows, lambda x: F.size(F.split(F.regexp_replace(x, r"^\|+|\|+$", ""), r"\|"))), lambda n: n > 1)
+    n = F.size(cells)
+    mean = F.aggregate(cells, F.lit(0.0), lambda a, x: a + x) / n
+    spread = F.sqrt(F.aggregate(cells, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
+    return F.when(n >= 3, F.least(F.lit(0.15), spread / mean * 0.12)).otherwise(F.lit(0.0))
+
+
+def quality(text: Column, confidence: Column, has_tables: Column | None = None) -> Column:
+    """A page's score from the reader's own confidence, common words, letters, marks of what couldn't be read, and uneven tables."""
     r = ratios(text)
-    unread = F.size(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(\[illegible\])"), 1))
-    density = F.least(F.lit(1.0), unread / F.greatest(F.lit(1), F.size(words(F.coalesce(text, F.lit(""))))))
-    score = 0.52 * confidence + 0.20 * r["dictionary"] + 0.16 * r["alphanumeric"] + 0.12 * (1 - density)
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))
+    score = 0.52 * sure + 0.20 * r["dictionary"] + 0.16 * r["alphanumeric"] + 0.12 * (1 - unread_share(text))
+    if has_tables is not None:
+        score = score - F.when(has_tables, table_penalty(text)).otherwise(F.lit(0.0))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
+def quality_reasons(text: Column, confidence: Column, has_tables: Column, threshold: float) -> Column:
+    """What speaks against a page: array<string>."""
+    r = ratios(text)
+    tests = {
+        "low_dictionary_word_ratio": r["dictionary"] < 0.12,
+        "high_illegible_density": unread_share(text) > 0.04,
+        "low_alphanumeric_ratio": r["alphanumeric"] < 0.25,
+        "high_non_ascii_ratio": r["non_ascii"] > 0.4,
+        "unstable_table_columns": has_tables & (table_penalty(text) > 0),
+        "below_quality_threshold": quality(text, confidence, has_tables) < threshold,
+    }
+    return F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in tests.items()]))
+
+
 def readable(text: Column) -> Column:
     """Whether a text layer is good enough to be used as it is."""
     r = ratios(text)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import signature
 from .values import column_stats, value_counts
@@ -30,10 +34,16 @@ def numeric_stats(df: DataFrame, columns: list[str], name: str = "") -> DataFram
     )
     numbers = ["minimum", "maximum", "mean", "std"]
     return out.select(
-        F.lit(name).alias("tab"), "col", *[F.round(c, 4).alias(c) for c in numbers], *[F.round(F.col("q")[i], 4).alias(f"p{round(100 * s):02d}") for i, s in enumerate(shares)]
+        F.lit(name).alias("tab"), "col", *[six_digits(F.col(c)).alias(c) for c in numbers], *[six_digits(F.col("q")[i]).alias(f"p{round(100 * s):02d}") for i, s in enumerate(shares)]
     )
 
 
+@F.pandas_udf(DoubleType())
+def six_digits(x: pd.Series) -> pd.Series:
+    """Whole numbers as they are, others with six significant digits of their exact value; for the one row a column has."""
+    return pd.Series([v if v != v or v == math.floor(v) else float(f"{v:.6g}") for v in x], dtype="float64")
+
+
 def top_values(counts: DataFrame, k: int = TOP) -> DataFrame:
     """(tab, col, value, n, rate, rank): most frequent values, ties by value; the rate is over all rows, nulls too."""
     order = Window.partitionBy("tab", "col").orderBy(F.desc("n"), "value")

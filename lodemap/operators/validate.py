@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import clean_cell, decide, dtype_of, vote_columns
+from ..functions.text import signature
 
 # Weights and scores of the parts.
 TYPE_WEIGHT, MEANING_WEIGHT, HEADER_WEIGHT = 0.65, 0.20, 0.15
@@ -17,12 +18,12 @@ AMOUNT_WORDS = ("amount", "price", "total", "rate")
 
 def header_score(name: str, names: list[str]) -> tuple[float, list[str]]:
     if not name.strip():
-        return 0.0, ["empty_header"]
+        return 0.0, ["empty_column_name"]
     score, reasons = 1.0, []
     if [n.strip().lower() for n in names].count(name.strip().lower()) > 1:
-        score, reasons = 0.55, ["duplicate_header"]
-    if re.fullmatch(r"(c|col|column|field|unnamed)[\s_:]*\d*", name.strip().lower()):
-        score, reasons = min(score, 0.75), [*reasons, "generic_header"]
+        score, reasons = 0.55, ["duplicate_column_name"]
+    if re.fullmatch(r"c\d+|column\d+|unnamed:?\s*\d*", name.strip().lower()):
+        score, reasons = min(score, 0.75), [*reasons, "generic_column_name"]
     return score, reasons
 
 
@@ -38,7 +39,7 @@ def validate(df: DataFrame, declared: dict[str, str]) -> DataFrame:
         for c in declared
         for x in (
             F.count_distinct(clean_cell(F.col(f"`{c}`"))).alias(f"{c}|distinct"),
-            F.count_if(clean_cell(F.col(f"`{c}`")).rlike("[0-9]")).alias(f"{c}|digits"),
+            F.mode(signature(clean_cell(F.col(f"`{c}`"))), True).alias(f"{c}|signature"),
         )
     ]
     row = df.agg(*[a for c in declared for a in vote_columns(c)], *more).first().asDict()
@@ -50,32 +51,34 @@ def validate(df: DataFrame, declared: dict[str, str]) -> DataFrame:
 
 
 def score_column(name: str, dtype: str, counts: dict[str, int], names: list[str]) -> tuple:
-    n, reasons = counts["n"], []
+    n, pattern = counts["n"], counts["signature"] or ""
     vote = decide(counts)
-    fits = 1.0
+    head, reasons = header_score(name, names)
+    fits, kinds = 0.95, {"int": ("int",), "float": ("int", "float"), "date": ("datetime",), "datetime": ("datetime",)}.get(dtype)
     if not n:
-        fits, reasons = 0.65, ["all_null"]
-    elif dtype in ("int", "float"):
-        fits = counts["whole" if dtype == "int" else "number"] / n
-    elif dtype in ("date", "datetime"):
-        fits = max(counts[k] for k in counts if k.startswith("date")) / n
-        if vote.reasons:
-            fits, reasons = min(fits, 0.5), ["ambiguous_date_format"]
+        fits, reasons = 0.65, [*reasons, "all_values_null"]
+    elif kinds:
+        fits = vote.confidence if vote.kind in kinds else 0.0
+        if dtype in ("date", "datetime") and vote.reasons:
+            fits, reasons = min(fits, vote.confidence), [*reasons, *vote.reasons]
+        if fits < GOOD:
+            reasons = [*reasons, "type_parse_rate_low"]
+        if vote.kind not in kinds:
+            reasons = [*reasons, "type_kind_mismatch"]
     elif dtype == "bool":
         fits = counts["bool"] / n
-    elif dtype == "category":
-        many = counts["distinct"] > 50 and counts["distinct"] / n > 0.5
-        fits, reasons = (0.65, ["category_high_cardinality"]) if many else (0.95, [])
-    if n and dtype in ("int", "float", "date", "datetime", "bool") and fits < GOOD:
-        reasons = [*reasons, "type_parse_rate_low"]
+        if fits < GOOD:
+            reasons = [*reasons, "type_parse_rate_low"]
+        if counts["distinct"] <= 2:
+            fits = max(fits, GOOD)
+    elif dtype == "category" and counts["distinct"] > 50 and counts["distinct"] / n > 0.5:
+        fits, reasons = 0.65, [*reasons, "high_cardinality_category"]
     meaning = 1.0
-    if n and dtype in ("int", "float", "date", "datetime") and not counts["digits"]:
-        meaning, reasons = 0.6, [*reasons, "no_digits_for_type"]
+    if "D" not in pattern and (dtype in ("date", "datetime") or (dtype in ("int", "float") and pattern)):
+        meaning, reasons = 0.6, [*reasons, "format_signature_mismatch"]
     elif dtype == "category" and any(w in name.lower() for w in AMOUNT_WORDS):
-        meaning, reasons = 0.75, [*reasons, "amount_named_category"]
-    head, said = header_score(name, names)
-    reasons += said
+        meaning, reasons = 0.75, [*reasons, "semantic_name_type_mismatch"]
     sure = round(max(0.0, min(1.0, TYPE_WEIGHT * fits + MEANING_WEIGHT * meaning + HEADER_WEIGHT * head)), 4)
     if sure < LOW:
-        reasons.append("low_confidence")
+        reasons.append("validator_confidence_low")
     return name, dtype, round(fits, 4), meaning, head, sure, ",".join(dict.fromkeys(reasons))

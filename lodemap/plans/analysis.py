@@ -17,15 +17,12 @@ def _orders(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 
 
-_HALF = "(SELECT * FROM customer WHERE c_custkey % 2 = 0)"
-
-
 def _join(how: str):
     def run(spark, sf_dir):
-        c = _customers(spark, sf_dir).where("c_custkey % 2 = 0")
-        o = _orders(spark, sf_dir).where("o_custkey % 3 = 0").select("o_orderkey", "o_custkey")
-        joined = o.join(c, F.col("o_custkey") == F.col("c_custkey"), how)
-        return joined.select("o_orderkey", "o_custkey") if how in ("left_semi", "left_anti") else joined.select("o_orderkey", "o_custkey", "c_custkey", "c_mktsegment")
+        """All customers with all events of theirs; most customers have none."""
+        c = _customers(spark, sf_dir).select("c_custkey", "c_mktsegment")
+        e = table(spark, sf_dir, "events").select("event_id", "user_id")
+        return c.join(e, F.col("c_custkey") == F.col("user_id"), how)
 
     return run
 
@@ -33,8 +30,8 @@ def _join(how: str):
 for _how, _word in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN"), ("semi", "SEMI JOIN"), ("anti", "ANTI JOIN")):
     _run = _join({"semi": "left_semi", "anti": "left_anti"}.get(_how, _how))
     _run.__name__ = f"join_{_how}"
-    _cols = "o_orderkey, o_custkey" if _how in ("semi", "anti") else "o_orderkey, o_custkey, c_custkey, c_mktsegment"
-    query(f"SELECT {_cols} FROM (SELECT * FROM orders WHERE o_custkey % 3 = 0) o {_word} {_HALF} c ON o_custkey = c_custkey")(_run)
+    _cols = "c_custkey, c_mktsegment" + ("" if _how in ("semi", "anti") else ", event_id, user_id")
+    query(f"SELECT {_cols} FROM customer c {_word} events e ON c_custkey = user_id")(_run)
 
 
 @query("SELECT n_name, r_name FROM nation CROSS JOIN region")
@@ -61,10 +58,10 @@ def join_by_links(spark, sf_dir):
 
 
 def _sets(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").where("s_nationkey % 3 = 0").select(F.col("s_nationkey").alias("k"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "events").select(F.col("user_id").alias("k"))
 
 
-_A, _B = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM supplier WHERE s_nationkey % 3 = 0"
+_A, _B = "SELECT c_custkey AS k FROM customer", "SELECT user_id AS k FROM events"
 
 
 @query(f"{_A} UNION ALL {_B}")

@@ -93,14 +93,24 @@ def dedup_content_hash(spark, sf_dir):
 _W = "regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9]+)')"
 
 
-@query(f"""SELECT doc_id, round(CASE WHEN len({_W}) > 0 THEN len(list_filter({_W}, lambda x: x IN {documents.COMMON!r})) / len({_W}) ELSE 0 END, 6) AS dictionary,
-round(CASE WHEN length(text) > 0 THEN (length(text) - length(regexp_replace(text, '[A-Za-z0-9]', '', 'g'))) / length(text) ELSE 0 END, 6) AS alphanumeric,
-round(CASE WHEN length(text) > 0 THEN (length(text) - length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'))) / length(text) ELSE 0 END, 6) AS non_ascii FROM documents""")
+# The common words, written out once more so that the query is held against something else than its own list.
+_COMMON = """a about account all amount an and are as at be by date document for from has in invoice is it name no not of on or page payment section
+shall tax term that the this to total value with"""
+_TIDY = r"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t]+', ' ', 'g'), '\s+\n', chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+_RATIOS = f"""SELECT doc_id, t, CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: x IN {tuple(_COMMON.split())!r})) / len(w) ELSE 0 END AS dictionary,
+CASE WHEN length(t) > 0 THEN (length(t) - length(regexp_replace(t, '[\\p{{L}}\\p{{N}}]', '', 'g'))) / length(t) ELSE 0 END AS alphanumeric,
+CASE WHEN length(t) > 0 THEN (length(t) - length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g'))) / length(t) ELSE 0 END AS non_ascii
+FROM (SELECT doc_id, {_TIDY} AS t, regexp_extract_all(lower(t), '[a-z]{{2,}}') AS w FROM documents)"""
+
+
+@query(f"SELECT doc_id, round(dictionary, 6) AS dictionary, round(alphanumeric, 6) AS alphanumeric, round(non_ascii, 6) AS non_ascii FROM ({_RATIOS})")
 def doc_text_ratios(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *[F.round(c, 6).alias(n) for n, c in documents.ratios(F.col("text")).items()])
 
 
-@query()
+@query(f"""SELECT doc_id, round(0.52 * 0.98 + 0.2 * dictionary + 0.16 * alphanumeric + 0.12 * (1 - CASE WHEN t = '' THEN 1 ELSE
+(length(t) - length(regexp_replace(t, '\\[illegible\\]', '', 'gi'))) / length(t) END), 4) AS score,
+length(trim(regexp_replace(t, '\\s+', ' ', 'g'))) >= 80 AND dictionary >= 0.18 AND non_ascii <= 0.35 AND alphanumeric >= 0.25 AS readable FROM ({_RATIOS})""")
 def doc_quality_score(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(documents.quality(F.col("text"), F.lit(0.98)), 4).alias("score"), documents.readable(F.col("text")).alias("readable"))
 

@@ -46,6 +46,52 @@ def test_dates(spark):
     assert (vote.kind, vote.confidence, values) == ("string", 0.5, ["01/02/2024", "03/04/2024"])
 
 
+@pytest.mark.parametrize(("values", "first"), [
+    (["2024.02.13", "2024.2.1"], (2024, 2, 13)), (["13.02.24", "14.02.24"], (2024, 2, 13)), (["2/13/69", "3/14/99"], (1969, 2, 13)), (["31-12-68", "30-12-68"], (2068, 12, 31)),
+    (["2024/02/13 1:2:3", "2024/02/14 11:22:33"], (2024, 2, 13, 1, 2, 3)), (["13-2-2024 10:00:00", "14-2-2024 10:00:00"], (2024, 2, 13, 10)), (["13 Feb 2024", "1 Mar 2024"], (2024, 2, 13)),
+])
+def test_date_formats(spark, values, first):
+    vote, found = cast(spark, values)
+    assert vote.kind == "datetime" and found[0] == datetime.datetime(*first) and None not in found
+
+
+def test_dates_that_read_both_ways(spark):
+    for values in (["01.02.2024", "03.04.2024"], ["1/2/24", "3/4/24"], ["01-02-2024 10:00:00", "2-3-2024 10:00:00"]):
+        vote, found = cast(spark, values)
+        assert (vote.kind, vote.confidence, vote.reasons, found) == ("string", 0.5, ("ambiguous_date_format",), values)
+
+
+def test_null_words_and_scale_words(spark):
+    nulls = ["", " ", "<NA>", "-nan", "-NaN", "#N/A N/A", "1.#IND", "-1.#QNAN", "#REF!", "nil", "–"]
+    kept = [".", "?", "--", "none", "#DIV/0!", "#NAME?", "Nil"]
+    assert [r[0] for r in column(spark, nulls + kept).select(cells.clean_cell(F.col("c0"))).collect()] == [None] * len(nulls) + kept
+    assert [cells.scale_factor(w) for w in ("Thousands", "lacs", "Crores", "millions", "billions", "1,000", "mn")] == [1e3, 1e5, 1e7, 1e6, 1e9, 1e3, None]
+
+
+def test_name_likeness():
+    wanted = {("customer_id", "id"): 0.85, ("id", "Customer ID"): 0.85, ("order_no", "no"): 0.85, ("a_code", "code"): 8 / 9, ("key", "part_key_key"): 0.85, ("customer_id", "supplier_id"): 0.5, ("x_ref", "ref"): 6 / 7,
+              ("Order-ID", "orderid"): 1.0, ("--", "id"): 0.0, ("c_custkey", "o_custkey"): 0.875}
+    assert {k: round(text.similar_names(*k), 6) for k in wanted} == {k: round(v, 6) for k, v in wanted.items()}
+
+
+def test_six_significant_digits(spark):
+    rows = spark.createDataFrame([(0.00001234567,), (1234567.891,), (12345678.0,), (-0.333333333,), (None,)], "x double").select(profile.six_digits(F.col("x"))).collect()
+    assert [r[0] for r in rows] == [0.0000123457, 1234570.0, 12345678.0, -0.333333, None]
+
+
+def test_page_quality(spark):
+    clean = "The total amount of this invoice is in the account and the tax is to be paid by the date in this section. " * 2
+    even, uneven = "| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |", "| a | b |\n| 1 |\n| 1 | 2 | 3 | 4 |\n| 5 | 6 | 7 | 8 | 9 | 10 |"
+    df = spark.createDataFrame([(0, clean, False), (1, "[illegible] xq [illegible] zv", False), (2, even, True), (3, uneven, True), (4, None, False)], "i int, t string, tables boolean")
+    args = F.col("t"), F.lit(0.9), F.col("tables")
+    rows = df.select("i", documents.quality(*args).alias("q"), documents.quality_reasons(*args, 0.6).alias("why"), documents.table_penalty(F.col("t")).alias("p")).orderBy("i").collect()
+    assert rows[0]["why"] == [] and rows[0]["q"] > 0.75 > rows[1]["q"]
+    assert {"high_illegible_density", "low_dictionary_word_ratio"} <= set(rows[1]["why"])
+    assert rows[2]["p"] == 0 and "unstable_table_columns" not in rows[2]["why"]
+    assert round(rows[3]["p"], 6) == round(0.12 * (8 / 3) ** 0.5 / 4, 6) and "unstable_table_columns" in rows[3]["why"]
+    assert rows[4]["q"] == pytest.approx(0.468)
+
+
 def test_profile_examples(spark):
     numbers = column(spark, [10.0, 20.0, 30.0, None, 100.0], "double")
     s = profile.numeric_stats(numbers, ["c0"]).first()
@@ -88,6 +134,11 @@ def test_validation(spark):
     assert rows["Amount"]["confidence"] >= 0.95
     assert rows["Word"]["confidence"] < 0.85 and "type_parse_rate_low" in rows["Word"]["reasons"]
     assert "ambiguous_date_format" in rows["Date"]["reasons"]
+    assert rows["Word"]["reasons"] == "type_parse_rate_low,type_kind_mismatch,format_signature_mismatch,validator_confidence_low"
+    odd = spark.createDataFrame([("1.5", "no", None), ("2.5", "yes", None)], "column1 string, total_rate string, C string")
+    rows = {r["col"]: r for r in validate.validate(odd, {"column1": "int", "total_rate": "category", "C": "string"}).collect()}
+    assert rows["column1"]["reasons"] == "generic_column_name,type_parse_rate_low,type_kind_mismatch,validator_confidence_low" and rows["column1"]["type_score"] == 0
+    assert rows["total_rate"]["reasons"] == "semantic_name_type_mismatch" and rows["C"]["reasons"] == "all_values_null"
 
 
 def test_review(spark):
