@@ -37,8 +37,8 @@ from .shared import sized, stored
 
 #: A branch with less importance on at least so many pages of a host is removed.
 LOW_IMPORTANCE, MIN_PAGES = 0.1, 5
-#: Tags deeper than this share the path of their ancestor.
-MAX_DEPTH = 12
+#: Tags deeper than this share the path of their ancestor, so that a path's length is bounded.
+MAX_DEPTH = 64
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
@@ -100,7 +100,7 @@ def opened(tag: str, attributes: str, over: Node, lift: int = HINTED) -> Node:
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             value = (a or b or c).lower()
             if name.lower() == "class" or name.lower() == "id":
-                label += "." + value[:40]
+                label += "." + (value if len(value) <= 40 and "/" not in value else f"{hashed(value):x}")
             if article:
                 if any(PIECES.split(c, maxsplit=1)[0] in NOT_OWN for c in value.split()):
                     skip = max(skip, NAMED)

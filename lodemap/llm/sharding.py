@@ -77,29 +77,39 @@ def shard(docs: DataFrame, limit_bytes: int, key_col: str = "doc_id", text_col:
 
     ``shard`` is the hash prefix of the row's bucket ('' while one bucket holds all).
     """
-    rows = stored(
-        docs.select(
-            F.col(key_col),
-            F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"),
-            F.concat(hash_bits(F.col(key_col)), hash_bits(F.monotonically_increasing_id())).alias("bits"),
-        ),
-        "shard-rows",
-    )
-    found = directory(rows, limit_bytes)
+    rows = stored(sized_rows(docs, F.col(key_col).alias("_key"), F.col(key_col), F.col(text_col)), "shard-rows")
+    return placed(rows, directory(rows, limit_bytes)).withColumnRenamed("_key", key_col)
+
+
+def sized_rows(docs: DataFrame, kept: Column, key: Column, text: Column) -> DataFrame:
+    """(kept, n_bytes long, bits string): the size of each row and the bits that place it."""
+    n_bytes = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    return docs.select(kept, n_bytes.alias("n_bytes"), F.concat(hash_bits(key), hash_bits(F.monotonically_increasing_id())).alias("bits"))
+
+
+def placed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows without their bits, with (shard, depth, shard_rows, shard_bytes) of their bucket in a directory."""
     depths = [r[0] for r in found.select("depth").distinct().collect()]  # 121 at most
     n = found.count()
     # A row's bucket is the one prefix of its bits that the directory has.
     prefixes = F.array(*[F.expr(f"left(bits, {d})") for d in sorted(depths)]) if depths else F.array(F.lit(""))
     return (
-        rows.withColumn("_p", F.explode(prefixes))
-        .join(sized(found.withColumnRenamed("shard", "_p"), n), "_p")
-        .select(key_col, "n_bytes", F.col("_p").alias("shard"), "depth", "shard_rows", "shard_bytes")
+        rows.withColumn("shard", F.explode(prefixes))
+        .join(sized(found, n), "shard")
+        .select(*[c for c in rows.columns if c != "bits"], "shard", "depth", "shard_rows", "shard_bytes")
     )
 
 
 def write_shards(docs: DataFrame, path: str, limit_bytes: int, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the rows, each shard in a folder of its own, and returns the directory. Keys must not repeat."""
-    places = shard(docs, limit_bytes, key_col, text_col)
-    placed = docs.join(places.select(key_col, F.col("shard").alias("_shard")), key_col)
-    placed.repartition("_shard").write.partitionBy("_shard").parquet(path)
-    return places.select("shard", "depth", "shard_rows", "shard_bytes").distinct()
+    """Writes whole rows, also of null and repeated keys, each shard in a folder ``_shard=s<bits>``, and returns the directory.
+
+    A row carries its own bits to its shard, so nothing is joined by key.  A column
+    ``_shard`` of ``docs`` would be lost: it is refused.
+    """
+    if "_shard" in docs.columns:
+        raise ValueError("a column is called _shard, as the folders are")
+    whole = stored(sized_rows(docs, F.struct("*").alias("doc"), F.col(key_col), F.col(text_col)), "shard-rows")
+    found = directory(whole, limit_bytes)
+    rows = placed(whole, found).select("doc.*", F.concat(F.lit("s"), "shard").alias("_shard"))
+    rows.repartition("_shard").write.partitionBy("_shard").parquet(path)
+    return found

@@ -3,10 +3,12 @@
 Voters are lexicons and patterns.  The lexicon is a short list of insults and the
 word beginnings that labelled rows show to go with toxic text (a log-likelihood
 test against all other beginnings).  Each voter says toxic, clean or nothing of a
-text; the reviewer who labelled it is one voter more.  A generative label model
-estimates, by expectation maximisation, how accurate each voter is (the reviewer
-too), and from what is left of their agreement how they correlate; correlated voters share one voice.  Its posterior labels train a
-linear classifier on the voters' features, which scores every whole text.
+text.  A generative label model estimates, by expectation maximisation, how accurate
+each voter is, and from what is left of their agreement how they correlate;
+correlated voters share one voice.  Labels only give the first guess of how accurate
+the voters are: a label is no voter, and what the model says of a text follows from
+its votes alone.  These posterior labels train a linear classifier on the voters'
+features, which scores every whole text.
 
 Only labels of rows outside the held-out fold are read.  Labels, language, source
 and id are never inputs of a score.  The fit uses at most TRAIN_ROWS rows (a
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 from .shared import sized, stored
 
 TRAIN_ROWS = 12_000
-#: Lengths of the word beginnings that are tested, and how many are kept at most.
-BEGINNINGS, MAX_STEMS, CANDIDATES = (4, 5, 6, 7, 8), 60, 4_000
+#: Lengths of the word beginnings that are tested.
+BEGINNINGS = (4, 5, 6, 7, 8)
 #: A beginning counts only if so many, and this share, of the toxic rows have it, and this share of its rows is toxic.
 LEAST_ROWS, LEAST_SHARE, LEAST_PRECISION = 5, 0.012, 0.9
 LABELS_BROADCAST = 1_000_000
@@ -66,7 +68,11 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
 
 
 def stems(rows: DataFrame) -> list[str]:
-    """Word beginnings that go with toxic rows, the strongest first."""
+    """Word beginnings that go with toxic rows, the most frequent first.
+
+    Each stands in LEAST_SHARE of the toxic rows at least, so there are at most as
+    many of them as a toxic row has beginnings, by that share.
+    """
     words = rows.select("toxic", F.array_distinct(F.split(F.lower("text"), LETTERS)).alias("w"))
     starts = F.array_distinct(F.flatten(F.array(*[F.transform("w", _cut(k)) for k in BEGINNINGS])))
     seen = words.select("toxic", F.explode(starts).alias("stem")).where(F.length("stem") >= BEGINNINGS[0])
@@ -79,14 +85,14 @@ def stems(rows: DataFrame) -> list[str]:
     rate = F.least(F.lit(0.999), F.col("a") / F.col("c"))
     gain = F.col("a") * F.ln(rate / base) + (F.col("c") - F.col("a")) * F.ln((1 - rate) / (1 - base))
     tested = counts.where((F.col("a") >= max(LEAST_ROWS, LEAST_SHARE * pos)) & (F.col("a") > LEAST_PRECISION * F.col("c"))).withColumn("gain", gain)
-    found = tested.orderBy(F.desc("gain"), "stem").limit(CANDIDATES).collect()
+    found = tested.collect()
     least = math.log(max(2, counts.where("a > 0").count())) + 3
     kept: list[tuple[str, int, int]] = []
     for r in sorted((r for r in found if r["gain"] >= least), key=lambda r: (len(r["stem"]), r["stem"])):
         under = [k for k in kept if r["stem"].startswith(k[0])]
         if not any(k[1] / k[2] >= r["a"] / r["c"] - 0.02 for k in under):  # nothing new to its beginning
             kept.append((r["stem"], r["a"], r["c"]))
-    return [k[0] for k in sorted(kept, key=lambda k: (-k[1], k[0]))][:MAX_STEMS]
+    return [k[0] for k in sorted(kept, key=lambda k: (-k[1], k[0]))]
 
 
 def _cut(k: int):
@@ -167,10 +173,10 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
     @classmethod
-    def fit(cls, votes: np.ndarray, rounds: int = 25) -> LabelModel:
-        """Expectation maximisation from the voters' majority; then again with correlated voters sharing a voice."""
+    def fit(cls, votes: np.ndarray, first: np.ndarray, rounds: int = 25) -> LabelModel:
+        """Expectation maximisation from first probabilities; then again with correlated voters sharing a voice."""
         n, v = votes.shape
-        p = np.where((votes > 0).any(1), 0.9, 0.05)
+        p = first
         model = cls(voice=np.ones(v), correlation=np.eye(v))
         onehot = np.stack([votes == k for k in (-1, 0, 1)], 2).astype(np.float64)
         for again in range(2):
@@ -253,9 +259,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         weights = np.zeros(size + 1)
         weights[len(voters.entries)], weights[-1] = 6.0, -3.0
         return Classifier(voters, weights, LabelModel())
-    reviewer = np.array([[1 if r["toxic"] else -1] for r in found], np.int8)
-    votes = np.hstack([voters.votes(x), reviewer])
-    model = LabelModel.fit(votes)
+    votes = voters.votes(x)
+    model = LabelModel.fit(votes, np.where([r["toxic"] for r in found], 0.95, 0.05))
     return Classifier(voters, logistic(x, model.posterior(votes)), model)
 
 

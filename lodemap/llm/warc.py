@@ -7,9 +7,10 @@ occur again are written as ``revisit`` records of the first (smallest id) one.
 
 Each task writes one archive under a name of its own and reports it in the
 manifest; files of lost or repeated attempts are in no manifest and so are never
-read.  Null payloads count as empty; a null url gives no target URI.  Rows that
-repeat both id and payload of a response are responses too.  An empty table
-gives no archive.  Columns other than the three named ones are not read.
+read.  Null payloads count as empty; a null url gives no target URI.  Ids may be of
+any type with a text form.  A row with a null id revisits the response of its payload;
+if no row of a payload has an id, all are responses.  Rows that repeat both id and
+payload of a response are responses too.  An empty table gives no archive.  Columns other than the three named ones are not read.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import urllib.parse
 import uuid
 from collections.abc import Iterator
 
@@ -31,17 +33,17 @@ SAMPLE_RECORDS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 16_384, 65_536
 #: Magic number of the skippable frame that holds a dictionary (fixed value).
 DICTIONARY_MAGIC = 0x184D2A5D
 #: An archived payload is at most so long in one read.
-CHUNK = 1 << 20
+CHUNK, STEP = 1 << 20, 1 << 12
 DATE = "2024-01-01T00:00:00Z"
 
 
-def build_dictionary(pages: DataFrame, html_col: str) -> bytes:
-    """A Zstandard dictionary from a bounded sample of records; b'' if there are too few to build one."""
+def build_dictionary(pages: DataFrame) -> bytes:
+    """A Zstandard dictionary from a bounded sample of records (_html), spread by hash; b'' if there are too few to build one."""
     import zstandard
 
     sample = [
         r[0].encode()
-        for r in pages.select(F.substring(F.col(html_col), 1, SAMPLE_CHARS)).where(f"`{html_col}` <> ''").limit(SAMPLE_RECORDS).collect()
+        for r in pages.select(F.substring("_html", 1, SAMPLE_CHARS), F.sha1("_html").alias("_sha")).where("_html <> ''").orderBy("_sha").limit(SAMPLE_RECORDS).collect()
     ]
     if len(sample) < 16 or sum(map(len, sample)) < 8 * 1024:
         return b""
@@ -55,6 +57,16 @@ def bare_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def urn(page_id) -> str:
+    """A page's id as a record's; any text is allowed, and none too."""
+    return "<urn:no-page>" if page_id is None else f"<urn:page:{urllib.parse.quote(str(page_id), safe='')}>"
+
+
+def page_of(name: str | None) -> str | None:
+    """The page's id, as text, of a record's."""
+    return urllib.parse.unquote(name[len("<urn:page:") : -1]) if name and name.startswith("<urn:page:") else None
+
+
 def record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
     """One WARC 1.1 record: a response, or a revisit if ``refers_to`` is given."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -62,7 +74,7 @@ def record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: {urn(page_id)}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{bare_digest(payload)}",
         f"WARC-Payload-Length: {len(payload)}",
@@ -71,7 +83,7 @@ def record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if refers_to is not None:
-        head.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
+        head.append(f"WARC-Refers-To: {urn(refers_to)}")
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -104,9 +116,9 @@ def write_archives(
     )
     again = stored(again, "warc-repeats")
     rows = rows.join(sized(again, again.count()), "_sha", "left").select(
-        "_id", "_url", "_html", F.when(F.col("_id") != F.col("_first"), F.col("_first")).alias("_refers")
+        "_id", "_url", "_html", F.when(~F.col("_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("_refers")
     )
-    words = build_dictionary(rows, "_html")
+    words = build_dictionary(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -146,18 +158,21 @@ def frames(stream, size: int = CHUNK) -> Iterator[bytes]:
         made = zstandard.ZstdCompressionDict(stream.read(struct.unpack("<I", data[4:])[0]))
         data = b""
     context = zstandard.ZstdDecompressor(dict_data=made)
-    one, parts = context.decompressobj(), []
+    one, parts, at = context.decompressobj(), [], 0
     while True:
-        data = data or stream.read(size)
+        if at == len(data):
+            data, at = memoryview(stream.read(size)), 0
         if not data:
             if parts:
                 raise ValueError("an archive ends inside a record")
             return
-        parts.append(one.decompress(data))
-        data = b""
+        piece = data[at : at + STEP]  # what is left of a piece is copied, so it is kept short
+        parts.append(one.decompress(piece))
+        at += len(piece)
         if one.eof:
             yield b"".join(parts)
-            data, parts, one = one.unused_data, [], context.decompressobj()
+            at -= len(one.unused_data)
+            parts, one = [], context.decompressobj()
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -168,11 +183,11 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block.partition(b"\r\n\r\n")[2]
 
 
-def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
+def read_archives(manifest: DataFrame, with_payload: bool = False, id_type: str = "long") -> DataFrame:
     """Reads the archives of a manifest back and checks every response against its digest.
 
-    Returns (page_id long, url, payload_bytes long, payload_digest, record_type,
-    refers_to long, and payload binary if ``with_payload``).
+    Returns (page_id, url, payload_bytes long, payload_digest, record_type, refers_to,
+    and payload binary if ``with_payload``); ids are of ``id_type``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +202,8 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
                         digest = f["WARC-Payload-Digest"].removeprefix("sha1:")
                         if f["WARC-Type"] == "response" and bare_digest(payload) != digest:
                             raise ValueError(f"{file}: a payload differs from its digest")
-                        number = lambda x: int(x[len("<urn:page:") : -1] or 0) if x and x != "<urn:page:>" else None
-                        got.append((number(f["WARC-Record-ID"]), f.get("WARC-Target-URI"), int(f["WARC-Payload-Length"]), digest, f["WARC-Type"], number(f.get("WARC-Refers-To")), payload))
+                        refers = page_of(f.get("WARC-Refers-To"))
+                        got.append((page_of(f["WARC-Record-ID"]), f.get("WARC-Target-URI"), int(f["WARC-Payload-Length"]), digest, f["WARC-Type"], refers, payload))
                         held += len(payload) if with_payload else 100
                         if held > CHUNK:
                             yield as_batch(got)
@@ -197,10 +212,11 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
                         yield as_batch(got)
 
     def as_batch(got: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][: 6 + with_payload]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()][: 6 + with_payload]
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][: 6 + with_payload]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), kinds)], names)
 
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    schema = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string"
     files = max(1, manifest.count())
-    return manifest.select("file").repartition(files).mapInArrow(run, schema + (", payload binary" if with_payload else ""))
+    out = manifest.select("file").repartition(files).mapInArrow(run, schema + (", payload binary" if with_payload else ""))
+    return out.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})

@@ -145,3 +145,15 @@ def test_html_query_gives_every_page(spark):
     for r in rows:
         assert r["n_chars"] == len(r["text"]) and r["url"] == pages[r["page_id"]]["url"]
         assert "<script" not in r["text"] and "  " not in r["text"]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_warc_of_null_and_text_ids(spark, kind):
+    name = (lambda i: i) if kind == "long" else (lambda i: None if i is None else f"p>{i}\n/ä" if i else "")
+    rows = [(name(3), "u", "same"), (name(0), None, "same"), (None, "u", "same"), (name(5), "u", "other"), (None, "u", "lone"), (None, "v", "lone"), (name(9), "w", None)]
+    pages = spark.createDataFrame(rows, f"page_id {kind}, url string, html string")
+    back = warc.read_archives(warc.write_archives(pages), id_type=kind).collect()
+    got = sorted((repr(r["page_id"]), r["record_type"], r["refers_to"]) for r in back)
+    first = name(0)
+    assert got == sorted([(repr(name(3)), "revisit", first), (repr(first), "response", None), ("None", "revisit", first), (repr(name(5)), "response", None), ("None", "response", None),
+                          ("None", "response", None), (repr(name(9)), "response", None)])

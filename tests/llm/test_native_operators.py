@@ -107,6 +107,16 @@ def test_sharding_of_nothing_and_of_one_bucket(spark):
     assert {(r["shard"], r["shard_bytes"], r["shard_rows"]) for r in one} == {("", 2, 2)}
 
 
+def test_shards_are_written_whole(spark, tmp_path):
+    rows = [(None, "null key", 0), (7, "twice", 1), (7, "twice", 2), (7, None, 3), *((i, "x" * i, i) for i in range(10, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `shard.x` int")
+    directory = sharding.write_shards(docs, f"file://{tmp_path}/out", 200)
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert sorted(map(repr, back.drop("_shard").collect())) == sorted(map(repr, docs.collect()))
+    found = {r["_shard"]: r["count"] for r in back.groupBy("_shard").count().collect()}
+    assert found == {"s" + r["shard"]: r["shard_rows"] for r in directory.collect()} and len(found) > 5
+
+
 def brute_edits(docs):
     ordered = sorted(docs, key=lambda d: -d[0])
     out = {}
