@@ -174,12 +174,12 @@ class LabelModel:
 
     @classmethod
     def fit(cls, votes: np.ndarray, first: np.ndarray, rounds: int = 25) -> LabelModel:
-        """Expectation maximisation from first probabilities; then again with correlated voters sharing a voice."""
+        """Expectation maximisation from first probabilities; then from these again, with correlated voters sharing a voice."""
         n, v = votes.shape
-        p = first
         model = cls(voice=np.ones(v), correlation=np.eye(v))
         onehot = np.stack([votes == k for k in (-1, 0, 1)], 2).astype(np.float64)
         for again in range(2):
+            p = first
             for _ in range(rounds):
                 model.share = float(np.clip(p.mean(), 0.01, 0.6))
                 weights = np.stack([1 - p, p], 1)
