@@ -30,7 +30,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Words of more bytes than this take the heap.
 LONG = 200
 #: A worker forgets its words beyond this number, so that its memory is bounded.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 50_000
 #: Up to this code point all Unicode versions agree on what is a letter, a number or a space.
 STABLE = "[^\x00-՗]"
 NONE = 1 << 60

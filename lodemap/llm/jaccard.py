@@ -54,7 +54,7 @@ DEALS = 3
 MORE = 0.1
 #: The blocks of large sets: equal ones that are asked for, and how likely two linked sets may have fewer.
 SAME, LOSS = 8, 1e-12
-CACHE_WORDS = 100_000
+CACHE_WORDS = 50_000
 #: Bits of a sketch, in longs.
 BITS = 1024
 WORDS = [f"s{i}" for i in range(BITS // 64)]

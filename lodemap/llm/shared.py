@@ -81,7 +81,7 @@ def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
     """Arrow batches in parts of so many rows, so that what a worker makes of one stays small."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sized, stored
+from .shared import sized, slices, stored
 
 TRAIN_ROWS = 12_000
 #: Lengths of the word beginnings that are tested.
@@ -271,7 +271,7 @@ def scored(docs: DataFrame, classifier: Classifier, text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             found = pa.array([c.score(t.as_py()) for t in batch.column(0).field(text_col)], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), found], ["doc", "score"])
 
