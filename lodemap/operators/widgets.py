@@ -6,7 +6,9 @@ from a window over all rows in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS, FEWEST, MOST = 12, 2, 40
@@ -78,3 +80,165 @@ def timeline(df: DataFrame, ident: str, group: str, moment: str) -> DataFrame:
     lanes = places(df.select(F.coalesce(F.col(group), F.lit("events")).alias("grp")), "grp", "lane")
     rows = df.select(ident, F.coalesce(F.col(group), F.lit("events")).alias("grp"), F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
     return rows.join(lanes, "grp").select(ident, "grp", "lane", "at")
+
+
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+BARS, SLICES, CARDS, SCATTER_SIZE = 10, 8, 4, 8.0
+
+
+def chart_number(cell: Column) -> Column:
+    """The finite number in a cell of any type, with or without grouping commas; else null."""
+    text = F.trim(F.replace(cell.cast("string"), F.lit(","), F.lit("")))
+    number = F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.when(F.abs(number) < float("inf"), number)
+
+
+def chart_text(cell: Column) -> Column:
+    return F.coalesce(cell.cast("string"), F.lit(""))
+
+
+def first_seen(df: DataFrame, column: str, name: str, order: str) -> DataFrame:
+    """(column, name int): the place of each distinct label by its first row; the labels are those that a chart shows."""
+    labels = df.groupBy(column).agg(F.min(order).alias("_seen"))
+    return labels.select(column, (F.row_number().over(Window.orderBy("_seen")) - 1).cast("int").alias(name))
+
+
+def items(df: DataFrame, category: str, value: str, order: str) -> DataFrame:
+    """(order, label, value): one bar for each row with a numeric value."""
+    return df.select(F.col(order), chart_text(F.col(category)).alias("label"), chart_number(F.col(value)).alias("value")).where("value is not null")
+
+
+def first_items(df: DataFrame, order: str, k: int | None = BARS) -> DataFrame:
+    """The first bars or slices as they come, not the largest; all without ``k``."""
+    return df if k is None else df.orderBy(order).limit(k)
+
+
+def first_match_series(df: DataFrame, category: str, by: str, value: str, names: dict, order: str) -> DataFrame:
+    """(category, place int, a column for each named series): the value of the first row of each pair, 0 without one or a number.
+
+    Categories are placed by their first row, whatever its series.
+    """
+    first = lambda k: F.min_by(chart_number(F.col(value)), F.when(F.col(by) == k, F.col(order)))
+    out = df.groupBy(F.col(category).alias("category")).agg(F.min(order).alias("_seen"), *[F.coalesce(first(k), F.lit(0.0)).alias(n) for k, n in names.items()])
+    place = (F.row_number().over(Window.orderBy("_seen")) - 1).cast("int")
+    return out.select(chart_text(F.col("category")).alias("category"), place.alias("place"), *names.values())
+
+
+def wide_series(df: DataFrame, category: str, columns: list[str], order: str) -> DataFrame:
+    """(order, category, series, value): each numeric column is a series; what is no number is 0."""
+    cells = [F.struct(F.lit(c).alias("series"), F.coalesce(chart_number(F.col(f"`{c}`")), F.lit(0.0)).alias("value")) for c in columns]
+    return df.select(F.col(order), chart_text(F.col(category)).alias("category"), F.inline(F.array(*cells)))
+
+
+def scatter(df: DataFrame, x: str, y: str, size: str | None = None, label: str | None = None) -> DataFrame:
+    """(x, y, size, label): points that have both numbers; the size is 8 and the label empty where none is given."""
+    wide = F.coalesce(chart_number(F.col(size)), F.lit(SCATTER_SIZE)) if size else F.lit(SCATTER_SIZE)
+    points = df.select(chart_number(F.col(x)).alias("x"), chart_number(F.col(y)).alias("y"), wide.alias("size"), (chart_text(F.col(label)) if label else F.lit("")).alias("label"))
+    return points.where("x is not null and y is not null")
+
+
+def heatmap_cells(df: DataFrame, x: str, y: str, value: str, order: str) -> DataFrame:
+    """(x, y, col, row, value): cells with a number, at the places of their labels by first appearance."""
+    cells = df.select(F.col(order).alias("_order"), chart_text(F.col(x)).alias("x"), chart_text(F.col(y)).alias("y"), chart_number(F.col(value)).alias("value")).where("value is not null")
+    cols, rows = first_seen(cells, "x", "col", "_order"), first_seen(cells, "y", "row", "_order")
+    return cells.join(cols, "x").join(rows, "y").select("x", "y", "col", "row", "value")
+
+
+def heatmap_matrix(df: DataFrame, category: str, columns: list[str], order: str) -> DataFrame:
+    """The same from a table of numbers: a row of the map for each row, a column for each numeric column."""
+    names = F.array(*[F.lit(c) for c in columns])
+    cells = wide_series(df, category, columns, order).withColumnsRenamed({"series": "x", "category": "y"})
+    return cells.withColumn("col", (F.array_position(names, F.col("x")) - 1).cast("int")).select(order, "x", "y", "col", "value")
+
+
+def given_five_numbers(df: DataFrame, category: str, columns: list[str]) -> DataFrame:
+    """Boxes whose five numbers are the first five numeric columns of a table."""
+    if len(columns) < 5:
+        raise ValueError("five numeric columns make a box")
+    parts = [F.coalesce(chart_number(F.col(f"`{c}`")), F.lit(0.0)).alias(n) for c, n in zip(columns, ("low", "q1", "q2", "q3", "high"))]
+    return df.select(chart_text(F.col(category)).alias("grp"), *parts)
+
+
+def sankey(df: DataFrame, source: str, target: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """Links (source, target, value) that have a number, and their distinct nodes (name)."""
+    links = df.select(chart_text(F.col(source)).alias("source"), chart_text(F.col(target)).alias("target"), chart_number(F.col(value)).alias("value")).where("value is not null")
+    nodes = links.select(F.explode(F.array("source", "target")).alias("name")).distinct()
+    return links, nodes
+
+
+def cards(df: DataFrame, order: str, k: int = CARDS) -> DataFrame:
+    """The figures of a card: the first few items."""
+    return df.orderBy(order).limit(k)
+
+
+def matching(df: DataFrame, asked: str) -> DataFrame:
+    """Rows of which any cell holds the asked text, in any case; all rows for an empty one."""
+    if not asked:
+        return df
+    hit = [F.contains(F.lower(F.col(f"`{c}`").cast("string")), F.lit(asked.lower())) for c in df.columns]
+    return df.where(F.greatest(*[F.coalesce(h, F.lit(False)) for h in hit]) if len(hit) > 1 else hit[0])
+
+
+@dataclass(frozen=True)
+class Roles:
+    """Columns by what they hold: category and value always, series where there is one; and all numeric columns but the category."""
+
+    category: str
+    value: str
+    series: str | None
+    numeric: tuple[str, ...]
+
+
+def roles(df: DataFrame, category: str | None = None, value: str | None = None, series: str | None = None) -> Roles:
+    """The category is the first column with a cell that is no number, the value the first other one with a number,
+    the series the first remaining one with text.  Names that are given go first, in any case of letters.  One aggregate."""
+    named = {c.lower(): c for c in reversed(df.columns)}
+    cell = {c: F.col(f"`{c}`") for c in df.columns}
+    number = {c: chart_number(cell[c]).isNotNull() for c in df.columns}
+    counts = [F.count_if(number[c]).alias(f"n{i}") for i, c in enumerate(df.columns)]
+    counts += [F.count_if(~number[c]).alias(f"t{i}") for i, c in enumerate(df.columns)]
+    counts += [F.count_if(~number[c] & (chart_text(cell[c]) != "")).alias(f"w{i}") for i, c in enumerate(df.columns)]
+    row = df.agg(*counts).first()
+    having = lambda kind, but: [c for i, c in enumerate(df.columns) if c not in but and row[f"{kind}{i}"]]
+    first = lambda given, found, other: named.get((given or "").lower()) or next(iter(found), other)
+    label = first(category, having("t", ()), df.columns[0])
+    numeric = having("n", (label,))
+    amount = first(value, numeric, df.columns[1 if label == df.columns[0] and len(df.columns) > 1 else 0])
+    return Roles(label, amount, first(series, having("w", (label, amount)), None), tuple(numeric))
+
+
+# Phrases of a title that ask for a chart, in the order in which they are looked for.
+PHRASES = {
+    "stacked area": "stacked_area", "area chart": "area", "histogram": "histogram", "scatterplot": "scatter", "scatter plot": "scatter", "heatmap": "heatmap", "heat map": "heatmap",
+    "boxplot": "boxplot", "box plot": "boxplot", "waterfall": "waterfall", "sankey": "sankey", "timeline": "timeline", "horizontal bar": "horizontal_bar", "grouped bar": "grouped_bar",
+    "stacked bar": "stacked_bar", "stacked chart": "stacked_bar",
+}
+PARTS_OF_WHOLE = ("pct", "percent", "share", "proportion")
+ASKED_BY = ("chartType", "variant", "layout", "orientation", "type")
+
+
+def chart_kind(kind: str, columns: list[str], title: str = "", caption: str = "", options: dict | None = None, several: bool = False) -> str:
+    """The kind of chart that is meant: by the words of its title and options, else by its columns.
+
+    ``several`` says that the table holds more than one series (see ``roles``).
+    """
+    options = options or {}
+    asked = [str(options[k]).strip().lower() for k in ASKED_BY if options.get(k) is not None]
+    text = " ".join([title or "", caption or "", *asked]).lower()
+    names = [c.strip().lower() for c in columns]
+    if kind in ("bar", "line", "table"):
+        kind = next((found for phrase, found in PHRASES.items() if phrase in text), kind)
+    if kind == "table":
+        if {"source", "target"} <= set(names):
+            return "sankey"
+        return "timeline" if any("time" in n for n in names) and any("event" in n for n in names) else kind
+    if kind == "line":
+        return "area" if "area" in text else kind
+    if kind != "bar":
+        return kind
+    wanted = lambda *words: any(w in asked for w in words)
+    if wanted("horizontal", "horizontal_bar"):
+        return "horizontal_bar"
+    if wanted("stacked", "stacked_bar") or options.get("stacked") is True or any(p in n for p in PARTS_OF_WHOLE for n in names):
+        return "stacked_bar"
+    return "grouped_bar" if wanted("grouped", "grouped_bar") or several else "bar"
