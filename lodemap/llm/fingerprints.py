@@ -17,13 +17,15 @@ d to the sum of all frequencies, so with a least share p of the documents there
 are at most (mean d)/p terms, whatever the size of the corpus.
 
 Null text counts as empty.  No text loses terms, whatever its length; without any
-terms it is fingerprinted by its own hash.  Repeated rows each give a row.  Other columns are not read.
+terms it is fingerprinted by its own hash.  Repeated rows each give a row.  Ids may be of any kind
+that has an order.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .decontaminate import SEPARATORS
 from .shared import sized, stored
@@ -69,6 +71,20 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(same.cast("double") / F.lit(float(FAMILIES)))
 
 
+def numeric_edges(docs: DataFrame, id_col: str, count: int) -> list:
+    return docs.agg(F.percentile_approx(id_col, [i / count for i in range(1, count)], 10 * count)).first()[0] or []
+
+
+def spread_edges(docs: DataFrame, id_col: str, count: int) -> list:
+    """Block edges for ids of any kind that has an order: even ranks among the ids with the smallest hashes, ten a block.
+
+    Edges decide only where blocks end, not what is in the result.
+    """
+    some = docs.select(F.col(id_col).alias("id")).where("id is not null").orderBy(F.xxhash64("id")).limit(10 * count)
+    ids = [r["id"] for r in some.orderBy("id").collect()]
+    return [ids[len(ids) * i // count] for i in range(1, count)] if ids else []
+
+
 def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Blocks of documents in descending order of id: (block, ghost, id, text).
 
@@ -80,8 +96,8 @@ def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     count = min(BLOCKS, -(-facts["n"] // BLOCK_ROWS))
     edges = []
     if count > 1:
-        shares = [i / count for i in range(1, count)]
-        edges = sorted(set(docs.agg(F.percentile_approx(id_col, shares, 10 * count)).first()[0]) - {facts["top"]})
+        found = numeric_edges(docs, id_col, count) if isinstance(docs.schema[id_col].dataType, NumericType) else spread_edges(docs, id_col, count)
+        edges = sorted(set(found) - {facts["top"]})
     kind = dict(docs.dtypes)[id_col]
     listed = F.array(*[F.lit(e) for e in edges]).cast(f"array<{kind}>")
     key = F.col(id_col)

@@ -2,8 +2,11 @@
 
 import hashlib
 import re
+import struct
+from collections import Counter
 
 import pytest
+import xxhash
 
 from lodemap.llm import decontaminate, fingerprints, queries, sharding
 from lodemap.llm.shared import table
@@ -172,3 +175,61 @@ def test_fingerprints_of_a_hot_group_of_long_near_copies(spark):
     assert got[403]["near_next"] > 0.7 > 0.1 > got[402]["near_next"] and got[401]["near_next"] > 0.7
     other = sorted(got[i]["near_next"] for i in range(61, 300, 3))  # after these comes one of the group
     assert other[len(other) // 2] < 0.2
+
+
+def hashed(*values):
+    """Spark's 64-bit hash of values in a row, each the seed of the next; ints are (value,)."""
+    seed = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else struct.pack("<i", *v) if isinstance(v, tuple) else struct.pack("<q", v)
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def brute_prints(texts):
+    def slot(x):
+        return f"{x & (1 << 64) - 1:x}"[:12].rjust(12, "0")
+
+    terms = [set(re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())) - {""} for t in texts]
+    df = Counter(x for own in terms for x in own)
+    band = {x for x, n in df.items() if max(2, 0.001 * len(texts)) <= n <= max(2, 0.1 * len(texts))}
+    out = []
+    for text, own in zip(texts, terms):
+        if not own:
+            out.append(slot(hashed(text)) * 17)
+            continue
+        main, xor = own & band or own, 0
+        for x in main:
+            xor ^= hashed(x)
+        parts = [slot(hashed(len(main), xor))]
+        for r in range(16):
+            ranks = [(hashed(hashed(x), (r,)) & (1 << 62) - 1) >> (2 if x in band else 0) for x in own]
+            parts.append(slot(hashed(min(ranks))))
+        out.append("".join(parts))
+    return out
+
+
+def test_fingerprints_equal_brute_force(spark):
+    docs = table(spark, TINY, "documents").select("doc_id", "text").collect()
+    texts = [d["text"] or "" for d in docs]
+    wanted = {d["doc_id"]: p for d, p in zip(docs, brute_prints(texts))}
+    order = sorted(wanted, reverse=True)
+    after = dict(zip(order, order[1:] + order[:1]))
+    for r in queries.op6_fingerprints(spark, TINY).collect():
+        own, other = wanted[r["doc_id"]], wanted[after[r["doc_id"]]]
+        assert r["fingerprint"] == own
+        for print_, like in ((other, r["near_next"]), (r["edited_fingerprint"], r["near_edited"])):
+            same = sum(own[12 * k : 12 * k + 12] == print_[12 * k : 12 * k + 12] for k in range(1, 17)) / 16
+            assert like == (1.0 if own == print_ else same)
+
+
+def test_fingerprints_take_ids_of_any_kind(spark, monkeypatch):
+    """Many blocks or one, ids that are numbers or texts of the same order: the same rows; and no id at all."""
+    docs = spark.range(200).selectExpr("id as doc_id", "concat('word', id % 7, ' other', id, ' and more of it ', id % 3) as text")
+    named = docs.selectExpr("lpad(cast(doc_id as string), 5, '0') as doc_id", "text")
+    one = sorted(tuple(r)[1:] for r in fingerprints.edit_likeness(docs).collect())
+    monkeypatch.setattr(fingerprints, "BLOCK_ROWS", 30)
+    for df in (docs, named, named.selectExpr("date_add(date'2024-01-01', cast(doc_id as int)) as doc_id", "text")):
+        assert sorted(tuple(r)[1:] for r in fingerprints.edit_likeness(df).collect()) == one
+    for kind in ("long", "string"):
+        assert fingerprints.edit_likeness(docs.selectExpr(f"cast(null as {kind}) as doc_id", "text")).count() == 200
