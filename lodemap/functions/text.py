@@ -62,7 +62,10 @@ def without_mojibake(text: Column) -> Column:
 
 def normal_value(text: Column) -> Column:
     """A cell as join keys compare it: trimmed, lower, one space; null for null words and for more than 100 characters."""
-    value = F.lower(squeezed(text))
+    return comparable(F.lower(squeezed(text)))
+
+
+def comparable(value: Column) -> Column:
     return F.when((value != "") & ~value.isin("nan", "none", "null") & (F.length(value) <= 100), value)
 
 

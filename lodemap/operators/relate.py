@@ -1,27 +1,28 @@
 """Join keys between tables, from the values their columns share.
 
-Values are counted once; those of one column only can't be shared and are dropped
-before the pairs are made.  Pairs of columns come from grouping by value (each
-value lists its columns, which are few and bounded by the schema), so there is no
-self join and no hot value: the rows are those of the distinct values.
+Pairs of columns come from grouping by value: each value's columns are a set of bits,
+and equal sets are counted before pairs are made of them, so there is no self join
+and no hot value, and what follows the one shuffle by value is of the schema's size.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import name_similarity, normal_value
+from ..functions.text import comparable, name_similarity, normal_value, squeezed
 from .profile import signatures
-from .values import value_counts
+from .values import long_form, value_counts
 
 # Gates and weights of the score.
 MIN_DISTINCT, MIN_SHARED, MAX_LENGTH = 3, 5, 100
 MIN_CONTAINMENT, UNIQUE, FEW, FEW_CAP, NAME_FLOOR = 0.85, 0.95, 12, 0.55, 0.65
 WEIGHTS = {"containment": 0.40, "weighted": 0.22, "parent_unique": 0.18, "rarity": 0.12, "name": 0.08}
 MANY, LEAST_SCORE, MOST, SIGNATURE_SHARE = 0.82, 0.72, 30, 0.75
+WORD_BITS = 62
 KINDS = {
     "tinyint": "int", "smallint": "int", "int": "int", "bigint": "int", "float": "float", "double": "float", "date": "date", "timestamp": "datetime",
     "timestamp_ntz": "datetime", "boolean": "bool",
@@ -51,32 +52,54 @@ def idf(n_columns: int, df: Column) -> Column:
     return F.ln(F.lit(n_columns + 1.0) / (df + 1)) + 1
 
 
-def shared_values(values: DataFrame, n_columns: int) -> DataFrame:
-    """(tab_a, col_a, tab_b, col_b, shared, shared_idf): every ordered pair of columns of different tables with a common value."""
-    by = values.groupBy("value").agg(F.collect_list(F.struct("tab", "col")).alias("cols")).where("size(cols) > 1")
-    weight = idf(n_columns, F.size("cols"))
-    pairs = by.select(F.explode("cols").alias("a"), "cols", weight.alias("w")).select("a", F.explode("cols").alias("b"), "w").where("a.tab <> b.tab")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum("w").alias("shared_idf")).select(
-        F.col("a.tab").alias("tab_a"), F.col("a.col").alias("col_a"), F.col("b.tab").alias("tab_b"), F.col("b.col").alias("col_b"), "shared", "shared_idf"
-    )
+def columns_of(tables: dict[str, DataFrame]) -> list[tuple[str, str]]:
+    return [(t, c) for t, df in tables.items() for c, k in df.dtypes if not k.startswith(("array", "map", "struct"))]
 
 
-def overlaps(tables: dict[str, DataFrame]) -> DataFrame:
-    """(tab_a, col_a, tab_b, col_b, shared, containment, weighted, rarity): how much of column a is in column b."""
-    values = key_values(value_counts(tables)).cache()
-    n = kinds_of(tables).count()
-    return _overlaps(values, n)
+def holders(values: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
+    """(cols array of (tab, col), n): how many values are in exactly these columns.
+
+    A value's columns are bits of long words, so partial aggregates leave a row for
+    each value and task before the one shuffle by value; ``values`` may hold a
+    value of a column many times.  The sets of columns that occur are few; null
+    values are in no column.
+    """
+    words = range(-(-len(columns) // WORD_BITS))
+    bits = []
+    for w in words:
+        mine = [F.when(F.col("value").isNotNull() & (F.col("tab") == t) & (F.col("col") == c), F.lit(1 << i % WORD_BITS)) for i, (t, c) in enumerate(columns) if i // WORD_BITS == w]
+        bits.append(F.bit_or(F.coalesce(*mine, F.lit(0)).cast("long")).alias(f"_w{w}"))
+    sets = values.groupBy("value").agg(*bits).groupBy(*[f"_w{w}" for w in words]).agg(F.count("*").alias("n"))
+    there = lambda i: F.col(f"_w{i // WORD_BITS}").bitwiseAND(F.lit(1 << i % WORD_BITS)) != 0
+    cols = [F.when(there(i), F.struct(F.lit(t).alias("tab"), F.lit(c).alias("col"))) for i, (t, c) in enumerate(columns)]
+    return sets.select(F.array_compact(F.array(*cols)).alias("cols"), "n")
 
 
-def _overlaps(values: DataFrame, n: int) -> DataFrame:
-    freq = values.groupBy("value").agg(F.count("*").alias("df"))
-    sums = values.join(freq, "value").groupBy("tab", "col").agg(F.count("*").alias("size"), F.sum(idf(n, F.col("df"))).alias("all_idf"))
-    sums = F.broadcast(sums.withColumnsRenamed({"tab": "tab_a", "col": "col_a"}))  # a row a column
+def overlaps(tables: dict[str, DataFrame]) -> DataFrame:
+    """(tab_a, col_a, tab_b, col_b, shared, containment, weighted, rarity): how much of column a is in column b.
+
+    One read of each table and one shuffle by value.
+    """
+    columns = columns_of(tables)
+    parts = [long_form(df, None, t) for t, df in tables.items()]
+    plain = reduce(DataFrame.unionByName, parts).select("tab", "col", F.lower(squeezed(F.col("value"))).alias("value"))
+    cells = plain.select("tab", "col", comparable(F.col("value")).alias("value"))  # two steps, so that the text is tidied once
+    return _overlaps(cells, columns)
+
+
+def _overlaps(values: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
+    """A pair of a column with itself counts the whole column; rows are pairs of columns from the first sum on."""
+    n = len(columns)
+    weight = F.col("n") * idf(n, F.size("cols"))
+    pairs = holders(values, columns).select(F.explode("cols").alias("a"), "cols", "n", weight.alias("w")).select("a", F.explode("cols").alias("b"), "n", "w")
+    pairs = pairs.where("a = b or a.tab <> b.tab").groupBy("a", "b").agg(F.sum("n").alias("shared"), F.sum("w").alias("shared_idf"))
+    own, itself = Window.partitionBy("a"), F.col("a") == F.col("b")
+    whole = lambda c: F.max(F.when(itself, F.col(c))).over(own)
+    pairs = pairs.withColumn("size", whole("shared")).withColumn("all_idf", whole("shared_idf")).where("a.tab <> b.tab")
     top = math.log((n + 1) / 2) if n > 1 else 1.0
     rare = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("shared_idf") / F.col("shared") - 1) / top))
-    return shared_values(values, n).join(sums, ["tab_a", "col_a"]).select(
-        "tab_a", "col_a", "tab_b", "col_b", "shared", (F.col("shared") / F.col("size")).alias("containment"), (F.col("shared_idf") / F.col("all_idf")).alias("weighted"), rare.alias("rarity")
-    )
+    ends = [F.col(f"{e}.{k}").alias(f"{k}_{e}") for e in "ab" for k in ("tab", "col")]
+    return pairs.select(*ends, "shared", (F.col("shared") / F.col("size")).alias("containment"), (F.col("shared_idf") / F.col("all_idf")).alias("weighted"), rare.alias("rarity"))
 
 
 def candidates(tables: dict[str, DataFrame], limit: int | None = MOST) -> DataFrame:
@@ -92,7 +115,7 @@ def candidates(tables: dict[str, DataFrame], limit: int | None = MOST) -> DataFr
         .where((F.col("distinct") >= MIN_DISTINCT) & (F.col("avg_length") <= MAX_LENGTH))
     )
     side = lambda s: F.broadcast(facts.select(*[F.col(c).alias(f"{c}_{s}") for c in facts.columns]))  # noqa: E731  a row a column
-    p = _overlaps(values, kinds.count()).join(side("a"), ["tab_a", "col_a"]).join(side("b"), ["tab_b", "col_b"])
+    p = _overlaps(values, columns_of(tables)).join(side("a"), ["tab_a", "col_a"]).join(side("b"), ["tab_b", "col_b"])
     numeric = F.col("kind_a").isin("int", "float") & F.col("kind_b").isin("int", "float")
     text = lambda c: F.when(F.col(c).isin("string", "category"), "text").otherwise(F.col(c))
     formats = (F.col("signature_a") == F.col("signature_b")) | (F.least("coverage_a", "coverage_b") < SIGNATURE_SHARE)

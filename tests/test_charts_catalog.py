@@ -130,3 +130,13 @@ def test_simple_dtypes_and_preview(spark):
     assert set(catalog.simple_dtypes(df.where("false").drop("_row_id")).values()) == {"string", "date"}
     head, n = catalog.preview_rows(None, df)
     assert (head.count(), n) == (12, 60) and "_row_id" not in head.columns
+
+
+def test_value_sets_of_more_columns_than_a_word_has_bits(spark):
+    from lodemap.operators import relate
+
+    wide = spark.createDataFrame([tuple(range(k, k + 70)) for k in (0, 1000)], [f"c{i}" for i in range(70)])
+    other = spark.createDataFrame([(0,), (69,), (1069,), (None,), (5000,)], "k long")
+    out = {(r.col_a, r.col_b): (r.shared, round(r.containment, 4)) for r in relate.overlaps({"w": wide, "o": other}).collect()}
+    assert out == {("c0", "k"): (1, 0.5), ("k", "c0"): (1, 0.25), ("c69", "k"): (2, 1.0), ("k", "c69"): (2, 0.5)}
+    assert relate.overlaps({"w": wide.limit(0), "o": other.limit(0)}).count() == 0
