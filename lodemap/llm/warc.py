@@ -41,10 +41,14 @@ def build_dictionary(pages: DataFrame) -> bytes:
     """A Zstandard dictionary from a bounded sample of records (_html), spread by hash; b'' if there are too few to build one."""
     import zstandard
 
-    sample = [
-        r[0].encode()
-        for r in pages.select(F.substring("_html", 1, SAMPLE_CHARS), F.sha1("_html").alias("_sha")).where("_html <> ''").orderBy("_sha").limit(SAMPLE_RECORDS).collect()
-    ]
+    rows = pages.select(F.substring("_html", 1, SAMPLE_CHARS).alias("_start"), F.sha1("_html").alias("_sha")).where("_html <> ''")
+    # Hashes first: a task's share of a top list goes to the driver, so it must not hold pages.
+    asked = rows.select("_sha").orderBy("_sha").limit(SAMPLE_RECORDS).collect()
+    if not asked:
+        return b""
+    chosen = rows.where(F.col("_sha") <= asked[-1]["_sha"]).groupBy("_sha").agg(F.first("_start").alias("_start"))
+    start = {r["_sha"]: r["_start"].encode() for r in chosen.collect()}
+    sample = [start[r["_sha"]] for r in asked]
     if len(sample) < 16 or sum(map(len, sample)) < 8 * 1024:
         return b""
     try:
