@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprints, html_text, jaccard, licenses, quality, sharding, toxicity, warc
+from . import bpe, decontaminate, fingerprints, html_text, jaccard, licenses, quality, sharding, toxicity, vector_codes, warc
 from .shared import table
 
 SHARD_BYTES = 1 << 20
@@ -55,9 +55,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_decontaminate, op2_sharding, op3_bpe, op4_jaccard_join, op5_quality, op6_fingerprints, op7_licenses, op8_warc, op9_html_text, op10_toxicity,
+        op13_vector_codes,
     )
     return {f.__name__: f for f in found}
 
@@ -126,5 +131,35 @@ FROM d LEFT JOIN {last} USING (rn)
 LICENSES_SQL = licenses_sql()
 
 
+def vector_codes_sql() -> str:
+    """Each round in two steps: the nearest entry of every part (ties to the lower one), then the entries' means."""
+    steps = []
+    for r in range(vector_codes.ROUNDS + 1):
+        steps.append(f"""d{r} AS (SELECT x.rn, x.part, b.entry, CAST(sum((x.x - b.c) * (x.x - b.c)) AS BIGINT) AS d
+      FROM x JOIN b{r} b USING (part, place) GROUP BY ALL),
+a{r} AS (SELECT rn, part, min(d) AS d, arg_min(entry, (d, entry)) AS entry FROM d{r} GROUP BY ALL)""")
+        if r < vector_codes.ROUNDS:
+            steps.append(f"""b{r + 1} AS (SELECT b.part, b.entry, b.place, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN (
+      SELECT part, entry, place, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS c FROM x JOIN a{r} USING (rn, part) GROUP BY ALL) m
+      USING (part, entry, place))""")
+    last, k = vector_codes.ROUNDS, vector_codes.PARTS
+    return f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS rn, vec_id, label, len(embedding) // {k} AS width,
+      list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {vector_codes.SCALE}) AS BIGINT)) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS (SELECT rn, (i - 1) // width AS part, (i - 1) % width AS place, v[i] AS x FROM (SELECT rn, width, v, unnest(range(1, len(v) + 1)) AS i FROM kept)),
+b0 AS (SELECT part, rn AS entry, place, x AS c FROM x WHERE rn < {vector_codes.ENTRIES}),
+{", ".join(steps)},
+e AS (SELECT rn, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{last} GROUP BY rn),
+s AS (SELECT sha256(string_agg(c, ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM b{last})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN e USING (rn), s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": DECONTAMINATE_SQL, "op2_sharding": SHARDING_SQL, "op7_licenses": LICENSES_SQL}
+    return {
+        "op1_decontaminate": DECONTAMINATE_SQL,
+        "op2_sharding": SHARDING_SQL,
+        "op7_licenses": LICENSES_SQL,
+        "op13_vector_codes": vector_codes_sql(),
+    }
