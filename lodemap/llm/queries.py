@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprints, html_text, jaccard, licenses, quality, sharding, toxicity, vector_codes, warc
+from . import bpe, decontaminate, divergence, fingerprints, html_text, jaccard, licenses, quality, sharding, toxicity, vector_codes, warc
 from .shared import table
 
 SHARD_BYTES = 1 << 20
@@ -55,6 +55,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -62,7 +66,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_decontaminate, op2_sharding, op3_bpe, op4_jaccard_join, op5_quality, op6_fingerprints, op7_licenses, op8_warc, op9_html_text, op10_toxicity,
-        op13_vector_codes,
+        op12_divergence, op13_vector_codes,
     )
     return {f.__name__: f for f in found}
 
@@ -131,6 +135,30 @@ FROM d LEFT JOIN {last} USING (rn)
 LICENSES_SQL = licenses_sql()
 
 
+DIVERGENCE_SQL = r"""
+WITH t AS (SELECT rn, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (
+  SELECT row_number() OVER () AS rn, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT rn) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY ALL),
+o AS (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+g AS (SELECT o.lang, o.source, coalesce(sum(n), 0) AS total FROM o LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 1) // (total + v) AS p
+      FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (sum(n) + 1) // (sum(sum(n)) OVER (PARTITION BY lang) + any_value(v)) AS q
+      FROM c JOIN v USING (lang) GROUP BY lang, term),
+d AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+      FROM o a JOIN o b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r
+QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
 def vector_codes_sql() -> str:
     """Each round in two steps: the nearest entry of every part (ties to the lower one), then the entries' means."""
     steps = []
@@ -161,5 +189,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontaminate": DECONTAMINATE_SQL,
         "op2_sharding": SHARDING_SQL,
         "op7_licenses": LICENSES_SQL,
+        "op12_divergence": DIVERGENCE_SQL,
         "op13_vector_codes": vector_codes_sql(),
     }
