@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, divergence, fingerprints, html_text, jaccard, licenses, quality, sharding, toxicity, vector_codes, warc
+from . import bpe, decontaminate, divergence, fingerprints, html_text, jaccard, licenses, quality, quality_rules, sharding, toxicity, vector_codes, warc
 from .shared import table
 
 SHARD_BYTES = 1 << 20
@@ -55,6 +55,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_decontaminate, op2_sharding, op3_bpe, op4_jaccard_join, op5_quality, op6_fingerprints, op7_licenses, op8_warc, op9_html_text, op10_toxicity,
-        op12_divergence, op13_vector_codes,
+        op11_quality_rules, op12_divergence, op13_vector_codes,
     )
     return {f.__name__: f for f in found}
 
