@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,9 +18,10 @@ COMMON = (
     "name", "no", "not", "of", "on", "or", "page", "payment", "section", "shall", "tax", "term", "that", "the", "this", "to", "total", "value", "with",
 )
 CHUNK, TINY = 1800, 120
+# First lines of blocks that start a heading, a section or a clause.
 HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
-SECTION = re.compile(r"^((?:Section|Sec\.|Chapter|Part)\s+[\w.]+)\b", re.I)
-CLAUSE = re.compile(r"^((?:[A-Z]\.)?\d+(?:\.\d+)+|[A-Z](?:\.\d+)+)\b")
+SECTION = re.compile(r"^(?:(section|sec\.?|chapter|part)\s+)([A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*)\b[:.)\-\s]*(.*)$", re.I)
+CLAUSE = re.compile(r"^((?:\d+|[A-Z])(?:\.\d+){1,6})\b[.)\-\s]*(.*)$")
 
 
 def ratios(text: Column) -> dict[str, Column]:
@@ -86,69 +89,135 @@ def readable(text: Column) -> Column:
     return (F.length(squeezed(F.coalesce(text, F.lit("")))) >= 80) & (r["dictionary"] >= 0.18) & (r["non_ascii"] <= 0.35) & (r["alphanumeric"] >= 0.25)
 
 
-def chunk_text(text: str | None, size: int = CHUNK, tiny: int = TINY) -> list[tuple]:
-    """(heading path, section, clause, text) of one document's chunks, in order."""
-    stack: list[tuple[int, str]] = []
-    section = clause = None
-    out: list[list] = []
-    held: list[str] = []
-
-    def flush() -> None:
-        if held:
-            out.append([[h for _, h in stack], section, clause, "\n\n".join(held)])
-            held.clear()
-
-    for block in re.split(r"\n\s*\n", text or ""):
-        block = block.strip()
-        if not block:
-            continue
-        if m := HEADING.match(block.split("\n", 1)[0]):
-            flush()
-            stack[:] = [h for h in stack if h[0] < len(m[1])] + [(len(m[1]), m[2])]
-            section, clause = (s[1] if (s := SECTION.match(m[2])) else section), None
-            block = block.partition("\n")[2].strip()
-            if not block:
+@dataclass(frozen=True)
+class Chunk:
+    """A part of a page: where it lies, under which headings, and its text with that context."""
+
+    page: int
+    start: int
+    end: int
+    path: tuple[str, ...]
+    section: str | None
+    clause: str | None
+    unsure: bool
+    text: str
+
+
+def blocks(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the blocks between empty lines, without white space at their ends."""
+    edges = [0, *(e for m in re.finditer(r"\n\s*\n", text) for e in m.span()), len(text)]
+    out = []
+    for low, high in zip(edges[::2], edges[1::2]):
+        body = text[low:high]
+        if body.strip():
+            out.append((low + len(body) - len(body.lstrip()), high - len(body) + len(body.rstrip())))
+    return out
+
+
+def cuts(text: str, low: int, high: int, size: int) -> Iterator[tuple[int, int]]:
+    """A block too long for one chunk in parts of at most ``size``, cut at blanks where there are some."""
+    while high - low > size:
+        space = text.rfind(" ", low + 1, low + size)
+        at = space if space > 0 else low + size
+        yield low, at
+        low = at + len(text[at:high]) - len(text[at:high].lstrip())
+    if low < high:
+        yield low, high
+
+
+def chunk_pages(pages: Iterable[tuple[int, str | None, bool]], name: str = "", size: int = CHUNK, tiny: int = TINY) -> list[Chunk]:
+    """Chunks of one document's (number, markdown, unsure) pages: along headings, sections and clauses, filled up to ``size``.
+
+    Headings hold on over pages, chunks end with their page. One whose whole text is
+    shorter than ``tiny`` is joined with the next one of the same page and sureness.
+    """
+    made: list[Chunk] = []
+    titles: list[str] = []
+    number = title = None
+    for page, text, unsure in sorted(pages, key=lambda p: p[0]):
+        text = text or ""
+        held: list[tuple[int, int]] = []
+        marks: tuple = ((), None, None)
+
+        def close() -> None:
+            if held:
+                context = " > ".join(x for x in (name, *marks[0]) if x)
+                body = "\n\n".join(text[a:b] for a, b in held)
+                made.append(Chunk(page, held[0][0], held[-1][1], *marks, unsure, f"Context: {context}\n\n{body}" if context else body))
+                held.clear()
+
+        for low, high in blocks(text):
+            first = text[low:high].split("\n", 1)[0].strip()
+            heading, section, clause = HEADING.match(first), SECTION.match(first), CLAUSE.match(first)
+            if heading:
+                titles = [*titles[: len(heading[1]) - 1], " ".join(heading[2].strip(" #").split())]
+                number = title = None
+            if heading or section or clause:
+                close()
+            if section:
+                rest = section[3].strip(" :-.)")
+                number, title = section[2], f"{section[1].rstrip('.').title()} {section[2]}" + (f": {rest}" if rest else "")
+            here = (tuple(x for x in (*titles, title) if x), number, clause[1] if clause and not section else None)
+            if high - low > size:
+                close()
+                for part in cuts(text, low, high, size):
+                    marks = here
+                    held.append(part)
+                    close()
                 continue
-        if m := SECTION.match(block):
-            flush()
-            section, clause = m[1], None
-        elif m := CLAUSE.match(block):
-            flush()
-            clause = m[1]
-        while len(block) > size:
-            flush()
-            at = block.rfind(" ", 0, size)
-            at = at if at > 0 else size
-            held.append(block[:at].rstrip())
-            block = block[at:].lstrip()
-        if held and sum(map(len, held)) + len(block) + 2 * len(held) > size:
-            flush()
-        if block:
-            held.append(block)
-    flush()
-    merged: list[list] = []
-    for c in out:
-        if merged and len(merged[-1][3]) < tiny and len(merged[-1][3]) + len(c[3]) + 2 <= size:
-            last = merged.pop()
-            merged.append([c[0], c[1] or last[1], c[2] or last[2], last[3] + "\n\n" + c[3]])
+            if held and sum(b - a for a, b in held) + high - low > size:
+                close()
+            if not held:
+                marks = here
+            held.append((low, high))
+        close()
+    joined: list[Chunk] = []
+    for c in made:
+        last = joined[-1] if joined else None
+        if last and len(last.text) < tiny and (last.page, last.unsure) == (c.page, c.unsure):
+            joined[-1] = Chunk(c.page, last.start, c.end, c.path or last.path, c.section or last.section, c.clause or last.clause, c.unsure, f"{last.text}\n\n{c.text}")
         else:
-            merged.append(c)
-    return [tuple(c) for c in merged]
+            joined.append(c)
+    return joined
+
+
+def page_chunks(pages: DataFrame, id_col: str = "doc_id", page_col: str = "page", text_col: str = "text", unsure_col: str | None = None, name_col: str | None = None) -> DataFrame:
+    """(id_col, chunk int, heading_path array, section, clause, page, start_char, end_char int, low_confidence boolean, name, text) of documents in pages.
+
+    The pages of a document meet as one row, its documents stay where they lie.
+    """
+    unsure = F.coalesce(F.col(unsure_col), F.lit(False)) if unsure_col else F.lit(False)
+    name = F.coalesce(F.col(name_col).cast("string"), F.lit("")) if name_col else F.lit("")
+    part = F.struct(F.col(page_col).cast("int").alias("number"), F.col(text_col).alias("text"), unsure.alias("unsure"))
+    docs = pages.groupBy(F.col(id_col).alias("i")).agg(F.collect_list(part).alias("p"), F.max(name).alias("n"))
+    return _chunked(docs, id_col, dict(pages.dtypes)[id_col])
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_col: str | None = None) -> DataFrame:
-    """(id_col, chunk int, heading_path array, section, clause, text): chunks of every document, where the documents lie."""
-    kind = dict(docs.dtypes)[id_col]
-    name = F.col(name_col).cast("string") if name_col else F.lit("")
+    """The same for documents of one page each, where they lie."""
+    name = F.coalesce(F.col(name_col).cast("string"), F.lit("")) if name_col else F.lit("")
+    part = F.struct(F.lit(1).alias("number"), F.col(text_col).alias("text"), F.lit(False).alias("unsure"))
+    return _chunked(docs.select(F.col(id_col).alias("i"), F.array(part).alias("p"), name.alias("n")), id_col, dict(docs.dtypes)[id_col])
+
+
+def _chunked(docs: DataFrame, id_col: str, kind: str) -> DataFrame:
+    names = [id_col, "chunk", "heading_path", "section", "clause", "page", "start_char", "end_char", "low_confidence", "name", "text"]
 
     def run(batches):
         for batch in batches:
             rows = []
-            for ident, text, called in zip(batch["i"], batch["t"], batch["n"]):
-                for k, (path, section, clause, part) in enumerate(chunk_text(text)):
-                    context = " > ".join(x for x in (called, *path) if x)
-                    rows.append((ident, k, path, section, clause, f"Context: {context}\n\n{part}" if context else part))
-            yield pd.DataFrame(rows, columns=[id_col, "chunk", "heading_path", "section", "clause", "text"])
-
-    schema = f"`{id_col}` {kind}, chunk int, heading_path array<string>, section string, clause string, text string"
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), name.alias("n")).mapInPandas(run, schema)
+            for ident, pages, called in zip(batch["i"], batch["p"], batch["n"]):
+                for k, c in enumerate(chunk_pages([(p["number"], p["text"], p["unsure"]) for p in pages], called)):
+                    rows.append((ident, k, list(c.path), c.section, c.clause, c.page, c.start, c.end, c.unsure, called, c.text))
+            yield pd.DataFrame(rows, columns=names)
+
+    schema = f"`{id_col}` {kind}, chunk int, heading_path array<string>, section string, clause string, page int, start_char int, end_char int, low_confidence boolean, name string, text string"
+    return docs.select("i", "p", "n").mapInPandas(run, schema)
+
+
+def word_chunks(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(id_col, keep, chunk int, text): each run of ``size`` blank-separated words of plain text that has no headings."""
+    words = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[ \t\n\r]+"), lambda w: w != "")
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("_w") - 1) / size).cast("int"))), lambda k: F.array_join(F.slice("_w", k * size + 1, size), " "))
+    rows = docs.select(id_col, *keep, words.alias("_w")).where(F.size("_w") > 0)
+    return rows.select(id_col, *keep, F.posexplode(parts).alias("chunk", "text"))

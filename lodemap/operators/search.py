@@ -33,8 +33,9 @@ def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: st
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """The cosine of two vectors; null if one of them has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 def nearest(vectors: DataFrame, query: list[float], id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import analysis, charts, profiles, usage  # noqa: F401  each registers its queries
+from .plans import analysis, charts, profiles, retrieval, usage  # noqa: F401  each registers its queries
 from .plans.registry import QUERIES, SQL
 
 

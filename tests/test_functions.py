@@ -157,8 +157,9 @@ def test_chunks(spark):
     rows = documents.chunks(spark.createDataFrame([(1, page), (2, None), (3, "")], "doc_id long, text string")).orderBy("chunk").collect()
     assert {r["doc_id"] for r in rows} == {1}
     first = next(r for r in rows if r["clause"] == "4.1")
-    assert first["section"] == "Section 4" and first["heading_path"] == ["Contract", "Fees"]
-    assert all(len(r["text"].partition("\n\n")[2]) <= documents.CHUNK for r in rows)
+    assert first["section"] == "4" and first["heading_path"] == ["Contract", "Fees", "Section 4: Fees"]
+    assert page[first["start_char"] : first["end_char"]].startswith("4.1 The fee") and first["page"] == 1
+    assert all(r["end_char"] - r["start_char"] <= documents.CHUNK for r in rows)
     assert "".join(r["text"] for r in rows).count("word") == 600
 
 
