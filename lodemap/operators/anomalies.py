@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import quantiles
+
 # Thresholds of the detectors and how many rows of each a report shows.
 MAD_Z, MAD_SCALE, LEAST_VALUES, RARE, ORPHAN_SCORE, SHOWN = 3.5, 1.4826, 5, 0.01, 80.0, 100
 
@@ -16,9 +18,9 @@ def _rows(df: DataFrame, tab: str, col: str, detector: str) -> DataFrame:
 def outliers(df: DataFrame, col: str, row_id: str, tab: str = "", z: float = MAD_Z) -> DataFrame:
     """Values further than z robust deviations from the median; needs 5 values and a deviation that isn't 0."""
     x = df.select(F.col(row_id).alias("row_id"), F.col(col).cast("double").alias("value")).where("value is not null")
-    mid = x.agg(F.median("value").alias("mid"), F.count("*").alias("n"))
+    mid = quantiles(x, "value", [0.5]).select(F.col("q")[0].alias("mid"), F.col("total").alias("n"))
     off = x.crossJoin(F.broadcast(mid)).withColumn("off", F.abs(F.col("value") - F.col("mid")))  # a one-row side
-    mad = off.agg(F.median("off").alias("mad"))
+    mad = quantiles(off, "off", [0.5]).select(F.col("q")[0].alias("mad"))
     score = F.col("off") / (MAD_SCALE * F.col("mad"))
     found = off.crossJoin(F.broadcast(mad)).where((F.col("n") >= LEAST_VALUES) & (F.col("mad") > 0)).withColumn("z", score).where(F.col("z") > z)
     return _rows(found.withColumn("score", F.round(F.least(F.lit(100.0), F.col("z") / z * 50), 4)), tab, col, "mad")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.text import signature
+from .ordering import quantiles, ranked
 from .values import column_stats, value_counts
 
 TOP, SAMPLES, OUTLIERS = 5, 5, 2
@@ -25,13 +26,13 @@ def nulls_and_distinct(counts: DataFrame) -> DataFrame:
 
 
 def numeric_stats(df: DataFrame, columns: list[str], name: str = "") -> DataFrame:
-    """(tab, col, minimum, maximum, mean, std, p05, p25, p50, p75, p95): exact, population deviation, in one pass over all columns."""
+    """(tab, col, minimum, maximum, mean, std, p05, p25, p50, p75, p95): exact, population deviation, all columns together."""
     shares = (0.05, 0.25, 0.5, 0.75, 0.95)
     cells = [F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").cast("double").alias("x")) for c in columns]
     rows = df.select(F.explode(F.array(*cells)).alias("c")).select("c.col", "c.x").where("x is not null and not isnan(x)")
     out = rows.groupBy("col").agg(
-        F.min("x").alias("minimum"), F.max("x").alias("maximum"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.percentile("x", list(shares)).alias("q")
-    )
+        F.min("x").alias("minimum"), F.max("x").alias("maximum"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")
+    ).join(quantiles(rows, "x", shares, ["col"]), "col")
     numbers = ["minimum", "maximum", "mean", "std"]
     return out.select(
         F.lit(name).alias("tab"), "col", *[six_digits(F.col(c)).alias(c) for c in numbers], *[six_digits(F.col("q")[i]).alias(f"p{round(100 * s):02d}") for i, s in enumerate(shares)]
@@ -48,8 +49,8 @@ def top_values(counts: DataFrame, k: int = TOP) -> DataFrame:
     """(tab, col, value, n, rate, rank): most frequent values, ties by value; the rate is over all rows, nulls too."""
     order = Window.partitionBy("tab", "col").orderBy(F.desc("n"), "value")
     sums = counts.groupBy("tab", "col").agg(F.sum("n").alias("total"))
-    ranked = counts.where("value is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.join(F.broadcast(sums), ["tab", "col"]).select("tab", "col", "value", "n", F.round(F.col("n") / F.col("total"), 4).alias("rate"), "rank")
+    best = counts.where("value is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.join(F.broadcast(sums), ["tab", "col"]).select("tab", "col", "value", "n", F.round(F.col("n") / F.col("total"), 4).alias("rate"), "rank")
 
 
 def signatures(counts: DataFrame) -> DataFrame:
@@ -70,20 +71,12 @@ def signature_outliers(counts: DataFrame, k: int = OUTLIERS) -> DataFrame:
 
 
 def samples(counts: DataFrame, k: int = SAMPLES) -> DataFrame:
-    """(tab, col, value, place): k values spread evenly over the distinct ones in order of (length, value).
-
-    The ranks come from a window, but over counts by length first: a column of
-    many distinct values is ranked in as many partitions as it has lengths.
-    """
+    """(tab, col, value, place): k values spread evenly over the distinct ones in order of (length, value)."""
     values = counts.where("value is not null").select("tab", "col", "value", F.length("value").alias("size"))
-    sizes = values.groupBy("tab", "col", "size").agg(F.count("*").alias("m"))
-    before = Window.partitionBy("tab", "col").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).withColumn("total", F.sum("m").over(Window.partitionBy("tab", "col")))
-    inside = Window.partitionBy("tab", "col", "size").orderBy("value")
-    ranked = values.join(F.broadcast(sizes), ["tab", "col", "size"]).withColumn("rn", F.col("before") + F.row_number().over(inside) - 1)
+    ranks = ranked(values, ["size", "value"], ["tab", "col"], "rn").withColumnRenamed("_total", "total")
     picks = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (F.col("total") - 1) / (k - 1)))
     wanted = F.when(F.col("total") <= k, F.col("rn")).otherwise(F.array_position(picks, F.col("rn")) - 1)
-    return ranked.withColumn("place", wanted).where("place >= 0").select("tab", "col", "value", F.col("place").cast("int").alias("place"))
+    return ranks.withColumn("place", wanted).where("place >= 0").select("tab", "col", "value", F.col("place").cast("int").alias("place"))
 
 
 def hints(counts: DataFrame) -> DataFrame:

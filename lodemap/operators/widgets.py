@@ -11,12 +11,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import quantiles, ranked
+
 BINS, FEWEST, MOST = 12, 2, 40
 
 
 def places(df: DataFrame, column: str, name: str) -> DataFrame:
     """(column, name int): the place of each distinct value in order."""
-    return df.select(column).distinct().withColumn(name, (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))
+    return ranked(df.select(column).distinct(), [column], name=name).select(column, F.col(name).cast("int").alias(name))
 
 
 def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
@@ -32,8 +34,10 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
 
 
 def five_numbers(df: DataFrame, group: str, column: str) -> DataFrame:
-    q = F.percentile(column, [0.25, 0.5, 0.75])
-    out = df.where(F.col(column).isNotNull()).groupBy(F.col(group).alias("grp")).agg(F.min(column).alias("low"), q.alias("q"), F.max(column).alias("high"))
+    """(grp, low, q1, q2, q3, high) of each group with a value."""
+    rows = df.where(F.col(column).isNotNull()).select(F.col(group).alias("grp"), F.col(column).alias("x"))
+    ends, q = rows.groupBy("grp").agg(F.min("x").alias("low"), F.max("x").alias("high")), quantiles(rows, "x", [0.25, 0.5, 0.75], ["grp"])
+    out = ends.join(q.withColumnRenamed("grp", "_grp"), F.col("grp").eqNullSafe(F.col("_grp")))
     return out.select("grp", "low", *[F.round(F.col("q")[i], 4).alias(f"q{i + 1}") for i in range(3)], "high")
 
 
@@ -65,7 +69,7 @@ def crosstab(df: DataFrame, rows: str, by: str, names: dict) -> DataFrame:
 
 def quantile_bins(df: DataFrame, column: str, k: int, name: str) -> DataFrame:
     """Adds the quantile bin of each row, by exact edges, each bin closed above."""
-    edges = df.agg(F.percentile(column, [i / k for i in range(1, k)]).alias("_edges"))
+    edges = quantiles(df, column, [i / k for i in range(1, k)]).select(F.col("q").alias("_edges"))
     held = df.crossJoin(F.broadcast(edges))  # a one-row side
     return held.withColumn(name, F.size(F.filter("_edges", lambda e: e < F.col(column))).cast("int")).drop("_edges")
 
@@ -100,7 +104,7 @@ def chart_text(cell: Column) -> Column:
 def first_seen(df: DataFrame, column: str, name: str, order: str) -> DataFrame:
     """(column, name int): the place of each distinct label by its first row; the labels are those that a chart shows."""
     labels = df.groupBy(column).agg(F.min(order).alias("_seen"))
-    return labels.select(column, (F.row_number().over(Window.orderBy("_seen")) - 1).cast("int").alias(name))
+    return ranked(labels, ["_seen"], name=name).select(column, F.col(name).cast("int").alias(name))
 
 
 def items(df: DataFrame, category: str, value: str, order: str) -> DataFrame:
@@ -120,8 +124,8 @@ def first_match_series(df: DataFrame, category: str, by: str, value: str, names:
     """
     first = lambda k: F.min_by(chart_number(F.col(value)), F.when(F.col(by) == k, F.col(order)))
     out = df.groupBy(F.col(category).alias("category")).agg(F.min(order).alias("_seen"), *[F.coalesce(first(k), F.lit(0.0)).alias(n) for k, n in names.items()])
-    place = (F.row_number().over(Window.orderBy("_seen")) - 1).cast("int")
-    return out.select(chart_text(F.col("category")).alias("category"), place.alias("place"), *names.values())
+    placed = ranked(out, ["_seen"], name="place")
+    return placed.select(chart_text(F.col("category")).alias("category"), F.col("place").cast("int").alias("place"), *names.values())
 
 
 def wide_series(df: DataFrame, category: str, columns: list[str], order: str) -> DataFrame:

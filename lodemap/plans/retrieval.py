@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import documents, embeddings, fulltext, retrieve
-from ..streaming.rollup import shared_folder
+from ..sources.shared import new_folder
 from .registry import query, table
 
 SIZE, TOP = 200, 8
@@ -19,7 +17,7 @@ def _chunks(spark, sf_dir):
 
 
 def _path(spark):
-    return f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    return new_folder(spark, "index")
 
 
 _C = f"""c AS (SELECT doc_id, source, CAST(k AS INTEGER) AS chunk, array_to_string(w[k * {SIZE} + 1:(k + 1) * {SIZE}], ' ') AS text FROM (

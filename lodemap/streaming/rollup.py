@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_folder
+
 LATE = "1 day"
 
 
@@ -23,15 +22,6 @@ def distinct_stream(events: DataFrame, key: str, late: str = LATE) -> DataFrame:
     return events.withColumn("_at", F.col("ts").cast("timestamp")).withWatermark("_at", late).dropDuplicatesWithinWatermark([key]).drop("_at")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="lodemap-")
-
-
 def daily_rollup_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rollup of the events table as a stream over its files.
 
@@ -40,7 +30,7 @@ def daily_rollup_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     source = f"{sf_dir}/events.parquet"
     kind = spark.read.parquet(source).schema
-    out = f"{shared_folder(spark)}/daily-{uuid.uuid4().hex}"
+    out = new_folder(spark, "daily")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/state/batch={number}")
@@ -54,6 +44,6 @@ def daily_rollup_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+    """Whether a table is a folder of files: none of the files that are read of it is the path itself."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    return not any(f.rstrip("/").rsplit("/", 1)[-1] == name for f in spark.read.parquet(path).inputFiles())
