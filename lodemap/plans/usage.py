@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import documents, search, usage
 from ..operators.review import apply_header, preview
 from ..sources import workbooks
+from ..streaming.jobs import events_as_jobs
 from ..streaming.rollup import daily_rollup_once
-from .registry import query, table
+from ..streaming.signin import spaced_once
+from .registry import SQL, query, table
 
 _DAILY = "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"
 
@@ -56,6 +58,19 @@ def signin_dedup(spark, sf_dir):
     return usage.spaced(table(spark, sf_dir, "events"))
 
 
+@query(SQL["signin_dedup"])
+def stream_signin_dedup(spark, sf_dir):
+    """The same as a stream over the table's files, once through."""
+    return spaced_once(spark, sf_dir)
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS job_id, event_type AS kind, CASE event_type WHEN 'error' THEN 'failed' ELSE 'succeeded' END AS status,
+CAST(CASE event_type WHEN 'error' THEN 3 WHEN 'signup' THEN 2 ELSE 1 END AS INTEGER) AS attempts, CASE event_type WHEN 'error' THEN 'no error' END AS message FROM events""")
+def stream_jobs(spark, sf_dir):
+    """Events as jobs, claimed by the batches of a stream, worked on and tried again."""
+    return events_as_jobs(spark, sf_dir)
+
+
 @query("""SELECT r_name, n_name, count(DISTINCT c_custkey) AS customers, count(o_orderkey) AS orders, coalesce(round(sum(o_totalprice), 2), 0) AS total
 FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ROLLUP (r_name, n_name)""")
 def ops_dashboard(spark, sf_dir):

@@ -35,7 +35,7 @@ def daily_rollup_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/state/batch={number}")
 
-    stream = spark.readStream.schema(kind).parquet(source if _is_folder(spark, source) else f"{sf_dir}/events*.parquet")
+    stream = spark.readStream.schema(kind).parquet(source_of(spark, source))
     query = daily_stream(stream).writeStream.outputMode("update").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     states = spark.read.parquet(f"{out}/state/*")
@@ -43,7 +43,8 @@ def daily_rollup_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select(F.to_date("start").alias("day"), "event_type", F.col("s.n").alias("n"), F.round("s.total", 2).alias("total"))
 
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    """Whether a table is a folder of files: none of the files that are read of it is the path itself."""
+def source_of(spark: SparkSession, path: str) -> str:
+    """What a file stream reads for a table: its folder, or a pattern that only the table's one file matches."""
     name = path.rstrip("/").rsplit("/", 1)[-1]
-    return not any(f.rstrip("/").rsplit("/", 1)[-1] == name for f in spark.read.parquet(path).inputFiles())
+    alone = any(f.rstrip("/").rsplit("/", 1)[-1] == name for f in spark.read.parquet(path).inputFiles())
+    return path.replace(name, f"[{name[0]}]{name[1:]}") if alone else path
