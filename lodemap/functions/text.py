@@ -108,7 +108,8 @@ def plain_name(name: str) -> str:
 
 
 def similar_names(a: str, b: str) -> float:
-    """Likeness of two column names: 0 without letters and digits, 1 if equal, at least .85 if one is a key term that the other ends with."""
+    """Likeness of two column names: 0 without letters and digits, 1 if equal, at least .85 if one is a key term
+    that the other ends with, at least .75 if one of them is ``id``."""
     x, y = plain_name(a), plain_name(b)
     if not x or not y:
         return 0.0
@@ -117,6 +118,8 @@ def similar_names(a: str, b: str) -> float:
     score = difflib.SequenceMatcher(None, x, y).ratio()
     if any(t in (x, y) and x.endswith(t) and y.endswith(t) for t in KEY_TERMS):
         score = max(score, 0.85)
+    if "id" in (x, y):
+        score = max(score, 0.75)
     return score
 
 

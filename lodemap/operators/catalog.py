@@ -133,14 +133,14 @@ def approved(raw: dict[str, DataFrame], specs: dict[str, Spec], links: list[dict
 def with_minor(notes: dict, operation: dict) -> dict:
     """New notes of a table after a correction that changes no data.  A note or question replaces those there were, terms add up."""
     op = operation["op"]
-    if op in ("set_name", "set_description"):
-        return {**notes, op.removeprefix("set_"): operation["text"]}
+    if op in ("set_friendly_name", "set_file_description"):
+        return {**notes, "name" if op == "set_friendly_name" else "description": operation["text"]}
     if op == "set_column_description":
         return {**notes, "columns": {**notes.get("columns", {}), operation["column"]: operation["text"]}}
-    if op == "add_glossary":
+    if op == "set_glossary_term":
         return {**notes, "glossary": {**notes.get("glossary", {}), operation["term"]: operation["text"]}}
-    if op in ("add_note", "add_question"):
-        return {**notes, op.removeprefix("add_") + "s": [operation["text"]]}
+    if op in ("set_usage_note", "set_starter_question"):
+        return {**notes, "notes" if op == "set_usage_note" else "questions": [operation["text"]]}
     raise ValueError(f"not a minor correction: {op!r}")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.text import signature
+from ..sources.shared import written
 from .ordering import quantiles, ranked
 from .values import column_stats, value_counts
 
@@ -113,7 +114,7 @@ def temporal_ranges(df: DataFrame, columns: list[str], name: str = "") -> DataFr
 
 def profile(tables: dict[str, DataFrame]) -> DataFrame:
     """One row a column: (tab, col, total, nonnull, distinct_values, null_rate, signature, coverage, top, hints)."""
-    counts = value_counts(tables).cache()
+    counts = written(value_counts(tables), "value-counts")
     top = top_values(counts).groupBy("tab", "col").agg(F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("top"))
     keys = ["tab", "col"]
     return nulls_and_distinct(counts).join(signatures(counts).drop("n"), keys, "left").join(top, keys, "left").join(hints(counts), keys)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import comparable, name_similarity, normal_value, squeezed
+from ..sources.shared import written
 from .profile import signatures
 from .values import long_form, value_counts
 
@@ -107,8 +108,8 @@ def candidates(tables: dict[str, DataFrame], limit: int | None = MOST) -> DataFr
 
     (candidate_id, tab_a, col_a, tab_b, col_b, direction, shared, containment, weighted, parent_unique, rarity, name, score)
     """
-    counts = value_counts(tables).cache()
-    values = key_values(counts).cache()
+    counts = written(value_counts(tables), "value-counts")
+    values = written(key_values(counts), "key-values")
     kinds = kinds_of(tables)
     facts = (
         stats(values).join(kinds, ["tab", "col"]).join(signatures(counts).select("tab", "col", "signature", "coverage"), ["tab", "col"], "left")

@@ -11,7 +11,7 @@ from ..functions.cells import cast_cell, dtype_of, scaled, votes
 
 #: Corrections that change data, against those that only change names and notes.
 STRUCTURAL = frozenset("set_dtype rename_column scale_column set_header_row add_column remove_column add_link edit_link remove_link".split())
-MINOR = frozenset("set_name set_description set_column_description add_note add_glossary add_question".split())
+MINOR = frozenset("set_friendly_name set_file_description set_column_description set_usage_note set_glossary_term set_starter_question".split())
 
 
 def unique_names(names: list[str | None]) -> list[str]:

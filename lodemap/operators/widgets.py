@@ -228,10 +228,11 @@ def chart_kind(kind: str, columns: list[str], title: str = "", caption: str = ""
     """
     options = options or {}
     asked = [str(options[k]).strip().lower() for k in ASKED_BY if options.get(k) is not None]
-    text = " ".join([title or "", caption or "", *asked]).lower()
+    title = f"{title or ''} {caption or ''}".lower()
+    text = " ".join([title, *asked])
     names = [c.strip().lower() for c in columns]
-    if kind in ("bar", "line", "table"):
-        kind = next((found for phrase, found in PHRASES.items() if phrase in text), kind)
+    told = text if kind in ("bar", "line", "table") else title
+    kind = next((found for phrase, found in PHRASES.items() if phrase in told), kind)
     if kind == "table":
         if {"source", "target"} <= set(names):
             return "sankey"
@@ -243,6 +244,6 @@ def chart_kind(kind: str, columns: list[str], title: str = "", caption: str = ""
     wanted = lambda *words: any(w in asked for w in words)
     if wanted("horizontal", "horizontal_bar"):
         return "horizontal_bar"
-    if wanted("stacked", "stacked_bar") or options.get("stacked") is True or any(p in n for p in PARTS_OF_WHOLE for n in names):
+    if wanted("stacked", "stacked_bar") or options.get("stacked") is True or any(p in n for p in PARTS_OF_WHOLE for n in names) or any(p in title for p in PARTS_OF_WHOLE[2:]):
         return "stacked_bar"
     return "grouped_bar" if wanted("grouped", "grouped_bar") or several else "bar"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import widgets
+from ..operators import relate, widgets
 from .registry import query, table
 
 
@@ -50,11 +50,13 @@ def join_theta(spark, sf_dir):
 @query("""SELECT r_name, c_mktsegment, count(*) AS n_orders, round(sum(o_totalprice), 2) AS revenue FROM orders JOIN customer ON o_custkey = c_custkey
 JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""")
 def join_by_links(spark, sf_dir):
-    """Orders up to regions along many-to-one links; nations and regions are of fixed size."""
-    n = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-    c = _customers(spark, sf_dir).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_mktsegment", "r_name")
-    o = _orders(spark, sf_dir).select("o_custkey", "o_totalprice").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("v"))
-    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("r_name", "c_mktsegment").agg(F.sum("n").alias("n_orders"), F.round(F.sum("v"), 2).alias("revenue"))
+    """Orders up to regions along many-to-one links: each link joins a child to its parent; orders are summed by customer first."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("v"))
+    held = {"orders": o, "customer": table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), "nation": table(spark, sf_dir, "nation"), "region": table(spark, sf_dir, "region")}
+    path = [("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey")]
+    for a, col_a, b, col_b in path:
+        held[b] = relate.join_by_link({a: held[a], b: held[b]}, {"tab_a": a, "col_a": col_a, "tab_b": b, "col_b": col_b}, "inner")
+    return held["region"].groupBy("r_name", "c_mktsegment").agg(F.sum("n").alias("n_orders"), F.round(F.sum("v"), 2).alias("revenue"))
 
 
 def _sets(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import documents, search, usage
+from ..operators import documents, rules, search, usage
 from ..operators.review import apply_header, preview
 from ..sources import workbooks
 from ..streaming.jobs import events_as_jobs
@@ -71,6 +71,19 @@ def stream_jobs(spark, sf_dir):
     return events_as_jobs(spark, sf_dir)
 
 
+@query("""WITH r AS (SELECT o_orderkey, 'prices' AS module, 'o_totalprice is outside 1000 to 400000' AS message FROM orders WHERE o_totalprice NOT BETWEEN 1000 AND 400000
+UNION ALL SELECT o_orderkey, 'states', 'finished orders need a clerk' FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')
+SELECT o_orderkey AS order_id, module, message FROM r""")
+def rule_checks(spark, sf_dir):
+    """What the checks of two modules say of the orders, a row for each message."""
+    modules = rules.Modules()
+    modules.register(rules.Module("prices", checks=(rules.within("o_totalprice", 1_000, 400_000), rules.needed("o_orderkey"))))
+    urgent = lambda r: ["finished orders need a clerk"] if (r["o_orderstatus"], r["o_orderpriority"]) == ("F", "1-URGENT") else []
+    modules.register(rules.Module("states", checks=(urgent,)))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    return modules.checked(orders).select(F.col("o_orderkey").alias("order_id"), "module", "message")
+
+
 @query("""SELECT r_name, n_name, count(DISTINCT c_custkey) AS customers, count(o_orderkey) AS orders, coalesce(round(sum(o_totalprice), 2), 0) AS total
 FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ROLLUP (r_name, n_name)""")
 def ops_dashboard(spark, sf_dir):

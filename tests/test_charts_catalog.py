@@ -22,7 +22,10 @@ def rows(df):
         ("bar", ["a", "b", "c"], {"several": True}, "grouped_bar"),
         ("bar", ["a", "b"], {"options": {"stacked": True}}, "stacked_bar"),
         ("line", ["a", "b"], {"title": "Area by day"}, "area"),
-        ("pie", ["a", "share"], {"title": "histogram"}, "pie"),
+        ("pie", ["a", "share"], {"title": "histogram"}, "histogram"),
+        ("pie", ["a", "share"], {"options": {"type": "histogram"}}, "pie"),
+        ("bar", ["a", "b"], {"title": "Share of sales"}, "stacked_bar"),
+        ("bar", ["a", "b"], {"caption": "by proportion"}, "stacked_bar"),
     ],
 )
 def test_chart_kind(kind, columns, more, wanted):
@@ -116,8 +119,8 @@ def test_approval_and_minor_corrections(spark):
     made, links = catalog.approved({"t": raw, "other": raw}, {"t": spec, "absent": spec}, [{"tab_a": "t", "score": 0.2}])
     assert list(made) == ["t"] and rows(made["t"].drop("_row_id")) == [(1, 25.0)]
     assert links == [{"tab_a": "t", "score": 1.0, "origin": "user_added"}]
-    notes = catalog.with_minor({"notes": ["old"], "glossary": {"a": "1"}}, {"op": "add_note", "text": "new"})
-    assert notes["notes"] == ["new"] and catalog.with_minor(notes, {"op": "add_glossary", "term": "b", "text": "2"})["glossary"] == {"a": "1", "b": "2"}
+    notes = catalog.with_minor({"notes": ["old"], "glossary": {"a": "1"}}, {"op": "set_usage_note", "text": "new"})
+    assert notes["notes"] == ["new"] and catalog.with_minor(notes, {"op": "set_glossary_term", "term": "b", "text": "2"})["glossary"] == {"a": "1", "b": "2"}
     with pytest.raises(ValueError):
         catalog.with_minor({}, {"op": "set_dtype"})
 

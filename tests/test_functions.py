@@ -70,7 +70,7 @@ def test_null_words_and_scale_words(spark):
 
 def test_name_likeness():
     wanted = {("customer_id", "id"): 0.85, ("id", "Customer ID"): 0.85, ("order_no", "no"): 0.85, ("a_code", "code"): 8 / 9, ("key", "part_key_key"): 0.85, ("customer_id", "supplier_id"): 0.5, ("x_ref", "ref"): 6 / 7,
-              ("Order-ID", "orderid"): 1.0, ("--", "id"): 0.0, ("c_custkey", "o_custkey"): 0.875}
+              ("Order-ID", "orderid"): 1.0, ("--", "id"): 0.0, ("id", "total"): 0.75, ("amount", "ID"): 0.75, ("c_custkey", "o_custkey"): 0.875}
     assert {k: round(text.similar_names(*k), 6) for k in wanted} == {k: round(v, 6) for k, v in wanted.items()}
 
 
@@ -147,7 +147,7 @@ def test_review(spark):
     spec = review.corrected(spec, {"op": "scale_column", "column": "amount", "factor": cells.scale_factor("Lakh")})
     assert [tuple(r) for r in review.preview(review.apply_header(raw, spec.header_row, list(spec.columns))).collect()] == [("a", 150000.0), ("b", 200000.0)]
     assert review.header_names(raw, 1) == ["Name", "Amount"] and review.unique_names(["Year", "Year", None]) == ["Year", "Year_2", "column_3"]
-    assert review.is_structural({"op": "unheard_of"}) and not review.is_structural({"op": "add_note"})
+    assert review.is_structural({"op": "unheard_of"}) and not review.is_structural({"op": "set_usage_note"})
     with pytest.raises(KeyError):
         review.corrected(spec, {"op": "set_dtype", "column": "gone", "dtype": "int"})
 
