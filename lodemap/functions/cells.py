@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .natural import natural_date
 from .text import CURRENCY, NULL_TOKENS, squeezed, without_mojibake
 
 # Readings of dates that are tried, in the order in which ties are kept.
@@ -25,6 +26,8 @@ OTHER_FORMATS = (
     "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m", "d/M/yyyy H:m", "d-MMM-yyyy", "d-MMM-yy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyyMMdd",
 )
 FORMATS = DATE_FORMATS + OTHER_FORMATS
+#: The reading of dates in words, tried last of all.
+NATURAL = "natural"
 TRUE_WORDS, FALSE_WORDS = ("true", "yes", "y", "1", "t"), ("false", "no", "n", "0", "f")
 #: Share of values that have to parse, and how sure a column is whose dates can be read both ways.
 LEAST_SHARE, UNSURE = 0.85, 0.5
@@ -123,6 +126,7 @@ def vote_columns(column: str) -> list[Column]:
         "comma_style": F.count_if(with_comma & comma_style),
         "bool": F.count(to_bool(cell)),
     }
+    out["natural"] = F.count(natural_date(cell, F.current_timestamp()))
     out |= {f"date{i}": F.count(to_time(cell, f)) for i, f in enumerate(FORMATS)}
     return [c.alias(f"{column}|{k}") for k, c in out.items()]
 
@@ -140,7 +144,9 @@ def decide(counts: dict[str, int], least: float = LEAST_SHARE) -> Vote:
     main = {f: read[f] for f in DATE_FORMATS}
     if not any(main.values()):
         best = max(OTHER_FORMATS, key=read.get)
-        return Vote("datetime", best, confidence=read[best] / n) if read[best] / n >= least else Vote("string")
+        if read[best] / n >= least:
+            return Vote("datetime", best, confidence=read[best] / n)
+        return Vote("datetime", NATURAL, confidence=counts["natural"] / n) if counts.get("natural", 0) / n >= least else Vote("string")
     best = max(main, key=main.get)
     if main[best] == sorted(main.values())[-2]:
         return Vote("string", confidence=UNSURE, reasons=("ambiguous_date_format",))
@@ -164,7 +170,7 @@ def cast_cell(cell: Column, dtype: str, vote: Vote | None = None) -> Column:
         return to_bool(value)
     if dtype in ("date", "datetime"):
         layouts = [vote.layout] if vote and vote.layout else [f for f in FORMATS if f[:2] not in ("M/", "M-", "M.")]
-        moment = F.coalesce(*[to_time(value, f) for f in layouts])
+        moment = F.coalesce(*[natural_date(value, F.current_timestamp()) if f == NATURAL else to_time(value, f) for f in layouts])
         return moment.cast("date") if dtype == "date" else moment
     return value
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import codecs
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .charsets import RANGES, detected
+from .shared import new_folder
+
 SUFFIXES = (".csv", ".tsv", ".txt", ".md")
 SNIFFED = 64 * 1024
-#: Signs of windows-1252 where ISO-8859-1, the nearest that the CSV reader takes, has control signs.
-C1 = "".join(map(chr, range(0x80, 0xA0)))
-C1_SIGNS = "".join(bytes([ord(c)]).decode("windows-1252", "ignore") or c for c in C1)
+#: What the CSV reader makes of the bytes beyond ASCII when it reads them as ISO-8859-1.
+UPPER = "".join(map(chr, range(0x80, 0x100)))
 
 
 class UnsupportedFile(ValueError):
@@ -31,20 +36,31 @@ def sniff(sample: str, path: str = "") -> tuple[str, str]:
 
 
 def encoding_of(spark: SparkSession, path: str) -> tuple[str, float]:
-    """(encoding, confidence) of text files: their mark, else UTF-8 if every line is valid, else windows-1252.
+    """(encoding, confidence) of text files, by their mark or by how likely each reading of all their lines is."""
+    found, sure = detected(spark, path)
+    return {"utf-8": "UTF-8", "utf-16": "UTF-16", "utf-32": "UTF-32"}.get(found, found), sure
 
-    ``text`` keeps a file's bytes as they are, so one pass over all lines decides.
-    """
-    value = F.col("value").cast("binary")
-    mark = F.hex(F.substring(value, 1, 2))
-    row = (
-        spark.read.text(path)
-        .agg(F.max(mark == "FFFE").alias("little"), F.max(mark == "FEFF").alias("big"), F.min(F.is_valid_utf8("value")).alias("valid"))
-        .first()
-    )
-    if row["little"] or row["big"]:
-        return "UTF-16", 1.0
-    return ("UTF-8", 1.0) if row["valid"] is not False else ("windows-1252", 0.5)
+
+def one_byte_signs(encoding: str) -> str | None:
+    """The 128 signs of an encoding of one byte beyond ASCII; None if it has several or is ISO-8859-1. Bytes without a sign stay as they are."""
+    if codecs.lookup(encoding).name in ("utf-8", "iso8859-1", "ascii"):
+        return None
+    signs = [bytes([ord(c)]).decode(encoding, "ignore") for c in UPPER]
+    if sum(len(s) != 1 for s in signs) > 16 or encoding.lower() in RANGES:
+        return None
+    return "".join(s or c for s, c in zip(signs, UPPER))
+
+
+def recoded(spark: SparkSession, path: str, encoding: str) -> str:
+    """A copy of text files in UTF-8, in the shared folder: a file a task."""
+
+    @F.pandas_udf("string")
+    def decode(content: pd.Series) -> pd.Series:
+        return content.map(lambda b: bytes(b).decode(encoding, "replace"))
+
+    out = new_folder(spark, "recoded")
+    spark.read.format("binaryFile").load(path).select(decode("content").alias("value")).write.text(out)
+    return out
 
 
 def read_raw(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
@@ -52,19 +68,23 @@ def read_raw(spark: SparkSession, path: str, encoding: str | None = None) -> Dat
 
     The encoding is found unless it is given. The dialect comes from the files' start,
     the number of columns from one pass over the rows that sees what is quoted. Cells
-    may hold line ends if they are quoted; only a table with such cells, or in UTF-16,
-    is read a file a task, all others are split.
+    may hold line ends if they are quoted; only a table with such cells, or in an encoding
+    of several bytes other than UTF-8, is read a file a task, all others are split.
     """
     if not path.lower().rstrip("/").endswith((".csv", ".tsv", ".txt")):
         raise UnsupportedFile(path)
+    name = path
     encoding = encoding or encoding_of(spark, path)[0]
-    wide, ansi = encoding.upper().startswith("UTF-16"), encoding.lower() in ("windows-1252", "cp1252")
+    wide = encoding.upper().startswith(("UTF-16", "UTF-32"))
+    signs = None if wide else one_byte_signs(encoding)
+    if not wide and signs is None and encoding.upper() not in ("UTF-8", "UTF8", "ISO-8859-1", "US-ASCII"):
+        path, encoding = recoded(spark, path, encoding), "UTF-8"
     whole = spark.read.text(path, wholetext=True).select(F.decode(F.col("value").cast("binary"), encoding).alias("value")) if wide else None
     lines_of = whole.select(F.explode(F.split("value", r"\r?\n|\r")).alias("value")) if wide else spark.read.text(path)
     lines = [r[0] for r in lines_of.limit(200).collect() if r[0].strip("\ufeff \t\r\n")]  # for the dialect
     if not lines:
         raise EmptyFile(path)
-    mark, quote = sniff("\n".join(lines)[:SNIFFED], path)
+    mark, quote = sniff("\n".join(lines)[:SNIFFED], name)
     quoted = rf"(^|[\{mark}\n\r]) *{quote}(?:[^{quote}]++|{quote}{quote})*+{quote}"
 
     def width_of(text):
@@ -76,10 +96,10 @@ def read_raw(spark: SparkSession, path: str, encoding: str | None = None) -> Dat
         texts = whole if wide else spark.read.text(path, wholetext=True)
         rest = texts.select(F.explode(F.split(F.regexp_replace("value", quoted, "$1"), r"\r?\n|\r")).alias("value"))
         width = max(width, rest.agg(F.max(width_of(F.col("value")))).first()[0])
-    options = {"sep": mark, "quote": quote, "escape": quote, "header": False, "multiLine": bool(split or wide), "encoding": "ISO-8859-1" if ansi else encoding}
+    options = {"sep": mark, "quote": quote, "escape": quote, "header": False, "multiLine": bool(split or wide), "encoding": "ISO-8859-1" if signs else encoding}
     schema = StructType([StructField(f"c{i}", StringType()) for i in range(width)])
     rows = spark.read.options(**options).schema(schema).csv(path)
-    cells = [F.translate(c, C1, C1_SIGNS).alias(c) if ansi else F.col(c) for c in rows.columns]
+    cells = [F.translate(c, UPPER, signs).alias(c) if signs else F.col(c) for c in rows.columns]
     return rows.select(F.monotonically_increasing_id().alias("_row_id"), *cells)
 
 
