@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .natural import natural_date
+from .natural import in_words, natural_date
 from .text import CURRENCY, NULL_TOKENS, squeezed, without_mojibake
 
 # Readings of dates that are tried, in the order in which ties are kept.
@@ -126,7 +126,7 @@ def vote_columns(column: str) -> list[Column]:
         "comma_style": F.count_if(with_comma & comma_style),
         "bool": F.count(to_bool(cell)),
     }
-    out["natural"] = F.count(natural_date(cell, F.current_timestamp()))
+    out["worded"] = F.count_if(in_words(cell))
     out |= {f"date{i}": F.count(to_time(cell, f)) for i, f in enumerate(FORMATS)}
     return [c.alias(f"{column}|{k}") for k, c in out.items()]
 
@@ -154,10 +154,16 @@ def decide(counts: dict[str, int], least: float = LEAST_SHARE) -> Vote:
 
 
 def votes(df: DataFrame, columns: list[str] | None = None, least: float = LEAST_SHARE) -> dict[str, Vote]:
-    """The type of every column, by one aggregate over all rows."""
+    """The type of every column, by one aggregate over all rows; dates in words are read in another, of the columns that look like them."""
     columns = columns or df.columns
     row = df.agg(*[a for c in columns for a in vote_columns(c)]).first().asDict()
-    return {c: decide({k.rpartition("|")[2]: v for k, v in row.items() if k.rpartition("|")[0] == c}, least) for c in columns}
+    counts = {c: {k.rpartition("|")[2]: v for k, v in row.items() if k.rpartition("|")[0] == c} for c in columns}
+    asked = [c for c in columns if counts[c]["n"] and counts[c]["worded"] / counts[c]["n"] >= least]
+    if asked:
+        read = df.agg(*[F.count(natural_date(clean_cell(F.col(f"`{c}`")), F.current_timestamp())).alias(c) for c in asked]).first()
+        for c in asked:
+            counts[c]["natural"] = read[c]
+    return {c: decide(counts[c], least) for c in columns}
 
 
 def cast_cell(cell: Column, dtype: str, vote: Vote | None = None) -> Column:

@@ -46,6 +46,12 @@ AFTER = (rf"^in {COUNT} (\p{{L}}+)$", rf"^(?:dans|en) {COUNT} (\p{{L}}+)$")
 NEXT = (r"^(?:last|previous) (\p{L}+)$", r"^next (\p{L}+)$")
 
 
+def in_words(cell: Column) -> Column:
+    """Whether a cell may name a moment in words: one test, for columns of which few do."""
+    told = "|".join([*(p.removeprefix("^").removesuffix("$") for p in (DAY_FIRST, MONTH_FIRST, *BEFORE, *AFTER, *NEXT)), *DAYS])
+    return F.regexp_replace(F.lower(cell), r"[,.]? +|[,.]$", " ").rlike(rf"^ *(?:{told}) *$")
+
+
 def _looked_up(table: dict[str, object], word: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())]), word)
 

@@ -16,6 +16,8 @@ from ..sources.shared import written
 
 #: Counts by range and group are broadcast if there are at most so many.
 COUNTS = 100_000
+#: So many distinct values of all groups fit the buffers of one aggregate; more are dealt in ranges.
+FEW = 200_000
 
 
 def in_ranges(df: DataFrame, order: Sequence[Column | str], groups: Sequence[str] = ()) -> DataFrame:
@@ -46,9 +48,8 @@ def ranked(df: DataFrame, order: Sequence[Column | str], groups: Sequence[str] =
     return held.select(*[rows[c] for c in df.columns], (F.col("_before") + rows["_place"] - F.col("_first")).alias(name), "_total")
 
 
-def value_counts_in_order(df: DataFrame, column: str, groups: Sequence[str]) -> DataFrame:
-    """(groups, x double, n, below): each distinct value, how often it is there and how many rows of its group are smaller."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(*groups, F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n"))
+def value_counts_in_order(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """(groups, x, n, total, below) of (groups, x, n): each distinct value, how often it is there and how many rows of its group are smaller."""
     rows = in_ranges(counts, ["x"], groups)
     sums = rows.groupBy("_range", *groups).agg(F.sum("n").alias("_n"))
     by = Window.partitionBy(*groups)
@@ -66,7 +67,11 @@ def quantiles(df: DataFrame, column: str, shares: Sequence[float], groups: Seque
     Values are counted before they are dealt, and of each group only the values that
     hold a wanted rank are kept.  Without rows there is no group, and no row.
     """
-    rows = value_counts_in_order(df, column, groups)
+    counts = written(df.where(F.col(column).isNotNull()).groupBy(*groups, F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n")), "value-counts")
+    if counts.count() <= FEW:
+        q = F.percentile("x", [float(s) for s in shares], F.col("n"))
+        return counts.groupBy(*groups).agg(F.sum("n").alias("total"), q.alias("q")).where("total is not null")
+    rows = value_counts_in_order(counts, groups)
     at = [(F.col("total") - 1) * float(s) for s in shares]
     spots = [F.struct(F.lit(i).alias("i"), f(p).cast("long").alias("spot")) for i, p in enumerate(at) for f in (F.floor, F.ceil)]
     hit = F.filter(F.array(*spots), lambda s: (s["spot"] >= F.col("below")) & (s["spot"] < F.col("below") + F.col("n")))

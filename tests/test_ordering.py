@@ -17,7 +17,9 @@ def rows(spark):
     return data, spark.createDataFrame(data, "g string, x double, i long").repartition(7).cache()
 
 
-def test_quantiles_by_group(spark, rows):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_quantiles_by_group(spark, rows, few, monkeypatch):
+    monkeypatch.setattr(ordering, "FEW", few)
     data, df = rows
     shares = [0, 0.05, 0.25, 1 / 3, 0.5, 0.95, 1]
     got = {r["g"]: (r["total"], r["q"]) for r in ordering.quantiles(df, "x", shares, ["g"]).collect()}
@@ -27,7 +29,9 @@ def test_quantiles_by_group(spark, rows):
         assert n == len(x) and q == pytest.approx(np.quantile(x, shares).tolist())
 
 
-def test_quantiles_of_all_and_of_nothing(spark, rows):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_quantiles_of_all_and_of_nothing(spark, rows, few, monkeypatch):
+    monkeypatch.setattr(ordering, "FEW", few)
     data, df = rows
     x = [v for _, v, _ in data if v is not None]
     assert ordering.quantiles(df, "x", [0.5]).first()["q"] == pytest.approx([float(np.median(x))])
