@@ -207,7 +207,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = False, id_type: str
                         if f["WARC-Type"] == "response" and bare_digest(payload) != digest:
                             raise ValueError(f"{file}: a payload differs from its digest")
                         refers = page_of(f.get("WARC-Refers-To"))
-                        got.append((page_of(f["WARC-Record-ID"]), f.get("WARC-Target-URI"), int(f["WARC-Payload-Length"]), digest, f["WARC-Type"], refers, payload))
+                        got.append((page_of(f["WARC-Record-ID"]), f.get("WARC-Target-URI"), int(f["WARC-Payload-Length"]), digest, f["WARC-Type"], refers, payload if with_payload else b""))
                         held += len(payload) if with_payload else 100
                         if held > CHUNK:
                             yield as_batch(got)
