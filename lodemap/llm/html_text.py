@@ -105,7 +105,8 @@ def opened(tag: str, attributes: str, over: Node, lift: int = HINTED) -> Node:
                 if any(PIECES.split(c, maxsplit=1)[0] in NOT_OWN for c in value.split()):
                     skip = max(skip, NAMED)
             elif tag not in ("html", "body"):
-                pieces = PIECES.split(value)
+                # In an article a word marks an element only if it stands alone: ``share``, not ``share-price``.
+                pieces = value.split() if over.main else PIECES.split(value)
                 if not HINTS.isdisjoint(pieces):
                     skip = max(skip, HINTED if FOREIGN.isdisjoint(pieces) else NAMED)
     if tag in ROLES or (tag == "header" and not over.main):
