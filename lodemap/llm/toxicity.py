@@ -141,7 +141,7 @@ class Voters:
         for k, p in enumerate(self.PATTERNS):
             out[n + 3 + k] = min(1.0, 5 * text.count(p) / words)
         capitals = sum(map(str.isupper, text))
-        out[-1] = capitals / max(1, capitals + sum(map(str.islower, text))) if len(text) > 20 else 0.0
+        out[-1] = capitals / max(1, capitals + sum(map(str.islower, text)))
         return out
 
     def votes(self, x: np.ndarray) -> np.ndarray:

@@ -157,3 +157,25 @@ def test_warc_of_null_and_text_ids(spark, kind):
     first = name(0)
     assert got == sorted([(repr(name(3)), "revisit", first), (repr(first), "response", None), ("None", "revisit", first), (repr(name(5)), "response", None), ("None", "response", None),
                           ("None", "response", None), (repr(name(9)), "response", None)])
+
+
+def test_compound_class_names_do_not_mark_parts_of_an_article(spark):
+    page = (
+        "<html><body><div class='site-nav'>menu</div><article><h1>Head</h1><p>First.</p><div class='ad-hoc'>One</div><section id='reply-to-critics'>Two</section>"
+        "<p class='share-price'>Three</p><div class='social-history'>Four</div><div class='box share'>Share</div><div class='comments'>Said</div></article></body></html>"
+    )
+    rows = [(1, None, page), (2, "http://h/x", page), (2, "http://h/x", page), (3, "http://h/y", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract(df).collect())
+    text = "Head\nFirst.\nOne\nTwo\nThree\nFour"
+    assert got == [(1, text, len(text)), (2, text, len(text)), (2, text, len(text)), (3, "", 0)]
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_records_are_read_without_their_payloads(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * 50_000 + str(i % 7)) for i in range(300)], "page_id long, url string, html string")
+    manifest = warc.write_archives(pages)
+    whole = warc.read_archives(manifest, with_payload=True)
+    bare = warc.read_archives(manifest)
+    assert "payload" not in bare.columns and sorted(map(tuple, bare.collect())) == sorted(tuple(r)[:-1] for r in whole.collect())
+    assert {bytes(r["payload"]).decode() for r in whole.where("record_type = 'response'").collect()} == {"x" * 50_000 + str(k) for k in range(7)}
