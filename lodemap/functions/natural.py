@@ -46,6 +46,19 @@ AFTER = (rf"^in {COUNT} (\p{{L}}+)$", rf"^(?:dans|en) {COUNT} (\p{{L}}+)$")
 NEXT = (r"^(?:last|previous) (\p{L}+)$", r"^next (\p{L}+)$")
 
 
+def duration_ms(start: Column, end: Column) -> Column:
+    """Whole milliseconds between two moments, never below 0."""
+    return F.greatest(F.lit(0), F.timestamp_diff("MILLISECOND", start, end))
+
+
+def after(moment: Column, duration: Column) -> Column:
+    """The moment after a duration such as ``30d``, ``12h`` or ``4w``; null if it isn't written so."""
+    text = F.lower(F.trim(duration))
+    n, unit = F.regexp_extract(text, r"^(\d{1,6})([hdw])$", 1).try_cast("int"), F.substring(text, -1, 1)
+    part = lambda u: F.when(unit == u, n).otherwise(0)
+    return F.when(text.rlike(r"^\d{1,6}[hdw]$"), moment + F.make_interval(weeks=part("w"), days=part("d"), hours=part("h")))
+
+
 def in_words(cell: Column) -> Column:
     """Whether a cell may name a moment in words: one test, for columns of which few do."""
     told = "|".join([*(p.removeprefix("^").removesuffix("$") for p in (DAY_FIRST, MONTH_FIRST, *BEFORE, *AFTER, *NEXT)), *DAYS])

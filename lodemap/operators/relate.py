@@ -146,6 +146,21 @@ def candidates(tables: dict[str, DataFrame], limit: int | None = MOST) -> DataFr
     return best.orderBy(F.desc("score"), F.desc("parent_unique"), F.desc("containment"), F.desc("name"), "candidate_id").limit(limit)
 
 
+def shared_samples(tables: dict[str, DataFrame], pairs: DataFrame, k: int = 10) -> DataFrame:
+    """``pairs`` with ``samples``: the k smallest values that both columns of each candidate hold.
+
+    Values of the columns in question meet by value; of each pair a task keeps its own k smallest ones.
+    """
+    values = key_values(value_counts(tables)).select("tab", "col", "value")
+    ends = pairs.select("tab_a", "col_a", "tab_b", "col_b")
+    a = values.join(F.broadcast(ends), (F.col("tab") == F.col("tab_a")) & (F.col("col") == F.col("col_a"))).select(*ends.columns, "value")
+    b = values.select(F.col("tab").alias("tab_b"), F.col("col").alias("col_b"), "value")
+    place = F.row_number().over(Window.partitionBy(*ends.columns).orderBy("value"))
+    firsts = a.join(b, ["tab_b", "col_b", "value"], "left_semi").withColumn("_r", place).where(F.col("_r") <= k)
+    listed = firsts.groupBy(*ends.columns).agg(F.sort_array(F.collect_list("value")).alias("samples"))
+    return pairs.join(F.broadcast(listed), ends.columns, "left")  # a row a candidate
+
+
 def join_by_link(tables: dict[str, DataFrame], link: dict, how: str = "left") -> DataFrame:
     """Joins the two tables of a link on its columns; columns of the parent that clash get the table's name before them.
 

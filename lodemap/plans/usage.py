@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import documents, rules, search, usage
+from ..operators import documents, quotas, rules, search, usage
 from ..operators.review import apply_header, preview
 from ..sources import workbooks
 from ..streaming.jobs import events_as_jobs
@@ -105,6 +105,32 @@ def quota_report(spark, sf_dir):
     return u.select("user_id", "used", limit.alias("hard_cap"), (F.col("used") > limit).alias("over"))
 
 
+@query("""WITH u AS (SELECT c_nationkey AS org, o_custkey AS "user", o_totalprice AS v, o_orderstatus AS st, o_orderdate AS d FROM orders JOIN customer ON o_custkey = c_custkey),
+k AS (SELECT org, "user", 'sessions' AS kind, count(*)::DOUBLE AS used FROM u GROUP BY ALL UNION ALL SELECT org, "user", 'storage', sum(v) FROM u GROUP BY ALL
+UNION ALL SELECT org, "user", 'upload', sum(v) FROM u WHERE year(d) = 1996 GROUP BY ALL UNION ALL SELECT org, "user", 'jobs', count(*) FROM u WHERE st = 'O' GROUP BY ALL
+UNION ALL SELECT org, "user", 'tokens', sum(v) FROM u WHERE d >= TIMESTAMP '1998-01-01' GROUP BY ALL UNION ALL SELECT org, "user", 'file_size', max(v) FROM u GROUP BY ALL),
+l(kind, ul, ol) AS (VALUES ('sessions', 12, 700), ('storage', 2000000, 60000000), ('upload', 500000, 20000000), ('jobs', 6, 300), ('tokens', 200000, 6000000), ('file_size', 60000, 50000)),
+r AS (SELECT org, "user", kind, 'user' AS scope, used, ul AS lim FROM k JOIN l USING (kind) UNION ALL
+SELECT org, "user", kind, 'organization', sum(used) OVER (PARTITION BY org, kind), ol FROM k JOIN l USING (kind))
+SELECT org, "user", kind, scope, round(used, 2) AS used, greatest(0, floor(lim * 90.0 / 100))::DOUBLE AS cap,
+CASE WHEN kind IN ('sessions', 'jobs') THEN used >= greatest(0, floor(lim * 90.0 / 100)) WHEN kind = 'file_size' THEN 50000 > greatest(0, floor(lim * 90.0 / 100))
+ELSE used + CASE WHEN kind = 'storage' OR kind = 'upload' THEN 50000 ELSE 0 END > greatest(0, floor(lim * 90.0 / 100)) END AS refused FROM r""")
+def quota_checks(spark, sf_dir):
+    """Six kinds of quota of customers and their nations, and whether a file of 50 000 still fits at 90 percent."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user"), F.col("c_nationkey").alias("org"))
+    o = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("user"))
+    v = F.col("o_totalprice")
+    used = [
+        quotas.used_by(o, "sessions"), quotas.used_by(o, "storage", v), quotas.used_by(o.where("year(o_orderdate) = 1996"), "upload", v), quotas.used_by(o.where("o_orderstatus = 'O'"), "jobs"),
+        quotas.used_by(o.where("o_orderdate >= timestamp_ntz'1998-01-01'"), "tokens", v), o.groupBy("org", "user").agg(F.max(v).alias("used")).withColumn("kind", F.lit("file_size")),
+    ]
+    most = {"sessions": (12, 700), "storage": (2_000_000, 60_000_000), "upload": (500_000, 20_000_000), "jobs": (6, 300), "tokens": (200_000, 6_000_000), "file_size": (60_000, 50_000)}
+    rows = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n[0]).cast("double").alias("limit")) for k, n in most.items()]))
+    whole = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n[1]).cast("double").alias("limit")) for k, n in most.items()]))
+    limits = c.select("org", "user", rows).unionByName(c.select("org").distinct().select("org", F.lit(None).cast("long").alias("user"), whole))
+    return quotas.checks(used, limits, {"storage": 50_000, "upload": 50_000, "file_size": 50_000}, 90)
+
+
 @query("SELECT n_name, count(*) FILTER (c_acctbal > 0) AS active, count(c_custkey) AS members FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
 def org_member_counts(spark, sf_dir):
     c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count_if(F.col("c_acctbal") > 0).alias("active"), F.count("*").alias("members"))

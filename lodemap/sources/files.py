@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import codecs
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -135,6 +137,19 @@ def unreferenced(stored_keys: DataFrame, *live: DataFrame) -> DataFrame:
     return stored_keys.select("key").join(names.distinct(), "key", "left_anti")
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Delimited files with a header, quoted where needed."""
-    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, files: int | None = None) -> None:
+    """Delimited files as office programs read them: UTF-8 with its mark, a header, CRLF line ends, quotes where a cell needs them.
+
+    Each file has the header; ``files`` says how many there are, else as many as the table has partitions.
+    """
+    needs = lambda c: F.when(c.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    cells = [needs(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in df.columns]
+    head = ",".join('"' + c.replace('"', '""') + '"' if any(x in c for x in '",\n\r') else c for c in df.columns)
+
+    def with_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(["\ufeff" + head + "\r"], pa.string())], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
+
+    lines = df.select(F.concat(F.concat_ws(",", *cells), F.lit("\r")).alias("value"))
+    (lines.repartition(files) if files else lines).mapInArrow(with_head, "value string").write.mode("overwrite").text(path)
