@@ -37,8 +37,8 @@ from .shared import sized, stored
 
 #: A branch with less importance on at least so many pages of a host is removed.
 LOW_IMPORTANCE, MIN_PAGES = 0.1, 5
-#: Tags deeper than this share the path of their ancestor, so that a path's length is bounded.
-MAX_DEPTH = 64
+#: A path holds at most so many tags; deeper ones start another segment, named by the hash of the path it hangs on.
+SEGMENT = 64
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
@@ -84,10 +84,12 @@ ARTICLES, OUTSIDE = "articles", ""
 
 
 class Node:
-    __slots__ = ("tag", "path", "skip", "main", "depth")
+    """An open element; ``hangs`` are the paths on which its segment and those above it hang."""
 
-    def __init__(self, tag: str, path: str, skip: int, main: bool, depth: int):
-        self.tag, self.path, self.skip, self.main, self.depth = tag, path, skip, main, depth
+    __slots__ = ("tag", "path", "skip", "main", "depth", "hangs")
+
+    def __init__(self, tag: str, path: str, skip: int, main: bool, depth: int, hangs: tuple[str, ...] = ()):
+        self.tag, self.path, self.skip, self.main, self.depth, self.hangs = tag, path, skip, main, depth, hangs
 
 
 ROOT = Node("", "", 0, False, 0)
@@ -115,8 +117,9 @@ def opened(tag: str, attributes: str, over: Node, lift: int = HINTED) -> Node:
     if article and not over.main and skip <= lift:
         skip = 0
     main = over.main or (article and not skip)
-    path = f"{over.path}/{label}" if over.depth < MAX_DEPTH else over.path
-    return Node(tag, path, skip, main, over.depth + 1)
+    if over.depth < SEGMENT:
+        return Node(tag, f"{over.path}/{label}", skip, main, over.depth + 1, over.hangs)
+    return Node(tag, f"#{hashed(over.path)}/{label}", skip, main, 1, (*over.hangs, over.path))
 
 
 def walk(page: str, lift: int = HINTED) -> Iterator[tuple[str, Node, str]]:
@@ -205,20 +208,23 @@ def lines(events: list[tuple[str, Node, str]], low: frozenset[str] = frozenset()
     return out
 
 
-#: What is counted of a path: its children's tags, its own text, or a line of its text.
-SHAPE, SAID, LINE = 0, 1, 2
+#: What is counted of a path: its children's tags, its own text, a line of its text, or a segment below it.
+SHAPE, SAID, LINE, BELOW = 0, 1, 2, 3
 
 
 def features(page: str) -> list[tuple[str, int, int, bool]]:
-    """(path, kind, hash, inside an article): each distinct path's children and text, and each distinct line."""
+    """(path, kind, hash, inside an article): each distinct path's children and text, each distinct line and deeper segment."""
     events = list(walk(page))
     shape: dict[str, list[str]] = {}
     said: dict[str, list[str]] = {}
     inside: dict[str, bool] = {}
+    deep: dict[str, tuple[str, ...]] = {}
     for what, node, more in events:
         if what == "open":
             if not node.skip:
                 inside.setdefault(node.path, node.main)
+                if node.hangs:
+                    deep.setdefault(node.hangs[-1], node.hangs)
             tags = shape.setdefault(more, [])
             if not tags or tags[-1] != node.tag:
                 tags.append(node.tag)
@@ -228,6 +234,8 @@ def features(page: str) -> list[tuple[str, int, int, bool]]:
     for p, m in inside.items():
         out.append((p, SHAPE, hashed(">".join(shape.get(p, []))), m))
         out.append((p, SAID, hashed("\n".join(said.get(p, []))), m))
+    for below, hangs in deep.items():
+        out += [(p, BELOW, hashed(below), False) for p in hangs]
     found = {(m, hashed(text)) for text, m in lines(events)}
     for m in {m for m, _ in found}:
         out.append((ARTICLES if m else OUTSIDE, SHAPE, 0, m))
@@ -262,7 +270,7 @@ def counts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
 def style_tree(seen: DataFrame) -> DataFrame:
     """The merged trees from ``counts``: (host, path, pages long, presentation, content, importance double, main boolean)."""
     log = F.col("n") * F.ln("n")
-    spread = seen.where(F.col("kind") != LINE).groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), F.sum(log).alias("weight"), F.min("main").alias("main"))
+    spread = seen.where(F.col("kind") < LINE).groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), F.sum(log).alias("weight"), F.min("main").alias("main"))
     entropy = F.when(F.col("pages") < 2, F.lit(1.0)).otherwise(
         F.greatest(F.lit(0.0), (F.ln("pages") - F.col("weight") / F.col("pages")) / F.ln("pages"))
     )
@@ -283,9 +291,17 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def low_branches(tree: DataFrame, low: float = LOW_IMPORTANCE, pages: int = MIN_PAGES) -> DataFrame:
-    """(host, paths array): branches in which no node is important, by host."""
+def low_branches(tree: DataFrame, seen: DataFrame, low: float = LOW_IMPORTANCE, pages: int = MIN_PAGES) -> DataFrame:
+    """(host, paths array): branches in which no node is important, by host, from the trees and their ``counts``.
+
+    What a deeper segment holds counts for each path that it or a segment above it hangs on.
+    """
     parts = F.split("path", "/")
+    facts = ["importance", "pages", "main"]
+    deep = tree.where(F.col("path").startswith("#")).withColumn("value", F.substring_index(F.substr("path", F.lit(2)), "/", 1).cast("long"))
+    deep = deep.groupBy("host", "value").agg(*[F.max(c).alias(c) for c in facts])
+    hung = seen.where(F.col("kind") == BELOW).select("host", "path", "value").join(deep, ["host", "value"])
+    tree = tree.select("host", "path", *facts).union(hung.select("host", "path", *facts))
     above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     return (
         tree.where(F.size(parts) >= 2)
@@ -314,7 +330,7 @@ def common_lines(seen: DataFrame, low: float = LOW_IMPORTANCE, pages: int = MIN_
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The main text of every page: (id_col, url_col, text string, n_chars long)."""
     seen = stored(counts(pages, url_col, html_col), "page-features")
-    low = stored(low_branches(style_tree(seen)).join(common_lines(seen), "host", "full"), "style-tree")
+    low = stored(low_branches(style_tree(seen), seen).join(common_lines(seen), "host", "full"), "style-tree")
     rows = pages.select(
         F.col(id_col), F.col(url_col), F.coalesce(F.col(html_col), F.lit("")).alias("_html"), host_of(F.col(url_col)).alias("_host")
     )

@@ -138,6 +138,24 @@ def test_html_counts_only_articles_of_the_page_itself(spark):
     assert text_of(spark, *pages[:5])[4] == "The text"
 
 
+def test_style_tree_has_no_depth_at_which_branches_merge(spark):
+    def under(levels, text):
+        return "<div>" * levels + text + "</div>" * levels
+
+    def page(i):
+        top = under(150, "<p>Same words below</p>")
+        own = under(150, f"<p>Own words {i} below</p>")
+        near = under(70, f"<div class='a'><p>Same words beside</p></div><div class='b'><p>Own words {i} beside</p></div>")
+        return f"<body><div class='top'>{top}</div><div class='own'>{own}</div>{near}</body>"
+
+    got = text_of(spark, *[page(i) for i in range(8)])
+    assert got == {i: f"Own words {i} below\nOwn words {i} beside" for i in range(8)}
+    node = html_text.ROOT
+    for _ in range(20_000):
+        node = html_text.opened("div", "", node)
+    assert len(node.path) < 64 * 4 + 22 and len(node.hangs) == 312
+
+
 def test_html_query_gives_every_page(spark):
     pages = {r["page_id"]: r for r in table(spark, SMALL, "pages").collect()}
     rows = queries.op9_html_text(spark, SMALL).collect()
