@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GAP_MINUTES = 10
@@ -29,9 +29,12 @@ def cap(limit: Column, percent: Column) -> Column:
 def spaced(events: DataFrame, user: str = "user_id", moment: str = "ts", ident: str = "event_id", minutes: int = GAP_MINUTES) -> DataFrame:
     """The events that come at least ``minutes`` after the last kept one of the same user: (user, ident).
 
-    Which one is kept depends on those kept before, so a user's events are gone
-    through in order.  They arrive sorted in Arrow batches and only the last kept
-    moment is held, so that a user with a third of all events needs no more memory.
+    Which one is kept depends on those kept before, so events are gone through in
+    order.  An event at least ``minutes`` after the one before is always kept, so a
+    user's events are cut there and each stretch is gone through on its own: the
+    first and last event of each grid cell of ``minutes`` show where, and there is
+    no gap inside a cell.  Stretches arrive sorted in Arrow batches and only the
+    last kept moment is held, so that a long one needs no more memory.
     """
     kinds = dict(events.dtypes)
     step = pd.Timedelta(minutes=minutes)
@@ -40,14 +43,19 @@ def spaced(events: DataFrame, user: str = "user_id", moment: str = "ts", ident:
         who, last = object(), None
         for batch in batches:
             keep = []
-            for u, t in zip(batch["u"], batch["t"]):
-                if u != who or t - last >= step:
-                    who, last = u, t
+            for u, s, t in zip(batch["u"], batch["s"], batch["t"]):
+                if (u, s) != who or t - last >= step:
+                    who, last = (u, s), t
                     keep.append(True)
                 else:
                     keep.append(False)
             yield batch.loc[keep, ["u", "i"]].rename(columns={"u": user, "i": ident})
 
     rows = events.where(F.col(user).isNotNull() & F.col(moment).isNotNull()).select(F.col(user).alias("u"), F.col(moment).alias("t"), F.col(ident).alias("i"))
-    placed = rows.repartition("u").sortWithinPartitions("u", "t", "i")
+    rows = rows.withColumn("g", F.window("t", f"{minutes} minutes")["start"])
+    order = Window.partitionBy("u").orderBy("g")
+    cells = rows.groupBy("u", "g").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    cut = F.col("first") - F.lag("last").over(order) >= F.make_dt_interval(mins=F.lit(minutes))
+    stretches = cells.withColumn("cut", cut.cast("int")).select("u", "g", F.coalesce(F.sum("cut").over(order), F.lit(0)).alias("s"))
+    placed = rows.join(stretches, ["u", "g"]).select("u", "s", "t", "i").repartition("u", "s").sortWithinPartitions("u", "s", "t", "i")
     return placed.mapInPandas(run, f"`{user}` {kinds[user]}, `{ident}` {kinds[ident]}")

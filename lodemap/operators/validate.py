@@ -14,6 +14,8 @@ from ..functions.text import signature
 TYPE_WEIGHT, MEANING_WEIGHT, HEADER_WEIGHT = 0.65, 0.20, 0.15
 GOOD, LOW = 0.85, 0.5
 AMOUNT_WORDS = ("amount", "price", "total", "rate")
+# Fixed value: names of columns that say nothing.
+GENERIC = r"c\d+|column\d+|unnamed:?\s*\d*"
 
 
 def header_score(name: str, names: list[str]) -> tuple[float, list[str]]:
@@ -22,7 +24,7 @@ def header_score(name: str, names: list[str]) -> tuple[float, list[str]]:
     score, reasons = 1.0, []
     if [n.strip().lower() for n in names].count(name.strip().lower()) > 1:
         score, reasons = 0.55, ["duplicate_column_name"]
-    if re.fullmatch(r"c\d+|column\d+|unnamed:?\s*\d*", name.strip().lower()):
+    if re.fullmatch(GENERIC, name.strip().lower()):
         score, reasons = min(score, 0.75), [*reasons, "generic_column_name"]
     return score, reasons
 

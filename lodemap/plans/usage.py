@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import documents, quotas, rules, search, usage
+from ..operators import dashboards, documents, quotas, rules, search, usage
+from ..operators.dashboards import Measure
 from ..operators.review import apply_header, preview
 from ..sources import workbooks
 from ..streaming.jobs import events_as_jobs
@@ -131,6 +132,57 @@ def quota_checks(spark, sf_dir):
     return quotas.checks(used, limits, {"storage": 50_000, "upload": 50_000, "file_size": 50_000}, 90)
 
 
+_FACTS = """WITH m AS (SELECT c_nationkey AS org, c_custkey AS "user", c_name AS name, c_acctbal > 0 AS active FROM customer),
+o AS (SELECT m.*, o_totalprice AS v, o_orderstatus AS st, o_orderdate >= TIMESTAMP '1996-03-01' AND o_orderdate < TIMESTAMP '1996-04-01' AS now FROM orders JOIN m ON o_custkey = "user"),
+e AS (SELECT m.*, value AS v, event_type AS t FROM events JOIN m ON user_id = "user")"""
+
+
+def _measures(spark, sf_dir):
+    """Customers of nations as members, their orders as files and their events as work on them."""
+    members = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("org"), F.col("c_custkey").alias("user"), F.col("c_name").alias("name"), (F.col("c_acctbal") > 0).alias("active"))
+    who = members.select("org", "user")
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "user").join(who, "user")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), "event_type", "value").join(who, "user")
+    return members, [
+        Measure("files", orders),
+        Measure("storage", orders, dashboards.SUM, "o_totalprice", members_only=True),
+        Measure("upload_month", orders, dashboards.SUM, "o_totalprice", "o_orderdate"),
+        Measure("failed_month", orders.where("o_orderstatus = 'F'"), moment="o_orderdate"),
+        Measure("turns", events.where("event_type = 'view'")),
+        Measure("mean_response", events.where("event_type = 'click'"), dashboards.MEAN, "value"),
+    ]
+
+
+def _rounded(df):
+    return df.withColumns({c: F.round(c, n) for c, n in {"storage": 2, "upload_month": 2, "mean_response": 9}.items()})
+
+
+@query(_FACTS + """, po AS (SELECT "user", count(*) AS files, sum(v) AS storage, sum(v) FILTER (now) AS upload, count(*) FILTER (now AND st = 'F') AS failed FROM o GROUP BY 1),
+pe AS (SELECT "user", count(*) FILTER (t = 'view') AS turns, avg(v) FILTER (t = 'click') AS mean FROM e GROUP BY 1)
+SELECT org, "user", name, coalesce(files, 0) AS files, round(coalesce(storage, 0), 2) AS storage, round(coalesce(upload, 0), 2) AS upload_month, coalesce(failed, 0) AS failed_month,
+coalesce(turns, 0) AS turns, round(mean, 9) AS mean_response FROM m LEFT JOIN po USING ("user") LEFT JOIN pe USING ("user") WHERE active""")
+def org_dashboard_users(spark, sf_dir):
+    return _rounded(dashboards.users(*_measures(spark, sf_dir), "1996-03"))
+
+
+@query(_FACTS + """, g AS (SELECT org, false AS every FROM m GROUP BY 1 UNION ALL SELECT NULL, true)
+SELECT g.org, every, (SELECT count(*) FROM m WHERE active AND (every OR m.org = g.org)) AS users, (SELECT count(*) FROM o WHERE every OR o.org = g.org) AS files,
+(SELECT round(coalesce(sum(v), 0), 2) FROM o WHERE active AND (every OR o.org = g.org)) AS storage, (SELECT round(coalesce(sum(v), 0), 2) FROM o WHERE now AND (every OR o.org = g.org)) AS upload_month,
+(SELECT count(*) FROM o WHERE now AND st = 'F' AND (every OR o.org = g.org)) AS failed_month, (SELECT count(*) FROM e WHERE t = 'view' AND (every OR e.org = g.org)) AS turns,
+(SELECT round(avg(v), 9) FROM e WHERE t = 'click' AND (every OR e.org = g.org)) AS mean_response FROM g""")
+def org_dashboard_totals(spark, sf_dir):
+    """Totals of each organisation and of all of them."""
+    return _rounded(dashboards.totals(*_measures(spark, sf_dir), "1996-03"))
+
+
+@query("""SELECT c_nationkey AS org, user_id AS "user", event_id, event_type, ts, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rank
+FROM events JOIN customer ON user_id = c_custkey QUALIFY rank <= 50""")
+def org_recent_events(spark, sf_dir):
+    who = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user"), F.col("c_nationkey").alias("org"))
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), "event_id", "event_type", "ts").join(who, "user")
+    return dashboards.recent(events, "event_id", "ts")
+
+
 @query("SELECT n_name, count(*) FILTER (c_acctbal > 0) AS active, count(c_custkey) AS members FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
 def org_member_counts(spark, sf_dir):
     c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count_if(F.col("c_acctbal") > 0).alias("active"), F.count("*").alias("members"))
