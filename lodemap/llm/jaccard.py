@@ -24,8 +24,9 @@ the component that links join it to.
 
 No all-pairs list of a group is made, no group is gathered in a task, and nothing
 but counts reaches the driver.  All that is found by block or token is aggregated in
-the tasks before it is dealt out, so that what a third of all rows share is no hot
-key.  Token hashes have 64 bits; hashes of blocks and matrix rows have 48, whose
+the tasks before it is dealt out.  Where rows must meet the one row of their hub,
+label, group or set, keys of many rows are split and that row goes to each part
+(``spread``), so that what a third of all rows share is no hot key.  Token hashes have 64 bits; hashes of blocks and matrix rows have 48, whose
 rare collisions only add comparisons.  Tables that are no longer needed are deleted.
 
 Null or empty text has the empty set, links with nothing and is a component of its
@@ -44,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, numbered, sized, slices, stored
+from .shared import discard, numbered, parted, sized, slices, spread, stored
 
 #: Sizes in one class differ at most by this factor (or by 1 / threshold if that is more).
 RATIO = 1.5
@@ -57,6 +58,8 @@ SAME, LOSS = 8, 1e-12
 CACHE_WORDS = 50_000
 #: Bits of a sketch, in longs.
 BITS = 1024
+#: So many pairs with one document, and more, are split over tasks, each with its text.
+PAIRS = 2_000
 WORDS = [f"s{i}" for i in range(BITS // 64)]
 MASK = np.uint64((1 << 48) - 1)
 
@@ -249,12 +252,12 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name)
     labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), name)
     while True:
-        near = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+        near = spread(both, labels.withColumnsRenamed({"node": "b"}), ["b"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = stored(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old")), name)
         over = step.select(F.col("node").alias("label"), F.col("label").alias("over"))
-        new = stored(step.join(over, "label").select("node", F.least("label", "over").alias("label"), "old"), name)
+        new = stored(spread(step, over, ["label"]).select("node", F.least("label", "over").alias("label"), "old"), name)
         changed = new.where("label <> old").count()
-        discard(labels)
+        discard(labels, step)
         labels = new.drop("old")
         if not changed:
             discard(both)
@@ -262,15 +265,15 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 
 def in_several(tokens: DataFrame) -> DataFrame:
-    """(token, first): the tokens that several nodes of (token, node) have, with the smallest of these nodes."""
-    ends = tokens.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last"))
-    return ends.where("first <> last").select("token", "first")
+    """(token, first, n): the tokens that several nodes of (token, node) have, with the smallest of these nodes, and their rows."""
+    ends = tokens.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n"))
+    return ends.where("first <> last").select("token", "first", "n")
 
 
 def blocks_in_several(tokens: DataFrame) -> DataFrame:
     """The same for (token, node, cls), but for those of a size class that only nodes of a smaller one share: these share others."""
-    ends = tokens.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.max("cls").alias("cls"))
-    return ends.where((F.col("first") != F.col("last")) & (F.col("cls") == size_class("token"))).select("token", "first")
+    ends = tokens.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.max("cls").alias("cls"), F.count("*").alias("n"))
+    return ends.where((F.col("first") != F.col("last")) & (F.col("cls") == size_class("token"))).select("token", "first", "n")
 
 
 def grouped_by_blocks(shared: DataFrame) -> DataFrame:
@@ -282,11 +285,11 @@ def grouped_by_blocks(shared: DataFrame) -> DataFrame:
     """
     early = stored(shared.groupBy("node").agg(F.min("first").alias("early")), "early-labels")
     under = stored(shared.select("token", "node").join(early, "node").select("token", "early").distinct(), "token-labels")
-    lowest = in_several(under.withColumnRenamed("early", "node"))
-    edges = under.join(lowest, "token").where("early <> first").select(F.col("early").alias("a"), F.col("first").alias("b")).distinct()
+    lowest = stored(in_several(under.withColumnRenamed("early", "node")), "lowest-labels")
+    edges = spread(under, lowest.drop("n"), ["token"], counts=lowest.select("token", "n")).where("early <> first").select(F.col("early").alias("a"), F.col("first").alias("b")).distinct()
     labels = components(edges, "groups").withColumnsRenamed({"node": "early"})
-    discard(under)
-    return early.join(labels, "early", "left").select("node", F.coalesce("label", "early").alias("label"))
+    discard(under, lowest)
+    return spread(early, labels, ["early"], how="left").select("node", F.coalesce("label", "early").alias("label"))
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
@@ -306,7 +309,9 @@ def overlaps(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
 
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, one long, two long, shared long")
+    dealt, sent, by = parted(pairs, two, ["b"], PAIRS)  # before the rows carry a text
+    both = spread(dealt, one, ["a"], PAIRS).join(sent, by).select("a", "b", "x", "y")
+    return both.mapInArrow(run, "a long, b long, one long, two long, shared long")
 
 
 def reaching(found: DataFrame, num: int, den: int) -> DataFrame:
@@ -336,7 +341,7 @@ def bounded(members: DataFrame, n: int, num: int, den: int) -> DataFrame:
     alone = cells.groupBy("cell").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
     own = alone.groupBy("node").agg(F.count("*").alias("own"))
     smallest = members.groupBy("grp").agg(F.min("n_shingles").alias("least"))
-    facts = members.select("node", "grp", "n_shingles").join(smallest, "grp").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    facts = spread(members.select("node", "grp", "n_shingles"), smallest, ["grp"]).join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     size = F.col("n_shingles")
     partner = F.greatest(F.ceil(size * num / den), F.col("least"))
     need = F.ceil((size + partner) * num / (num + den) - 1e-9)
@@ -357,20 +362,21 @@ def similarity_components(
     )
     again = nodes.where("copies > 1").select("k1", "k2", "node")
     copies = stored(
-        base.where("n_shingles > 0").join(again, ["k1", "k2"]).where("row <> node").select("row"), "copies"
+        spread(base.where("n_shingles > 0").select("row", "k1", "k2"), again, ["k1", "k2"]).where("row <> node").select("row"), "copies"
     )
     singles = sets.join(sized(copies, copies.count()), "row", "left_anti")
 
     # Blocks that two classes or more share, with the smallest of them; of classes that share enough.
     tokens = singles.select(F.explode("tokens").alias("token"), F.col("row").alias("node"), "cls")
     several = stored(blocks_in_several(tokens), "shared-tokens")
-    seen = stored(tokens.join(several, "token").select("token", "node"), "listed-blocks")
+    seen = stored(spread(tokens.drop("cls"), several.select("token"), ["token"], counts=several.select("token", "n")), "listed-blocks")
     discard(sets, copies, several)
     enough = seen.groupBy("node").agg(F.count("*").alias("n")).join(nodes.select("node", "need", "cls"), "node").where("n >= need").drop("n")
     listed = stored(seen.join(enough, "node"), "dense-blocks")
     discard(seen)
-    shared = stored(listed.join(blocks_in_several(listed), "token").select("token", "node", "need", "cls", "first"), "shared-blocks")
-    discard(listed)
+    several = stored(blocks_in_several(listed), "shared-tokens")
+    shared = stored(spread(listed, several.drop("n"), ["token"], counts=several.select("token", "n")).select("token", "node", "need", "cls", "first"), "shared-blocks")
+    discard(listed, several)
     groups = grouped_by_blocks(shared)
 
     # Texts of the grouped classes: found by id, told apart by set key.
@@ -381,9 +387,9 @@ def similarity_components(
 
     found = stored(shared.drop("first").join(live.select("node", "own"), "node"), "open-blocks")
     rank = F.struct("own", "node")
-    hubs = found.groupBy("token").agg(F.min(rank)["node"].alias("hub"), F.count("*").alias("n")).where("n > 1").select("token", "hub")
+    first = stored(found.groupBy("token").agg(F.min(rank)["node"].alias("hub"), F.count("*").alias("n")).where("n > 1"), "token-hubs")
     hubs = (
-        found.join(hubs, "token")
+        spread(found, first.drop("n"), ["token"], counts=first.select("token", "n"))
         .where("node <> hub")
         .groupBy("node", "hub")
         .agg(F.count("*").alias("n"))
@@ -400,8 +406,9 @@ def similarity_components(
 
     # What is left: pairs that share enough blocks, in different components, whose sets may differ by little enough.
     parts = stored(found.join(labels, "node"), "parts")
-    mixed_tokens = parts.groupBy("token").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("token")
-    parts = parts.join(mixed_tokens, "token").select("token", "node", "need", "cls", "label").join(live, "node")
+    labelled = parts.groupBy("token").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("n"))
+    labelled = stored(labelled.where("l1 <> l2").select("token", "n"), "mixed-tokens")
+    parts = spread(parts, labelled.select("token"), ["token"], counts=labelled).select("token", "node", "need", "cls", "label").join(live, "node")
     one, two = parts.alias("p"), parts.alias("q")
     both = (F.col("p.n_shingles") + F.col("q.n_shingles")) * (den - num)
     room = (F.col("p.own") + F.col("q.own")) * (num + den) <= both
@@ -420,14 +427,14 @@ def similarity_components(
     more = stored(reaching(overlaps(rest, texts, n), num, den), "rest-links")
     ends = more.join(labels.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(labels.withColumnsRenamed({"node": "b", "label": "lb"}), "b")
     merged = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "components")
-    final = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("over")), "label", "left").select("node", F.coalesce("over", "label").alias("label"))
+    final = spread(labels, merged.select(F.col("node").alias("label"), F.col("label").alias("over")), ["label"], how="left").select("node", F.coalesce("over", "label").alias("label"))
 
     # Back to all rows.
-    classes = nodes.join(final, "node", "left").select("k1", "k2", "low", F.coalesce("label", "node").alias("label"))
+    classes = stored(nodes.join(final, "node", "left").select("k1", "k2", "low", F.coalesce("label", "node").alias("label")), "class-labels")
     lowest = classes.groupBy("label").agg(F.min("low").alias("component_id"))
-    classes = stored(classes.join(lowest, "label").select("k1", "k2", "component_id"), "class-components")
+    classes = stored(spread(classes, lowest, ["label"]).select("k1", "k2", "component_id"), "class-components")
     discard(shared, grouped, members, live, found, hubs, parts)
-    full = base.where("n_shingles > 0").join(classes, ["k1", "k2"]).select("id", "n_shingles", "component_id")
+    full = spread(base.where("n_shingles > 0").select("row", "id", "n_shingles", "k1", "k2"), classes, ["k1", "k2"]).select("id", "n_shingles", "component_id")
     empty = base.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
     return full.unionByName(empty).withColumnRenamed("id", id_col)
 
@@ -454,11 +461,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     """``docs`` with one row of each component, that of the smallest non-null id (of equal rows one); all columns stay."""
     rows = numbered(docs)
     texts = rows.select("row", F.col("doc")[text_col].alias("text"))
-    found = similarity_components(texts, n, num, den, "row", "text").select("row", "component_id")
+    found = stored(similarity_components(texts, n, num, den, "row", "text").select("row", "component_id"), "row-components")
     several = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stored(several.join(found, "component_id").select("component_id", "row"), "repeats")
+    shared = stored(spread(found, several.select("component_id"), ["component_id"]), "repeats")
     ids = rows.select("row", F.col("doc")[id_col].alias("id")).join(sized(shared, shared.count()), "row")
     first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("row"))
     gone = stored(shared.select("row").join(first, "row", "left_anti"), "gone")
-    discard(shared)
+    discard(shared, found)
     return rows.join(sized(gone, gone.count()), "row", "left_anti").select("doc.*")

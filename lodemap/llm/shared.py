@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it was counted and has at most so many rows.
 BROADCAST_ROWS = 200_000
+#: Keys of fewer rows than HOT_ROWS are never split; fewer than HOT_KEYS keys are.
+HOT_ROWS, HOT_KEYS = 50_000, 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -81,6 +83,41 @@ def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def parted(
+    rows: DataFrame, keyed: DataFrame, on: list[str], most: int | None = None, counts: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of a join of ``rows`` with ``keyed``, which has one row a key, and the columns to join on.
+
+    A key of more than ``most`` rows (HOT_ROWS if None), and of more than one in HOT_KEYS of all, is dealt
+    out in parts by the hash of its other columns, and its row of ``keyed`` goes to each
+    part; so no task gets all rows of a key. There are fewer than HOT_KEYS such keys,
+    whatever the input, and only they are broadcast. Null keys join with nothing.
+    ``counts`` is a written table (key, n) of all keys that occur in ``keyed``; without
+    it ``rows`` are counted, so they should be a written table.
+    """
+    most = HOT_ROWS if most is None else most
+    n = rows.count() if counts is None else counts.agg(F.sum("n")).first()[0] or 0
+    if n <= most:
+        return rows, keyed, on
+    part = "_part_" + on[0]
+    if counts is None:
+        counts = rows.groupBy(*on).agg(F.count("*").alias("n"))
+    hot = counts.select(*on, F.ceil(F.col("n") / max(most, n // HOT_KEYS)).cast("int").alias("_parts")).where("_parts > 1")
+    hot, parts = F.broadcast(hot), F.coalesce("_parts", F.lit(1))
+    others = [c for c in rows.columns if c not in on]
+    dealt = rows.join(hot, on, "left").withColumn(part, F.pmod(F.xxhash64(*others), parts).cast("int"))
+    sent = keyed.join(hot, on, "left").withColumn(part, F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.drop("_parts"), sent.drop("_parts"), [*on, part]
+
+
+def spread(
+    rows: DataFrame, keyed: DataFrame, on: list[str], most: int | None = None, counts: DataFrame | None = None, how: str = "inner"
+) -> DataFrame:
+    """The join (inner or left) of what ``parted`` makes of two tables."""
+    dealt, sent, by = parted(rows, keyed, on, most, counts)
+    return dealt.join(sent, by, how).drop(*set(by) - set(on))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
     """Arrow batches in parts of so many rows, so that what a worker makes of one stays small."""
     for batch in batches:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodemap.llm import decontaminate, jaccard, licenses, quality, queries, toxicity
+from lodemap.llm import decontaminate, jaccard, licenses, quality, queries, shared, toxicity
 from lodemap.llm.shared import table
 from tests.compare import assert_same
 from tests.conftest import LARGER, SMALL, TINY
@@ -83,6 +83,35 @@ def test_jaccard_equals_brute_force_on_long_texts_around_the_threshold(spark, n,
     assert 3 < len({r[2] for r in wanted}) < len(docs)
 
 
+def test_jaccard_with_every_frequent_key_split(spark, monkeypatch):
+    """A group of near copies and one of exact copies, a third of all rows each, and parts of three rows a task."""
+    monkeypatch.setattr(shared, "HOT_ROWS", 3)
+    monkeypatch.setattr(jaccard, "PAIRS", 3)
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(80)]
+    docs = [(i, " ".join([f"v{i}", *base[1:]] if i % 2 else [*base[:-1], f"v{i}"])) for i in range(30)]
+    docs += [(100 + i, "one and the same text in many rows") for i in range(30)]
+    docs += [(200 + i, " ".join(f"r{rnd.randrange(400)}" for _ in range(60))) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard.similarity_components(df).collect())
+    assert got == brute_components(docs) and len({r[2] for r in got}) == 32
+    assert jaccard.near_duplicates(df, 3, 90).count() == 32
+
+
+def test_spread_is_the_join(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_ROWS", 4)
+    rows = spark.createDataFrame([(k, i) for k in (1, 2, None, 5) for i in range(k or 9)] + [(7, i) for i in range(40)], "k int, v int")
+    keyed = spark.createDataFrame([(1, "a"), (5, "b"), (7, "c"), (8, "d")], "k int, w string")
+    counts = rows.groupBy("k").agg(F.count("*").alias("n")).where("k is not null")
+    for how in ("inner", "left"):
+        wanted = sorted(rows.join(keyed, ["k"], how).collect(), key=repr)
+        for known in (None, counts):
+            assert sorted(shared.spread(rows, keyed, ["k"], counts=known, how=how).collect(), key=repr) == wanted
+    dealt, sent, by = shared.parted(rows, keyed, ["k"])
+    assert by == ["k", "_part_k"] and dealt.groupBy(*by).count().where("k = 7").count() == 10 == sent.where("k = 7").count()
+    assert shared.spread(rows.limit(0), keyed, ["k"]).count() == 0
+
+
 def test_kept_blocks_lose_hardly_any_link():
     """Differences dealt at random, as many as a link may have: the bound on the blocks that stay equal holds with room."""
     rng = np.random.default_rng(1)
