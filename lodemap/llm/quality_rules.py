@@ -39,8 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quality import trusted
-from .shared import sized, slices, stored
+from .shared import sized, slices, stored, trusted
 
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
