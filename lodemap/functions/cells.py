@@ -56,15 +56,24 @@ def clean_cell(cell: Column) -> Column:
     return F.when(~value.isin(*NULL_TOKENS), value)
 
 
+def bare(cell: Column) -> Column:
+    """A cell without currency marks and blanks; most hold neither, and one test spares them the two passes."""
+    return F.when(cell.rlike(r"^[0-9.,()+-]*\z"), cell).otherwise(F.regexp_replace(F.regexp_replace(cell, CURRENCY, ""), r"[\s\xa0 ]", ""))
+
+
+def bare_number(text: Column, decimal_comma: Column | bool = False) -> Column:
+    """A number in a ``bare`` cell: grouping, ``(x)`` as negative; null if there is none."""
+    negative = F.startswith(text, F.lit("(")) & F.endswith(text, F.lit(")"))
+    inner = F.when(negative, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
+    comma = F.lit(decimal_comma) if isinstance(decimal_comma, bool) else decimal_comma
+    plain = F.replace(inner, F.lit(","), F.when(comma, F.lit(".")).otherwise(F.lit("")))
+    number = F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain.try_cast("double"))
+    return number * F.when(negative, -1.0).otherwise(1.0)
+
+
 def to_number(cell: Column, decimal_comma: Column | bool = False) -> Column:
     """A number in a cell: currency marks, grouping, ``(x)`` as negative; null if there is none."""
-    text = F.regexp_replace(F.regexp_replace(cell, CURRENCY, ""), r"[\s ]", "")
-    negative = text.rlike(r"^\(.*\)$")
-    text = F.regexp_replace(text, r"^\((.*)\)$", "$1")
-    comma = F.lit(decimal_comma) if isinstance(decimal_comma, bool) else decimal_comma
-    text = F.when(comma, F.replace(text, F.lit(","), F.lit("."))).otherwise(F.replace(text, F.lit(","), F.lit("")))
-    number = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
-    return F.when(negative, -number).otherwise(number)
+    return bare_number(bare(cell), decimal_comma)
 
 
 def to_bool(cell: Column) -> Column:
@@ -111,24 +120,80 @@ class Vote:
     reasons: tuple[str, ...] = ()
 
 
-def vote_columns(column: str) -> list[Column]:
-    """Counts of one column's readings, as aggregates: ``<n>|<what>``."""
-    cell = clean_cell(F.col(f"`{column}`"))
-    number, comma_number = to_number(cell), to_number(cell, True)
-    comma_style = cell.rlike(r"^[+-]?\d+,\d{1,2}$")
-    with_comma = F.contains(cell, F.lit(",")) & ~F.contains(cell, F.lit("."))
-    out = {
-        "n": F.count(cell),
-        "number": F.count(number),
-        "whole": F.count_if(number == F.floor(number)),
-        "whole_comma": F.count_if(comma_number == F.floor(comma_number)),
-        "with_comma": F.count_if(with_comma),
-        "comma_style": F.count_if(with_comma & comma_style),
-        "bool": F.count(to_bool(cell)),
+def _masks(layout: str) -> list[str]:
+    """What cells of a reading without names of months look like, each digit as D."""
+    out = [""]
+    for part in re.findall(r"y+|M+|d+|[Hms]|'T'|.", layout):
+        if part[0] in "yMdHms":
+            sizes = (len(part),) if part[0] == "y" or len(part) > 1 else (1, 2)
+            out = [o + "D" * n for o in out for n in sizes]
+        else:
+            out = [o + part.strip("'") for o in out]
+    return out
+
+
+#: Readings by mask; those with names of months are parsed.
+NAMED = tuple(f for f in FORMATS if "MMM" in f)
+MASKS: dict[str, list[str]] = {}
+for _f in FORMATS:
+    for _m in _masks(_f) if _f not in NAMED else ():
+        MASKS.setdefault(_m, []).append(_f)
+
+
+def _is_day(year: Column, month: Column, day: Column) -> Column:
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    last = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    return month.between(1, 12) & (day >= 1) & (day <= last)
+
+
+def _order(layout: str) -> str:
+    """Of year, month and day: ymd, dmy or mdy."""
+    return "".join(sorted("ymd", key=lambda c: layout.replace("m", "").lower().index(c)))
+
+
+def count_readings(df: DataFrame, columns: list[str]) -> dict[str, dict[str, int]]:
+    """For each column how many cells there are (``n``), and how many each reading accepts.
+
+    A cell is cleaned once.  Dates in digits are told by the cell's mask and by whether
+    its numbers are a day and a time in any order, without parsing it once a reading.
+    Cells are counted by mask and marks, of which there are few, in one grouping.
+    """
+    cells = [F.struct(F.lit(i).alias("col"), F.col(f"`{c}`").cast("string").alias("cell")) for i, c in enumerate(columns)]
+    rows = df.select(F.explode(F.array(*cells)).alias("c")).select("c.col", clean_cell(F.col("c.cell")).alias("cell")).where("cell is not null")
+    cell, mask = F.col("cell"), F.translate("cell", "0123456789D", "DDDDDDDDDDx")
+    rows = rows.select("col", "cell", F.when(mask.isin(*MASKS), mask).alias("mask"), cell.rlike(r"\p{L}").alias("lettered"), F.contains(cell, F.lit(",")).alias("comma"), bare(cell).alias("bare"))
+    rows = rows.select("*", bare_number(F.col("bare")).alias("number"), F.when(F.col("comma"), bare_number(F.col("bare"), True)).alias("number2"))
+    dated = F.when(_mask_is("DDDDDDDD"), F.concat_ws(" ", F.substring("cell", 1, 4), F.substring("cell", 5, 2), F.substring("cell", 7, 2))).otherwise(F.translate("cell", "-/.T:", "     "))
+    rows = rows.select("*", F.when(F.col("mask").isNotNull(), F.split(dated, " ")).alias("parts"))
+    part = lambda k, other=None: F.coalesce(F.get("parts", F.lit(k)).try_cast("int"), F.lit(other))
+    rows = rows.select("*", *[part(k).alias(f"p{k}") for k in range(3)], ((part(3, 0) < 24) & (part(4, 0) < 60) & (part(5, 0) < 60)).alias("timed"))
+    year = lambda c: F.when(F.length(F.get("parts", F.lit(int(c[1])))) == 2, F.col(c) + 2000).otherwise(F.col(c))
+    marks = {order: F.col("mask").isNotNull() & F.col("timed") & _is_day(year(f"p{order.index('y')}"), F.col(f"p{order.index('m')}"), F.col(f"p{order.index('d')}")) for order in ("ymd", "dmy", "mdy")}
+    comma_number = F.when(F.col("comma"), F.col("number2")).otherwise(F.col("number"))
+    with_comma = F.col("comma") & ~F.contains(cell, F.lit("."))
+    marks |= {
+        "number": F.col("number").isNotNull(),
+        "whole": F.col("number") == F.floor("number"),
+        "whole_comma": comma_number == F.floor(comma_number),
+        "with_comma": with_comma,
+        "comma_style": with_comma & cell.rlike(r"^[+-]?\d+,\d{1,2}$"),
+        "bool": to_bool(cell).isNotNull(),
+        "worded": F.col("lettered") & in_words(cell),
     }
-    out["worded"] = F.count_if(in_words(cell))
-    out |= {f"date{i}": F.count(to_time(cell, f)) for i, f in enumerate(FORMATS)}
-    return [c.alias(f"{column}|{k}") for k, c in out.items()]
+    marks |= {f"date{FORMATS.index(f)}": F.col("lettered") & to_time(cell, f).isNotNull() for f in NAMED}
+    told = rows.groupBy("col", "mask", *[F.coalesce(c, F.lit(False)).alias(k) for k, c in marks.items()]).agg(F.count("*").alias("n"))
+    out = {c: dict.fromkeys(["n", *list(marks)[3:], *[f"date{i}" for i in range(len(FORMATS))]], 0) for c in columns}
+    for r in told.collect():  # a row for each mask and set of marks
+        counts = out[columns[r["col"]]]
+        for k in ["n", *list(marks)[3:]]:
+            counts[k] += r["n"] if k == "n" or r[k] else 0
+        for f in MASKS.get(r["mask"], ()):
+            counts[f"date{FORMATS.index(f)}"] += r["n"] if r[_order(f)] else 0
+    return out
+
+
+def _mask_is(mask: str) -> Column:
+    return F.coalesce(F.col("mask") == mask, F.lit(False))
 
 
 def decide(counts: dict[str, int], least: float = LEAST_SHARE) -> Vote:
@@ -156,8 +221,7 @@ def decide(counts: dict[str, int], least: float = LEAST_SHARE) -> Vote:
 def votes(df: DataFrame, columns: list[str] | None = None, least: float = LEAST_SHARE) -> dict[str, Vote]:
     """The type of every column, by one aggregate over all rows; dates in words are read in another, of the columns that look like them."""
     columns = columns or df.columns
-    row = df.agg(*[a for c in columns for a in vote_columns(c)]).first().asDict()
-    counts = {c: {k.rpartition("|")[2]: v for k, v in row.items() if k.rpartition("|")[0] == c} for c in columns}
+    counts = count_readings(df, columns)
     asked = [c for c in columns if counts[c]["n"] and counts[c]["worded"] / counts[c]["n"] >= least]
     if asked:
         read = df.agg(*[F.count(natural_date(clean_cell(F.col(f"`{c}`")), F.current_timestamp())).alias(c) for c in asked]).first()
@@ -168,9 +232,15 @@ def votes(df: DataFrame, columns: list[str] | None = None, least: float = LEAST_
 
 def cast_cell(cell: Column, dtype: str, vote: Vote | None = None) -> Column:
     """A cell in its logical type; what can't be read is null."""
-    value, dtype = clean_cell(cell), dtype_of(dtype)
+    value = clean_cell(cell)
+    return cast_clean(value, bare(value), dtype, vote)
+
+
+def cast_clean(value: Column, text: Column, dtype: str, vote: Vote | None = None) -> Column:
+    """The same of a clean cell; ``text`` is what ``bare`` makes of it, for numbers."""
+    dtype = dtype_of(dtype)
     if dtype in ("int", "float"):
-        number = to_number(value, bool(vote and vote.decimal_comma))
+        number = bare_number(text, bool(vote and vote.decimal_comma))
         return F.when(number == F.floor(number), number.cast("long")) if dtype == "int" else number
     if dtype == "bool":
         return to_bool(value)

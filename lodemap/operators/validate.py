@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import clean_cell, decide, dtype_of, vote_columns
+from ..functions.cells import clean_cell, count_readings, decide, dtype_of
 from ..functions.text import signature
 
 # Weights and scores of the parts.
@@ -32,26 +32,33 @@ def header_score(name: str, names: list[str]) -> tuple[float, list[str]]:
 def validate(df: DataFrame, declared: dict[str, str]) -> DataFrame:
     """(col, dtype, type_score, meaning_score, header_score, confidence double, reasons string) of each declared column.
 
-    One aggregate over all rows counts what parses in all columns; the scores are
-    arithmetic on those counts.
+    One grouping over all rows counts what parses in all columns, others find the most
+    frequent signatures and the distinct values, of the columns whose scores ask for
+    them; the scores are arithmetic on those counts.
     """
     df = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in declared])
-    more = [
-        x
-        for c in declared
-        for x in (
-            F.count_distinct(clean_cell(F.col(f"`{c}`"))).alias(f"{c}|distinct"),
-            F.mode(signature(clean_cell(F.col(f"`{c}`"))), True).alias(f"{c}|signature"),
-        )
-    ]
-    row = df.agg(*[a for c in declared for a in vote_columns(c)], *more).first().asDict()
+    kinds = {c: dtype_of(kind) for c, kind in declared.items()}
+    found = count_readings(df, list(declared))
+    signed = _cells(df, [c for c, k in kinds.items() if k in ("int", "float", "date", "datetime")])
+    signed = signed.groupBy("col", signature(F.col("cell")).alias("signature")).agg(F.count("*").alias("n"))
+    most = {r["col"]: r["s"] for r in signed.groupBy("col").agg(F.min_by("signature", F.struct(-F.col("n"), "signature")).alias("s")).collect()}
+    values = _cells(df, [c for c, k in kinds.items() if k in ("bool", "category")]).distinct()
+    distinct = {r["col"]: r["n"] for r in values.groupBy("col").agg(F.count("*").alias("n")).collect()}
     rows = []
-    for name, kind in declared.items():
-        counts = {k.rpartition("|")[2]: v for k, v in row.items() if k.rpartition("|")[0] == name}
-        rows.append(score_column(name, dtype_of(kind), counts, list(declared)))
+    for name, kind in kinds.items():
+        counts = found[name] | {"signature": most.get(name), "distinct": distinct.get(name, 0)}
+        rows.append(score_column(name, kind, counts, list(declared)))
     return df.sparkSession.createDataFrame(rows, "col string, dtype string, type_score double, meaning_score double, header_score double, confidence double, reasons string")
 
 
+def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(col, cell) of the cells that hold something."""
+    cells = [F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").alias("cell")) for c in columns]
+    if not cells:
+        return df.select(F.lit("").alias("col"), F.lit("").alias("cell")).where(F.lit(False))
+    return df.select(F.explode(F.array(*cells)).alias("c")).select("c.col", clean_cell(F.col("c.cell")).alias("cell")).where("cell is not null")
+
+
 def score_column(name: str, dtype: str, counts: dict[str, int], names: list[str]) -> tuple:
     n, pattern = counts["n"], counts["signature"] or ""
     vote = decide(counts)
