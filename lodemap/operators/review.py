@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import cast_cell, dtype_of, scaled, votes
+from ..functions.cells import bare, cast_clean, clean_cell, dtype_of, scaled, votes
 
 #: Corrections that change data, against those that only change names and notes.
 STRUCTURAL = frozenset("set_dtype rename_column scale_column set_header_row add_column remove_column add_link edit_link remove_link".split())
@@ -36,22 +36,28 @@ def apply_header(raw: DataFrame, header_row: int, columns: list[tuple[str, str,
     """Rows below the header, with (name, type, factor) for each column by position; rows without any cell go.
 
     ``_row_id`` stays, so order can be asked for later.  One aggregate votes on
-    dates and decimal commas of all columns, then one projection casts.
+    dates and decimal commas of all columns, then cells are cleaned, once, and cast.
     """
     cols = [c for c in raw.columns if c != "_row_id"]
     body = raw.where(F.col("_row_id") > header_row)
     asked = [c for c, (_, kind, _) in zip(cols, columns) if dtype_of(kind) in ("date", "datetime", "float", "int")]
     found = votes(body, asked) if asked else {}
-    out = [F.col("_row_id")]
+    used = cols[: len(columns)]
+    clean = body.select("_row_id", *[clean_cell(F.col(c)).alias(c) for c in used])
+    clean = clean.select("*", *[bare(F.col(c)).alias(f"{c}|bare") for c, (_, kind, _) in zip(used, columns) if dtype_of(kind) in ("int", "float")])
+    out, names = [], []
     for i, (name, kind, factor) in enumerate(columns):
         cell = F.col(cols[i]) if i < len(cols) else F.lit(None).cast("string")
-        value = cast_cell(cell, kind, found.get(cols[i]) if i < len(cols) else None)
+        text = F.col(f"`{cols[i]}|bare`") if i < len(cols) and dtype_of(kind) in ("int", "float") else cell
+        value = cast_clean(cell, text, kind, found.get(cols[i]) if i < len(cols) else None)
         if factor is not None:
             value = scaled(value if dtype_of(kind) in ("int", "float") else value.try_cast("double"), factor, dtype_of(kind) == "int")
         meta = {"category": True} if dtype_of(kind) == "category" else {}
-        out.append(value.alias(name, metadata=meta))
-    kept = body.select(*out)
-    return kept.dropna("all", subset=[n for n, _, _ in columns])
+        out.append(value.alias(f"v{i}"))
+        names.append(F.col(f"v{i}").alias(name, metadata=meta))
+    # a row of its own, so that the test of what it holds isn't moved before the casts, which would be done again for it
+    kept = clean.select("_row_id", F.inline(F.array(F.struct(*out))))
+    return kept.dropna("all", subset=[f"v{i}" for i in range(len(columns))]).select("_row_id", *names)
 
 
 def preview(df: DataFrame, limit: int = 12) -> DataFrame:
