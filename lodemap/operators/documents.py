@@ -217,7 +217,9 @@ def _chunked(docs: DataFrame, id_col: str, kind: str) -> DataFrame:
 
 def word_chunks(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """(id_col, keep, chunk int, text): each run of ``size`` blank-separated words of plain text that has no headings."""
-    words = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[ \t\n\r]+"), lambda w: w != "")
+    blank = F.coalesce(F.col(text_col), F.lit(""))
+    for c in "\t\n\r":
+        blank = F.replace(blank, F.lit(c), F.lit(" "))
+    rows = docs.select(id_col, *keep, F.array_remove(F.split(blank, " "), "").alias("_w"))
     parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("_w") - 1) / size).cast("int"))), lambda k: F.array_join(F.slice("_w", k * size + 1, size), " "))
-    rows = docs.select(id_col, *keep, words.alias("_w")).where(F.size("_w") > 0)
-    return rows.select(id_col, *keep, F.posexplode(parts).alias("chunk", "text"))
+    return rows.select(id_col, *keep, F.posexplode(F.filter(parts, lambda p: p != "")).alias("chunk", "text"))  # a text without words has one empty part

@@ -1,9 +1,11 @@
 """Positional full-text index over chunks: postings by term, questions with and, or, not and phrases, BM25.
 
-``build`` writes three tables.  A posting is a row of (term, chunk, its positions),
-in ranges of (term, chunk), so a term that a third of all chunks hold is many rows in
-many files, and a question reads the row groups of its own terms only.  What a question
-gathers of a chunk is at most one posting for each of its terms.
+``build`` writes three tables.  A posting is a row of (term, chunk, length of the chunk,
+position).  Each task sorts the postings of its own chunks by term into a segment (by
+the term's hash, ``place``: numbers are sorted without comparing rows), so
+nothing is shuffled but the chunks, a term that a third of all chunks hold is many rows in
+many files, and a question reads the pages of its own terms only.  What a question
+gathers of a chunk is a count for each of its terms, and positions for those in phrases.
 
 Words are runs of letters and digits in lower case; their ends are cut by the first
 steps of Porter's rules; stop words are not indexed but keep their place, so that
@@ -35,21 +37,22 @@ STOP = (
 
 
 #: Ends of words and what they become, one after the other: plurals, -ed and -ing (with an e or one of two consonants), y after a vowel.
-ENDS = (
-    ("(ss|i)es$", "$1"),
-    ("([^sui])s$", "$1"),
-    ("(at|iz|[aeiouy].*bl)(?:ing|ed)$", "$1e"),
-    (r"([aeiouy].*?)(?:(?<=([bdfgmnprt]))\2)?(?:ing|ed)$", "$1"),
-    ("([aeiouy].*)y$", "$1i"),
-)
+PLURAL = ("(?:(?:(?<=ss)|(?<=i))es|(?<=[^sui])s)$", "")
+WHOLE = ("(at|iz|[aeiouy].*bl)(?:ing|ed)$", "$1e")
+BARE = (r"([aeiouy].*?)(?:(?<=([bdfgmnprt]))\2)?(?:ing|ed)$", "$1")
+VOWEL_Y = ("([aeiouy].*)y$", "$1i")
 
 
 def stem(word: Column) -> Column:
-    """A word without the ends of plurals, -ed and -ing; y after a vowel's syllable is i. Short words stay."""
-    cut = word
-    for end, kept in ENDS:
-        cut = F.regexp_replace(cut, end, kept)
-    return F.when((F.length(word) > 3) & word.rlike("(s|ed|ing|y)$"), cut).otherwise(word)
+    """A word without the ends of plurals, -ed and -ing; y after a vowel's syllable is i. Short words stay.
+
+    Rules for -ing and -ed are tried on words that have these ends, maybe before an s.
+    """
+    single = F.regexp_replace(word, *PLURAL)
+    whole = F.regexp_replace(F.regexp_replace(single, *WHOLE), *BARE)
+    inflected = word.endswith("ing") | word.endswith("ed") | word.endswith("ings") | word.endswith("eds")
+    ends = F.when(F.length(word) <= 3, word).when(inflected, F.regexp_replace(whole, *VOWEL_Y))
+    return ends.when(word.endswith("s") | word.endswith("y"), F.regexp_replace(single, *VOWEL_Y)).otherwise(word)
 
 
 @dataclass(frozen=True)
@@ -65,16 +68,19 @@ class Index:
 
 
 def build(chunks: DataFrame, path: str, keys: Sequence[str] = ("doc_id", "chunk"), text_col: str = "text", scope: Sequence[str] = (), stop: Sequence[str] = STOP) -> Index:
-    """Writes the postings, the chunks with their lengths and the sums over all chunks under ``path``."""
+    """Writes the chunks, the postings with the lengths of their chunks and the sums over all chunks under ``path``."""
     named = [*keys, *scope]
-    words = F.posexplode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), 1)).alias("_pos", "_word")
-    placed = chunks.select(*named, words).where(~F.col("_word").isin(*stop) if stop else F.lit(True))
-    postings = placed.groupBy(*named, stem(F.col("_word")).alias("term")).agg(F.array_sort(F.collect_list("_pos")).alias("positions"))
-    postings.repartitionByRange("term", *keys).sortWithinPartitions("term", *keys).write.mode("overwrite").parquet(f"{path}/postings")
     spark, index = chunks.sparkSession, Index(path, tuple(keys), tuple(scope))
-    sizes = index.read(spark, "postings").groupBy(*keys).agg(F.sum(F.size("positions")).alias("n_terms"))
-    chunks.join(sizes, list(keys), "left").fillna(0, ["n_terms"]).write.mode("overwrite").parquet(f"{path}/chunks")
-    facts = index.read(spark, "chunks").agg(F.count("*").alias("chunks"), F.sum("n_terms").alias("terms"))
+    chunks.repartition(*keys).write.mode("overwrite").parquet(f"{path}/chunks")
+    words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), 1)
+    # Stems are made inside the array: as columns of exploded rows they make one method with sort and explode that Java doesn't compile.
+    terms = F.transform(words, lambda w: F.when(~w.isin(*stop), stem(w)) if stop else stem(w))
+    placed = index.read(spark, "chunks").select(*named, terms.alias("_terms"))
+    sized = placed.select(*named, "_terms", F.size(F.filter("_terms", lambda t: t.isNotNull())).alias("n_terms"))
+    # Not outer, Spark would find the words again to ask whether there are any.
+    postings = sized.select(*named, "n_terms", F.posexplode_outer("_terms").alias("pos", "term")).where("term is not null").withColumn("place", F.xxhash64("term"))
+    postings.sortWithinPartitions("place").write.mode("overwrite").parquet(f"{path}/postings")
+    facts = index.read(spark, "chunks").agg(F.count("*").alias("chunks")).crossJoin(index.read(spark, "postings").agg(F.count("*").alias("terms")))  # one row each
     facts.write.mode("overwrite").parquet(f"{path}/facts")
     return index
 
@@ -113,23 +119,30 @@ def search(spark: SparkSession, index: Index, question: str, k: int | None = Non
     if not ways:
         return none
     terms = sorted(set(stems.values()))
-    held = index.read(spark, "postings").where(F.col("term").isin(*terms))
-    counts = {r["term"]: r["n"] for r in held.groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row for each term asked for
+    placed = {w for way in ways for _, words in way if sum(map(bool, words)) > 1 for w in words if w}
+    number = {t: i for i, t in enumerate(terms)}
+    held = index.read(spark, "postings").where(F.col("place").isin(*[F.xxhash64(F.lit(t)) for t in terms]) & F.col("term").isin(*terms))
+    here = {t: F.col("term") == t for t in terms}
+    tfs = [F.count_if(here[t]).alias(f"_n{number[t]}") for t in terms]
+    counted = held.groupBy(*keys, *index.scope).agg(*tfs)
+    dfs = counted.agg(*[F.count_if(F.col(f"_n{number[t]}") > 0).alias(f"_n{number[t]}") for t in terms]).first()
     facts = index.read(spark, "facts").first()
     wanted = sorted({w for way in ways for no, words in way if not no for w in words if w})
     if within is not None:
         held = held.where(within)
-    found = held.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("_at"))
-    only_not = any(all(no for no, _ in way) for way in ways)
-    sizes = scoped.select(*keys, "n_terms")
-    rows = sizes.join(found, keys, "left" if only_not else "inner")
-    at = lambda t: F.coalesce(F.try_element_at("_at", F.lit(t)), F.array().cast("array<int>"))
+    at = [F.collect_list(F.when(here[t], F.col("pos"))).alias(f"_at{number[t]}") for t in sorted(placed)]
+    rows = held.groupBy(*keys).agg(F.max("n_terms").alias("n_terms"), *tfs, *at)
+    if any(all(no for no, _ in way) for way in ways):
+        rows = scoped.select(*keys).join(rows, keys, "left").fillna(0, ["n_terms", *[f"_n{i}" for i in number.values()]])
+    else:
+        rows = rows.dropna(subset=keys)
 
     def phrase(words: list[str | None]) -> Column:
         there = [(i, w) for i, w in enumerate(words) if w]
         (first, w), rest = there[0], there[1:]
+        at = lambda t: F.coalesce(F.col(f"_at{number[t]}"), F.array().cast("array<int>"))
         ok = lambda p: _all(F.array_contains(at(t), p + (i - first)) for i, t in rest)
-        return F.exists(at(w), ok) if rest else F.size(at(w)) > 0
+        return F.exists(at(w), ok) if rest else F.col(f"_n{number[w]}") > 0
 
     match = None
     for way in ways:
@@ -138,7 +151,7 @@ def search(spark: SparkSession, index: Index, question: str, k: int | None = Non
     mean = max(1.0, (facts["terms"] or 0) / max(1, facts["chunks"]))
     score: Column = F.lit(0.0)
     for t in wanted:
-        tf, df = F.size(at(t)), counts.get(t, 0)
+        tf, df = F.col(f"_n{number[t]}"), dfs[f"_n{number[t]}"]
         idf = F.ln(F.lit(1 + (facts["chunks"] - df + 0.5) / (df + 0.5)))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_terms") / mean))
     out = rows.where(match).select(*keys, score.alias("score"))

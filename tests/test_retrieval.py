@@ -148,3 +148,15 @@ def test_vectors_equal_brute_force_and_are_checked(spark):
         embeddings.embedded(df, "few", 4).collect()
     with pytest.raises(KeyError):
         embeddings.provider("unheard of")
+
+
+def test_an_index_shuffles_chunks_only(spark, tmp_path):
+    """Postings are sorted where they are made: no exchange, no words found twice, and texts without words are chunks."""
+    df = spark.createDataFrame([("a", 0, "Cats and things"), ("b", 0, "the"), ("c", 0, "")], "doc_id string, chunk int, text string")
+    index = fulltext.build(df, f"file://{tmp_path}/i")
+    rows = {(r["doc_id"], r["term"], r["pos"], r["n_terms"]) for r in index.read(spark, "postings").collect()}
+    assert rows == {("a", "cat", 0, 2), ("a", "thing", 2, 2)}
+    assert index.read(spark, "facts").first().asDict() == {"chunks": 3, "terms": 2}
+    assert {r["doc_id"] for r in fulltext.search(spark, index, "-cat").collect()} == {"b", "c"}
+    plan = index.read(spark, "postings").where(F.col("place") == F.xxhash64(F.lit("cat")))._jdf.queryExecution().toString()
+    assert re.search(r"PushedFilters: \[.*place", plan)
