@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
@@ -13,6 +14,7 @@ from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 Provider = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 #: Texts of a call and the dimension of the default provider.
 BATCH, DIMENSION = 64, 256
+KNOWN = 400_000  # words whose places a task remembers
 
 _PROVIDERS: dict[str, Callable[[int], Provider]] = {}
 
@@ -33,26 +35,30 @@ def provider(name: str, dimension: int = DIMENSION) -> Provider:
     return _PROVIDERS[key](dimension)
 
 
-def feature_hash(dimension: int) -> Provider:
-    """Signed counts of a text's words by hash: whole numbers, the same on every machine, needing no model."""
-    known: dict[str, tuple[int, int]] = {}
+class _Places(dict):
+    """Where a word counts: twice its component, one more if it counts down."""
 
-    def place(word: str) -> tuple[int, int]:
+    def __init__(self, dimension: int):
+        self.dimension = dimension
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
         digest = hashlib.md5(word.encode()).hexdigest()
-        return int(digest[:8], 16) % dimension, 1 - 2 * (int(digest[8], 16) & 1)
+        found = self[word] = 2 * (int(digest[:8], 16) % self.dimension) + (int(digest[8], 16) & 1)
+        return found
+
+
+def feature_hash(dimension: int) -> Provider:
+    """Signed counts of a text's words by hash: whole numbers, the same on every machine, needing no model."""
+    known = _Places(dimension)
 
     def vectors(texts: Sequence[str]) -> list[list[float]]:
         out = []
         for text in texts:
-            v = [0.0] * dimension
-            for word in re.findall(r"[^\W_]+", text.lower()):
-                if word not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    known[word] = place(word)
-                at, sign = known[word]
-                v[at] += sign
-            out.append(v)
+            places = [known[w] for w in re.findall(r"[^\W_]+", text.lower())]
+            counts = np.bincount(np.array(places, np.int64), minlength=2 * dimension)
+            out.append((counts[0::2] - counts[1::2]).astype(float).tolist())
         return out
 
     return vectors
@@ -79,7 +85,8 @@ def embedded(chunks: DataFrame, name: str = "feature-hash", dimension: int = DIM
             for start in range(0, rows.num_rows, batch):
                 part = rows.slice(start, batch)
                 texts = [t or "" for t in part.column(place).to_pylist()]
-                found = pa.array([list(map(float, v)) for v in checked(made(texts), len(texts), dimension)], pa.list_(pa.float32()))
+                flat = pa.array([float(x) for v in checked(made(texts), len(texts), dimension) for x in v], pa.float32())
+                found = pa.ListArray.from_arrays(pa.array(range(0, len(flat) + 1, dimension), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, out_col])
 
     return chunks.mapInArrow(run, StructType([*chunks.schema, StructField(out_col, ArrayType(FloatType()))]))

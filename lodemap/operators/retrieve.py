@@ -30,7 +30,7 @@ def wanted(top_n: int) -> int:
 def ranked(scores: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     """(keys, rank) of the k best of (keys, score): ties in the order of chunks, then of documents. Each task keeps its own k best."""
     order = [F.desc("score"), *[F.col(c) for c in reversed(keys)]]
-    best = scores.withColumn("score", F.round("score", 6)).orderBy(*order).limit(k)
+    best = scores.withColumn("score", F.round("score", 6)).orderBy(*order).limit(k).where("score is not null")  # nulls come last; asked before, each score would be made twice
     return best.select(*keys, F.row_number().over(Window.orderBy(*order)).alias("rank"))  # k rows
 
 
@@ -63,7 +63,7 @@ def hybrid(
     if within is not None:
         vectors = vectors.where(within)
     asked = embeddings.embedded_query(question, name, dimension)
-    near = nearest(vectors.withColumn("_k", F.struct(*keys)), asked, "_k").where("score is not null").select("_k.*", "score")
+    near = nearest(vectors.withColumn("_k", F.struct(*keys)), asked, "_k").select("_k.*", "score")
     lists = ranked(fulltext.search(spark, index, question, None, within), keys, k).unionByName(ranked(near, keys, k))
     fused = lists.groupBy(*keys).agg(F.sum(1 / (RRF + F.col("rank"))).alias("score"))
     order = [F.round("score", 8).desc(), *[F.col(c) for c in reversed(keys)]]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,16 +34,15 @@ def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: st
     return held.select(id_col, score.alias("score"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """The cosine of two vectors; null if one of them has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
 def nearest(vectors: DataFrame, query: list[float], id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id_col, score): cosine of every vector with the query's, exact."""
-    asked = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.select(id_col, cosine(F.col(vector_col), asked).alias("score"))
+    """(id_col, score): cosine of every vector with the query's, exact; null if one of them has no length."""
+    asked, length = [float(x) for x in query], 0.0
+    for x in asked:
+        length += x * x
+    v, double = F.col(vector_col), lambda x: x.cast("double")
+    dot = F.aggregate(F.zip_with(v, F.array(*map(F.lit, asked)), lambda p, q: double(p) * q), F.lit(0.0), lambda s, x: s + x)
+    own = F.aggregate(v, F.lit(0.0), lambda s, x: s + double(x) * double(x))
+    return vectors.select(id_col, F.try_divide(dot, F.sqrt(own) * F.lit(math.sqrt(length))).alias("score"))
 
 
 def best(scores: DataFrame, k: int, id_col: str) -> DataFrame:

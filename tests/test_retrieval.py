@@ -160,3 +160,9 @@ def test_an_index_shuffles_chunks_only(spark, tmp_path):
     assert {r["doc_id"] for r in fulltext.search(spark, index, "-cat").collect()} == {"b", "c"}
     plan = index.read(spark, "postings").where(F.col("place") == F.xxhash64(F.lit("cat")))._jdf.queryExecution().toString()
     assert re.search(r"PushedFilters: \[.*place", plan)
+
+
+def test_hits_without_a_score_have_no_rank(spark):
+    """They are left out after the best were taken: a filter before makes every score twice."""
+    scores = spark.createDataFrame([("a", 0, None), ("b", 0, 0.5)], "doc_id string, chunk int, score double")
+    assert [tuple(r) for r in retrieve.ranked(scores, ["doc_id", "chunk"], 2).collect()] == [("b", 0, 1)]
