@@ -8,6 +8,10 @@ Null and empty texts go at the first stage; an empty table passes through all of
 them.  Null and repeated ids are rows like others; of equal near duplicates one
 stays, else the one with the smallest id.  Other columns are passed on, whatever
 they are called.
+
+The stages set the session's ``spark.sql.execution.arrow.maxBytesPerBatch`` to
+``BATCH_BYTES``: each task holds a batch of texts that goes to Python several times
+beside the executor's heap, and Spark's own bound is 64 MB.
 """
 
 from __future__ import annotations
@@ -18,24 +22,36 @@ from pyspark.sql import DataFrame, SparkSession
 from lodemap.llm import bpe, decontaminate, jaccard, quality, toxicity
 from lodemap.llm.shared import stored, table
 
+#: Bytes of an Arrow batch that goes to Python, about; it holds one row at least.
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return jaccard.near_duplicates(docs)
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("decoded")
 
 

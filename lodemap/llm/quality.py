@@ -85,16 +85,19 @@ def train(docs: DataFrame, text_col: str = "text") -> Model | None:
     return Model(table) if folds else None
 
 
-def logs(docs: DataFrame, lm: Arrays, text_col: str) -> DataFrame:
-    """``docs`` and ``_logs``: the sum of the logarithms of a text's characters and its end that fall into the shard."""
-    shared, place = docs.sparkSession.sparkContext.broadcast(lm), docs.columns.index(text_col)
+def logs(rows: DataFrame, lm: Arrays, text_col: str) -> DataFrame:
+    """Structs ``doc`` and ``_logs``: the sum of the logarithms of a text's characters and its end that fall into the shard.
+
+    The text is read inside the struct, so that tasks don't hold it twice.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(lm)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 100):
-            found = sums([("", t or "") for t in batch.column(place).to_pylist()], shared.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "_logs"])
+            found = sums([("", t or "") for t in batch.column(0).field(text_col).to_pylist()], shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc", "_logs"])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(None).cast("double").alias("_logs")).schema)
+    return rows.select("doc").mapInArrow(run, rows.select("doc", F.lit(None).cast("double").alias("_logs")).schema)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -102,12 +105,12 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     text = F.col("doc")[text_col]
     rows = docs.select(F.struct("*").alias("doc"))
     if model.shards == 1:
-        out = logs(rows.select("doc", text.alias("_text")), model.shard(0), "_text")
+        out = logs(rows, model.shard(0), text_col)
     else:
         marked, parts = rows.select("doc", F.md5(text).alias("_mark")), None
         for k in range(model.shards):
-            one = logs(rows.select(F.md5(text).alias("_mark"), text.alias("_text")).where("_text <> ''"), model.shard(k), "_text")
-            one = stored(one.groupBy("_mark").agg(F.max("_logs").alias("_logs"), F.count("*").alias("n")), "logs")
+            one = logs(rows.where(text != "").select(F.struct(F.md5(text).alias("_mark"), text.alias("_text")).alias("doc")), model.shard(k), "_text")
+            one = stored(one.groupBy("doc._mark").agg(F.max("_logs").alias("_logs"), F.count("*").alias("n")), "logs")
             parts = one if parts is None else parts.unionByName(one)
         total = stored(parts.groupBy("_mark").agg(F.sum("_logs").alias("_logs"), F.max("n").alias("n")), "logs")
         out = spread(marked, total.drop("n"), ["_mark"], counts=total.select("_mark", "n"), how="left")

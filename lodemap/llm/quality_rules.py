@@ -50,6 +50,8 @@ LOW, HIGH, MARGIN, LEAST = 0.001, 0.999, 0.5, 40
 UNIFORM = 1 / 65_536
 #: Entries of the arrays that a task holds; code points of a slice that are scored at once; n-grams that a task counts before it hands them on.
 HELD, PIECE, COUNTED = 6_000_000, 400_000, 400_000
+#: Code points whose n-grams a task counts at once (texts of a slice and pieces of long ones; at least PIECE of one text); n-grams in a batch that it hands on.
+COUNTED_AT_ONCE, TOLD = 200_000, 50_000
 #: Fixed odd multipliers of the hash.
 TIMES, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 START, END = "\x02", "\x03"
@@ -122,7 +124,6 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple]] = {}
-        size = 0
 
         def met(pieces: list[tuple]) -> tuple:
             keys, grams, n = (np.concatenate(x) for x in zip(*pieces))
@@ -132,32 +133,42 @@ def count_grams(docs: DataFrame) -> DataFrame:
             return keys, grams[first], total
 
         def told() -> Iterator[pa.RecordBatch]:
-            for model, pieces in held.items():
-                _, grams, n = met(pieces)
-                whole = np.ascontiguousarray(grams.astype("<u4")).tobytes().decode("utf-32-le")
-                names = pa.repeat(pa.scalar(model, pa.string()), len(n))
-                cut = pa.array([whole[i : i + ORDER] for i in range(0, len(whole), ORDER)], pa.string())
-                yield pa.RecordBatch.from_arrays([names, cut, pa.array(n, pa.int64())], ["model", "gram", "n"])
-            held.clear()
-
-        def add(model: str, x: list[np.ndarray]) -> int:
+            for model in list(held):
+                _, grams, n = met(held.pop(model))
+                for low in range(0, len(n), TOLD):
+                    some = n[low : low + TOLD]
+                    whole = grams[low : low + TOLD].tobytes().decode("utf-32-le")
+                    names = pa.repeat(pa.scalar(model, pa.string()), len(some))
+                    cut = pa.array([whole[i : i + ORDER] for i in range(0, len(whole), ORDER)], pa.string())
+                    yield pa.RecordBatch.from_arrays([names, cut, pa.array(some, pa.int64())], ["model", "gram", "n"])
+
+        def add(model: str, x: list[np.ndarray]) -> None:
             grams = np.concatenate([windows(p) for p in x])
             keys, first, n = np.unique(hashed(grams, ORDER, np.uint64(0)), return_index=True, return_counts=True)
             pieces = held.setdefault(model, [])
-            pieces.append((keys, grams[first], n))
+            pieces.append((keys, grams[first].astype("<u4"), n))
             if sum(len(p[0]) for p in pieces) > COUNTED:
                 held[model] = [met(pieces)]
-            return sum(len(p[0]) for ps in held.values() for p in ps)
+
+        def flush(here: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            for model, x in here.items():
+                add(model, x)
+            here.clear()
+            if sum(len(p[0]) for ps in held.values() for p in ps) > 4 * COUNTED:
+                yield from told()
 
         for batch in slices(batches, 100):
-            here: dict[str, list[np.ndarray]] = {}
+            here, size = {}, 0
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
-                here.setdefault(f"{fold_of(text)}{lang}", []).extend(points(text))
-            for model, x in here.items():
-                size = add(model, x)
-            if size > 4 * COUNTED:
-                yield from told()
+                model = f"{fold_of(text)}{lang}"
+                for x in points(text):
+                    if size + len(x) > COUNTED_AT_ONCE:
+                        yield from flush(here)
+                        size = 0
+                    here.setdefault(model, []).append(x)
+                    size += len(x)
+            yield from flush(here)
         yield from told()
 
     out = docs.select("lang", "text").mapInArrow(run, "model string, gram string, n long")

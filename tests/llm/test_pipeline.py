@@ -3,6 +3,8 @@
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -41,3 +43,18 @@ def test_stages_pass_on_all_columns(spark):
         docs = stored(stage(spark, docs, TINY), "stage")
         assert docs.columns == table(spark, TINY, "documents").columns
     assert [stage(spark, docs.limit(0), TINY).count() for _, stage in corpus_pipeline.STAGES] == [0] * 5
+
+
+def test_batches_of_texts_are_small(spark):
+    docs = table(spark, TINY, "documents")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["bytes"])
+
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, docs.limit(0), TINY)
+        many = docs.withColumn("text", F.repeat("text", F.lit(50))).coalesce(1)
+        longest = many.agg(F.max(F.octet_length("text"))).first()[0]
+        assert max(r["bytes"] for r in many.mapInArrow(sizes, "bytes long").collect()) < 2 * corpus_pipeline.BATCH_BYTES + longest

@@ -1,8 +1,10 @@
 """The model of the quality classifier against brute force: whole code points, held-out folds, many shards."""
 
 import math
+from collections import Counter
 
 import pytest
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import functions as F
 
 from lodemap.llm import quality, quality_rules
@@ -11,6 +13,14 @@ from tests.llm.test_quality_rules import BruteModel
 TEXTS = [" ".join(f"w{(i * k) % 13}" for k in range(3 + i % 40)) for i in range(60)] + ["The CAT sat", "the cat sat", "кот сидел", "猫坐着", "a b 🙂é\n", "the cat sat"]
 
 
+class Most(AccumulatorParam):
+    def zero(self, value):
+        return 0
+
+    def addInPlace(self, a, b):
+        return max(a, b)
+
+
 def brute(texts):
     """Perplexity of each text under the model of the other fold; a fold without texts takes its own."""
     folds = [[t for t in texts if quality_rules.fold_of(t) == f] for f in (0, 1)]
@@ -40,3 +50,31 @@ def test_one_fold_judges_both(spark):
     model = quality.train(docs.where("doc_id = 0"))
     assert model.perplexity("the cat sat") == pytest.approx(brute(["the cat sat"])["the cat sat"], rel=1e-4)
     assert model.perplexity("the cat") < model.perplexity("THE CAT") and model.perplexity("the cat") < 1_000
+
+
+def test_long_texts_are_counted_piece_by_piece(spark, monkeypatch):
+    for name, n in (("COUNTED_AT_ONCE", 50), ("COUNTED", 20), ("TOLD", 7)):
+        monkeypatch.setattr(quality_rules, name, n)
+    most, real = spark.sparkContext.accumulator(0, Most()), quality_rules.hashed
+
+    def hashed(x, order, seeds):
+        most.add(len(x))
+        return real(x, order, seeds)
+
+    monkeypatch.setattr(quality_rules, "hashed", hashed)
+    texts = [(lang, t * k) for k in (1, 30) for lang in ("en", "de") for t in TEXTS]
+    docs = spark.createDataFrame(texts, "lang string, text string")
+    wanted = Counter()
+    for lang, t in texts:
+        x = "\x02" * 4 + t + "\x03"
+        wanted.update((f"{quality_rules.fold_of(t)}{lang}", x[i : i + 5]) for i in range(len(x) - 4))
+    assert {(r["model"], r["gram"]): r["n"] for r in quality_rules.count_grams(docs).collect()} == wanted
+    assert 0 < most.value <= 1 + max(len(t) for _, t in texts)  # n-grams at once: those of one text, not of a slice
+
+
+def test_tasks_get_whole_rows_once(spark):
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string")
+    out = quality.scored(docs, quality.train(docs))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    step = plan[plan.index("MapInArrow") :].split("\n")
+    assert out.columns == ["doc", "perplexity"] and "_text" not in "".join(step)
